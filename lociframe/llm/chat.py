@@ -70,7 +70,7 @@ def format_chats(turns: DataFrame, template: Template = TEMPLATE, conv: str = "c
     """
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     row = F.struct(F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text"))
-    grouped = turns.groupBy(F.col(conv).alias("conv_id")).agg(F.array_sort(F.collect_list(row)).alias("turns"))
+    grouped = turns.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
     lit = F.lit
 
     def segment(text: Column, loss: Column) -> Column:

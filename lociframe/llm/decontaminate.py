@@ -286,8 +286,8 @@ def _merged(passes: list[DataFrame], kept: list[str]) -> DataFrame:
     for k, p in enumerate(passes[1:], 1):
         every = every.unionByName(p.withColumn("_pass", F.lit(k)))
     grouped = every.groupBy(*kept, "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("all"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("all"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.count(F.when(F.col("_pass") == 0, 1)).alias("_times"),
     )
 

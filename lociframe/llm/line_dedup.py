@@ -50,7 +50,7 @@ def keep_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", min_ch
     held = keys.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("id").alias("keeper"))
     common = held.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
     dropped = keys.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
-    places = dropped.groupBy("id", "version").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+    places = dropped.groupBy("id", "version").agg(F.sort_array(F.collect_set("at")).alias("gone"))
     return places.select(
         "id", "version", _kept_runs(F.col("gone")).alias("kept_runs"), (F.array_max("gone") + 1).alias("rest"), F.size("gone").alias("n_dropped")
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import bpe, chat, decontaminate, line_dedup, quality_rules, simhash, token_counts, url_filter
+from lociframe.llm import bpe, chat, decontaminate, html_extract, line_dedup, quality_model, quality_rules, simhash, token_counts, url_filter
 from lociframe.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -53,6 +58,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~quality_model.held_out(F.col("doc_id"))).select("doc_id", "quality")
+    scored = quality_model.score(docs, quality_model.fit_on(docs, labels, "quality"))
+    return scored.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     planted = spark.sql(f"select * from values (-7, 0, 'user', '{probe}'), (-7, 1, 'assistant', '{probe}') as t(conv_id, turn, role, text)")
@@ -85,7 +97,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_url_filter, op4_token_counts, op5_simhash, op6_bpe, op8_chat_format, op9_line_dedup, op10_quality_rules)
+    for f in (op1_decontaminate, op2_url_filter, op3_html_extract, op4_token_counts, op5_simhash, op6_bpe, op7_quality_model, op8_chat_format, op9_line_dedup, op10_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {
