@@ -303,12 +303,13 @@ def _merged(passes: list[DataFrame], kept: list[str]) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with the benchmark passages cut out of ``text``; documents of which no word remains are dropped, others stay."""
     judged = contamination(docs, benchmark, text=text, **options)
-    out = T.StructType([judged.schema[c] for c in docs.columns])
+    columns = docs.columns
+    out = T.StructType([judged.schema[c] for c in columns])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [remove_spans(t, s) if s else t for t, s in zip(b.column(text).to_pylist(), b.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else b.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else b.column(c) for c in columns], columns)
 
     emptied = (F.col("n_hit") > 0) & (F.col("n_hit") == F.col("n_words"))
-    return judged.where(~emptied).select(*docs.columns, "spans").mapInArrow(cut, out)
+    return judged.where(~emptied).select(*columns, "spans").mapInArrow(cut, out)
