@@ -1,12 +1,8 @@
-"""Registered queries and their SQL."""
+"""All registered queries of the library and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lociframe.plans import layout_queries, read_queries  # noqa: F401
+from lociframe.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
