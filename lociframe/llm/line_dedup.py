@@ -19,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.shared import let, lower_ascii
+from lociframe.llm.shared import let, lower_ascii, materialize
 
 
 def line_key(line: Column) -> Column:
     """The line without ASCII white space at its ends, A-Z in lower case."""
-    return lower_ascii(F.regexp_replace(line, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""))
+    return lower_ascii(F.trim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
 def _version(text: Column) -> Column:
@@ -42,13 +42,15 @@ def keep_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", min_ch
         lines.withColumn("key", line_key(F.col("line")))
         .where(F.length("key") >= min_chars)
         .select("id", "version", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), F.col("key")).alias("h2"))
-        .repartitionByRange("h1", "h2", "id")
-        .sortWithinPartitions("h1", "h2", "id", "at")
     )
+    # Hashes are written once: ranges are found by a sampling pass, and the rows are read again for the join.
+    keys = materialize(keys, "line-keys")
+    sorted_keys = keys.select("h1", "h2", "id").repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "id")
     # The first step needs no exchange, since a range holds all rows of a hash and document; the second sends
-    # one row per hash and range.
-    held = keys.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("id").alias("keeper"))
-    common = held.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    # one row per hash and range. As a table, the result leaves the join below two plain inputs, so that
+    # adaptive execution can split a hot hash.
+    held = sorted_keys.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("id").alias("keeper"))
+    common = materialize(held.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "line-common")
     dropped = keys.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     places = dropped.groupBy("id", "version").agg(F.sort_array(F.collect_set("at")).alias("gone"))
     return places.select(
@@ -70,7 +72,8 @@ def _kept_runs(gone: Column) -> Column:
 
 def apply_keep(docs: DataFrame, bitmaps: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``kept_lines``, ``n_lines`` and ``n_dropped``, by a null-safe join on id and text version."""
-    b = bitmaps.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("kept_runs").alias("_runs"), F.col("rest").alias("_rest"), F.col("n_dropped").alias("_n_dropped"))
+    # Building a hash table of the small bitmaps spares sorting the texts.
+    b = bitmaps.hint("shuffle_hash").select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("kept_runs").alias("_runs"), F.col("rest").alias("_rest"), F.col("n_dropped").alias("_n_dropped"))
     joined = docs.withColumn("_text_version", _version(F.col(text))).join(
         b, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_text_version") == F.col("_version")), "left"
     )
