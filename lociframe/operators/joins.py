@@ -50,10 +50,10 @@ def running_count(events: DataFrame, key: str, weight: Column, tile: int, name:
     tiled = events.withColumns({"_tile": F.floor(F.col(key) / tile), "_weight": weight})
     sums = tiled.groupBy("contig", "_tile").agg(F.sum("_weight").alias("_sum"))
     carried = Window.partitionBy("contig").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(F.col("contig").alias("_c"), F.col("_tile").alias("_t"), F.coalesce(F.sum("_sum").over(carried), F.lit(0)).alias("_carry"))
+    carry = sums.select(F.col("contig").alias("_carry_contig"), F.col("_tile").alias("_carry_tile"), F.coalesce(F.sum("_sum").over(carried), F.lit(0)).alias("_carry"))
     within = Window.partitionBy("contig", "_tile").orderBy(key, *(before or [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = tiled.join(carry, (F.col("contig") == F.col("_c")) & (F.col("_tile") == F.col("_t")))
-    return joined.withColumn(name, (F.sum("_weight").over(within) + F.col("_carry")).cast("long")).drop("_tile", "_weight", "_c", "_t", "_carry")
+    joined = tiled.join(carry, (F.col("contig") == F.col("_carry_contig")) & (F.col("_tile") == F.col("_carry_tile")))
+    return joined.withColumn(name, (F.sum("_weight").over(within) + F.col("_carry")).cast("long")).drop("_tile", "_weight", "_carry_contig", "_carry_tile", "_carry")
 
 
 def kth_neighbour(
