@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.llm import bpe, chat, decontaminate, html_extract, line_dedup, quality_model, quality_rules, simhash, token_counts, url_filter
-from lociframe.llm.shared import table
+from lociframe.llm.shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +44,9 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # A cache of its own for each call, so that the query always encodes every distinct text of the table.
+    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    out = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=cache)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
@@ -100,7 +103,57 @@ QUERIES: dict[str, Query] = {
     for f in (op1_decontaminate, op2_url_filter, op3_html_extract, op4_token_counts, op5_simhash, op6_bpe, op7_quality_model, op8_chat_format, op9_line_dedup, op10_quality_rules)
 }
 
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _ASCII_LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": f"""
+with item_words as (select cast(item_id as varchar) as item, {_WORDS} as ws from benchmark),
+windows as (
+  select distinct item, least(10, len(ws)) as n, ws[p : p + least(10, len(ws)) - 1] as w
+  from (select *, unnest(generate_series(1, len(ws) - least(10, len(ws)) + 1)) as p from item_words where len(ws) > 0)),
+doc_words as (select doc_id, {_WORDS} as ws from documents),
+hits as (
+  select d.doc_id, d.p, d.n, w.item
+  from (select doc_id, n, p, ws[p : p + n - 1] as w from (
+    select doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) as p from doc_words, (select distinct n from windows) where len(ws) >= n)) d
+  join windows w on d.n = w.n and d.w = w.w),
+covered as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(generate_series(p, p + n - 1)) as place from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from doc_words left join covered using (doc_id) left join items using (doc_id)
+""",
+    "op10_quality_rules": r"""
+with docs as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+windows as (
+  select doc_id, p, ws[p : p + 4] as w from (select doc_id, ws, unnest(generate_series(1, len(ws) - 4)) as p from docs where len(ws) >= 5)),
+again as (
+  select doc_id, unnest(generate_series(p, p + 4)) as place from (select *, count(*) over (partition by doc_id, w) as n from windows) where n > 1),
+repeats as (select doc_id, count(distinct place) as n from again group by doc_id),
+judged as (
+  select doc_id, line,
+    length(line) <= 200 and regexp_matches(lower(line), 'all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie|javascript|lorem ipsum|subscribe to our|click here|copyright|©') as boilerplate,
+    regexp_matches(line, '[^\x20\x09-\x0D]') and (
+      not regexp_matches(line, '[.!?…。]["''»”)\]]*([\x20\x09-\x0D]|$)')
+      or len(regexp_extract_all(line, '[#*$%&|<>]')) * 4 > n
+      or (contains(line, '|') and len(regexp_extract_all(line, '\|')) * 4 >= n)
+      or (contains(line, '!!') and len(regexp_extract_all(line, '!')) * 2 > n)) as fails
+  from (select doc_id, line, len(regexp_extract_all(line, '[\x20\x09-\x0D]+')) + 1 as n from (select doc_id, unnest(lines) as line from docs))),
+lines as (
+  select doc_id, coalesce(sum(length(line)) filter (where not boilerplate), 0) as own, coalesce(sum(length(line)) filter (where not boilerplate and fails), 0) as lost,
+    coalesce(bool_or(regexp_matches(line, '[^\x20\x09-\x0D]')) filter (where not boilerplate and not fails), false) as has_rest
+  from judged group by doc_id),
+base as (
+  select d.doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+    cast(len(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) as bigint) as n_dup_lines,
+    coalesce(r.n, 0) as n_repeat_words
+  from docs d left join repeats r using (doc_id))
+select b.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * lost <= 60 * own and has_rest as kept
+from base b join lines using (doc_id)
+""",
     "op2_url_filter": r"""
 with rules(host_rule, path_rule, verdict) as (
   values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
