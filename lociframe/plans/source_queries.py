@@ -17,7 +17,10 @@ def _pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.pileup(r.parsed(view(spark, sf_dir, "reads")), view(spark, sf_dir, "ref_seqs"))
 
 
-_N = F.lit(1) + F.col("region_id") % 20
+def _n():
+    return F.lit(1) + F.col("region_id") % 20
+
+
 _BINS = """with bins as (select region_id, contig, i as bin, start + i * l // n as bin_start, start + (i + 1) * l // n - 1 as bin_end from (
   select region_id, contig, start, "end" - start + 1 as l, 1 + region_id % 20 as n, unnest(generate_series(0, region_id % 20)) as i from regions))
 """
@@ -25,7 +28,7 @@ _BINS = """with bins as (select region_id, contig, i as bin, start + i * l // n
 
 @query(_BINS + "select region_id, contig, bin, bin_start, bin_end from bins")
 def cov_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bins.equal_bins(view(spark, sf_dir, "regions"), _N).withColumnsRenamed({"start": "bin_start", "end": "bin_end"})
+    return bins.equal_bins(view(spark, sf_dir, "regions"), _n()).withColumnsRenamed({"start": "bin_start", "end": "bin_end"})
 
 
 _BINNED = _BINS + """, binned as (select b.region_id, b.bin, coalesce(sum(p.total), 0)::bigint as total from bins b left join pileup p on p.contig = b.contig and p.pos between bin_start and bin_end group by all)
@@ -34,7 +37,7 @@ _BINNED = _BINS + """, binned as (select b.region_id, b.bin, coalesce(sum(p.tota
 
 @query(_BINNED + "select region_id, bin, total from binned")
 def cov_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bins.binned_coverage(view(spark, sf_dir, "regions"), _pileup(spark, sf_dir), _N, 256)
+    return bins.binned_coverage(view(spark, sf_dir, "regions"), _pileup(spark, sf_dir), _n(), 256)
 
 
 @query(_BINNED + "select region_id, (ceil(m / pow(10, length(m::varchar) - 2)) * pow(10, length(m::varchar) - 2))::bigint as scale from (select region_id, greatest(10, max(total)) as m from binned group by region_id)")
