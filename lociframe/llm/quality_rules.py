@@ -1,7 +1,8 @@
 """Line-first quality rules, on DataFrame functions only.
 
 Every line is judged by punctuation, navigation and boilerplate rules, failing lines are removed, and a
-document that loses too much of its text, or fails the word and repetition rules, is rejected.
+document that loses too much of its text, or fails the word and repetition rules, is rejected. Boilerplate, such
+as a licence line, is removed but isn't text of the document's own, so it isn't counted as lost.
 
 Defined results: a null text has no words, fails the rules and has null clean text; an empty table gives
 an empty table; repeated rows are judged one by one; every input column is kept, so an input column named
@@ -13,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.shared import WHITE, WORD, let
+from lociframe.llm.shared import WHITE, WORD, let, once
 
 SYMBOL = "[#*$%&|<>]"
+BOILERPLATE_CHARS = 200  # longer lines are prose
 # Phrases that mark a line as boilerplate, matched in lower case.
 BOILERPLATE = (
     "all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|"
@@ -24,29 +26,18 @@ BOILERPLATE = (
 
 
 def _windows(words: Column, width: int) -> Column:
-    """Hashes of the windows of ``width`` words, in order; empty if there are fewer words."""
-    return F.when(
-        F.size(words) >= width,
-        F.transform(
-            F.sequence(F.lit(0), F.size(words) - width),
-            lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
-def _repeat_words(words: Column, width: int) -> Column:
-    """Words inside windows found twice or more. Compares the windows' own words, sorted; covers the union of their places."""
-    placed = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(0), F.size(words) - width),
-            lambda i: F.struct(F.array_join(F.slice(words, i + 1, width), " ").alias("w"), i.alias("at")),
-        )
-    )
+    """Hashes of the windows of ``width`` words, in order; those that begin in the last words are shorter."""
+    return F.transform(words, lambda _, i: F.xxhash64(F.slice(words, i + 1, width)))
+
+
+def _repeat_words(windows: Column, width: int) -> Column:
+    """Words inside windows that come twice or more: equal hashes lie together once sorted; their places' union is counted."""
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
 
     def places(s: Column) -> Column:
-        again = lambda x, j: F.get(s, j).getField("w") == x.getField("w")
-        found = F.filter(s, lambda x, i: F.coalesce(again(x, i - 1), F.lit(False)) | F.coalesce(again(x, i + 1), F.lit(False)))
-        return F.array_sort(F.transform(found, lambda x: x.getField("at")))
+        hash_at = lambda j: F.get(s, j).getField("h")
+        found = F.filter(s, lambda x, i: F.coalesce(hash_at(i + 1) == x.getField("h"), F.lit(False)) | F.coalesce(hash_at(i - 1) == x.getField("h"), F.lit(False)))
+        return F.sort_array(F.transform(found, lambda x: x.getField("at")))
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(p, i + 1) - x, F.lit(width))))
@@ -55,17 +46,26 @@ def _repeat_words(words: Column, width: int) -> Column:
     return let(let(placed, places), covered)
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that the punctuation, navigation or boilerplate rules remove; blank lines never fail."""
-    # Words by their separators: a trimmed line of n words has n - 1 runs of white space.
-    words = F.size(F.split(line, WHITE))
-    symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOL, ""))
-    shouts = F.length(line) - F.length(F.regexp_replace(line, "!", ""))
-    no_sentence = ~line.rlike("[.!?…。]([\"'»”)\\]]*)([\\x20\\x09-\\x0D]|$)")
-    navigation = (F.length(line) - F.length(F.regexp_replace(line, "\\|", ""))) * 4 >= words
-    return line.rlike("[^\\x20\\x09-\\x0D]") & (
-        no_sentence | (symbols * 4 > words) | (shouts * 4 > words * 2) | (navigation & line.contains("|")) | F.lower(line).rlike(BOILERPLATE)
-    )
+def _count(line: Column, chars: str) -> Column:
+    return F.length(line) - F.length(F.regexp_replace(line, chars, ""))
+
+
+def is_boilerplate(line: Column) -> Column:
+    return (F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE)
+
+
+def line_fails(line: Column, has_symbols: Column) -> Column:
+    """True for a line that the punctuation and navigation rules remove; blank lines never fail.
+
+    ``has_symbols``: whether the text has any symbol at all, so that clean texts skip the counting.
+    """
+    ends = F.substring(line, F.lit(-1), F.lit(1)).isin(".", "!", "?", "\u2026", "\u3002")
+    sentence = ends | line.rlike("[.!?\u2026\u3002][\"'\u00bb\u201d)\\]]*([\\x20\\x09-\\x0D]|$)")
+    # A trimmed line of n words has n - 1 runs of white space.
+    n = F.size(F.split(line, WHITE))
+    symbols = has_symbols & ((_count(line, SYMBOL) * 4 > n) | (line.contains("|") & (_count(line, "\\|") * 4 >= n)))
+    shouts = line.contains("!!") & (_count(line, "!") * 2 > n)
+    return (~sentence | symbols | shouts) & line.rlike("[^\\x20\\x09-\\x0D]")
 
 
 def quality_rules(
@@ -78,38 +78,31 @@ def quality_rules(
 ) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``lost_chars``, ``clean_text`` and ``kept``.
 
-    No shuffle: each row is judged on its own. Windows are compared by hash first; only a document with two
-    equal hashes pays for the exact comparison, so a hash collision can't change a result.
+    No shuffle: each row is judged on its own. Windows are compared by 64-bit hashes.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     # ASCII white space at both ends off, so that a split has no empty ends.
     trimmed = F.regexp_replace(body, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE))
-    lines = F.split(body, "\n")
-    worded = F.filter(lines, lambda x: x.rlike(WORD))
-    n_repeat = let(
-        words,
-        lambda w: F.when(F.size(w) <= width, F.lit(0).cast("long")).otherwise(
-            let(
-                _windows(w, width),
-                lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_repeat_words(w, width)),
-            )
-        ),
-    )
-    counted = docs.withColumns(
+    # Each step's arrays are columns, since what a lambda uses would otherwise be computed for each element.
+    parts = docs.withColumns({"_words": once(words), "_lines": once(F.split(body, "\n")), "n_symbols": F.regexp_count(body, F.lit(SYMBOL)).cast("long")})
+    parts = parts.withColumn("_own", once(F.filter("_lines", lambda x: ~is_boilerplate(x))))
+    worded = F.filter("_lines", lambda x: x.rlike(WORD))
+    hashed = parts.withColumns(
         {
-            "n_words": F.size(words).cast("long"),
-            "word_chars": F.length(F.array_join(words, "")).cast("long"),
-            "n_symbols": F.regexp_count(body, F.lit(SYMBOL)).cast("long"),
+            "_windows": once(F.slice(_windows(F.col("_words"), width), F.lit(1), F.greatest(F.size("_words") - (width - 1), F.lit(0)))),
+            "n_words": F.size("_words").cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_dup_lines": let(worded, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-            "n_repeat_words": n_repeat,
-            "clean_text": F.when(F.col(text).isNotNull(), F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")),
+            "clean_text": F.when(F.col(text).isNotNull(), F.array_join(F.filter("_own", lambda x: ~line_fails(x, F.col("n_symbols") > 0)), "\n")),
+            "_own_text": F.array_join("_own", "\n"),
         }
-    )
+    ).drop("_words", "_lines", "_own")
+    again = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    counted = hashed.withColumn("n_repeat_words", F.when(again, _repeat_words(F.col("_windows"), width)).otherwise(F.lit(0).cast("long"))).drop("_windows")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     # Characters outside line ends; removing a line also removes one line end, which isn't counted as lost.
-    length = lambda c: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), "\n", ""))
-    lost = (length(F.col(text)) - length(F.col("clean_text"))).cast("long")
-    return counted.withColumns({"base_failed": failed, "lost_chars": lost}).withColumn(
-        "kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_percent * length(F.col(text)))
-    )
+    length = lambda c: F.length(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit("")))
+    lost = (length(F.col("_own_text")) - length(F.col("clean_text"))).cast("long")
+    enough = (100 * F.col("lost_chars") <= max_lost_percent * length(F.col("_own_text"))) & F.coalesce(F.col("clean_text").rlike(WORD), F.lit(False))
+    return counted.withColumns({"base_failed": failed, "lost_chars": lost}).withColumn("kept", ~F.col("base_failed") & enough).drop("_own_text")

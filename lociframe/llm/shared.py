@@ -44,6 +44,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """``value``, marked so that it stays a column of its own.
+
+    The optimizer copies a deterministic expression into filters and lambdas above it, where it would be
+    computed again for each use or element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would also map other alphabets)."""
     ascii_only = F.length(text) == F.octet_length(text)
