@@ -7,8 +7,9 @@ concatenates the tokens' bytes.
 One stage without a shuffle: the JVM splits the text; an Arrow step numbers the words of a batch of documents
 and passes each distinct one on once; the JVM folds the merges; an Arrow step puts the ids of each document
 together. Frequent words come from a dictionary that is encoded first, by the same fold, from a bounded
-sample of documents and broadcast; its bounds are ``warm_docs``, ``warm_words`` and ``warm_bytes``. It only
-saves work: any other word is folded where it occurs, so results don't depend on it.
+sample of documents and broadcast; its bounds are ``warm_docs``, ``warm_chars``, ``warm_words`` and ``warm_bytes``. It only
+saves work: any other word is folded where it occurs, so results don't depend on it. The session's Arrow batches
+are limited to 2,000 rows.
 
 A fold costs the square of a word's length, so words of over ``long_bytes`` bytes are merged with a heap in
 the Arrow step.
@@ -22,7 +23,6 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 
 from lociframe.llm.shared import let
 
-BUCKETS = 1 << 15
+BUCKETS = 65521  # a prime, so that keys of one left token spread
+TOKENS = 1 << 20  # over any token number
 # The Unicode white space that \s means to the vocabulary's own library; \s of Java is ASCII only.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
@@ -47,17 +48,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
-    """Every pair of tokens whose bytes together are a token, and that token."""
-    return {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-
-
-def rank_map(spark: SparkSession, pairs: dict[tuple[int, int], int]) -> Column:
-    """``array<map<pair, token>>`` by bucket, as a literal value."""
-    buckets: list[list[tuple[int, int]]] = [[] for _ in range(BUCKETS)]
-    for (a, b), token in pairs.items():
-        buckets[(a * 31 + b) % BUCKETS].append(((a << 32) + b, token))
-    one = pa.table({"ranks": pa.array([buckets], pa.list_(pa.map_(pa.int64(), pa.int32())))})
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """``array<map<pair, token>>`` by bucket, as a literal value: every pair of tokens whose bytes together are a token."""
+    pairs = (x for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks for x in (ranks[t[:i]] * TOKENS + ranks[t[i:]], r))
+    keys, values = np.fromiter(pairs, np.int64).reshape(-1, 2).T
+    order = np.argsort(keys % BUCKETS, kind="stable")
+    ends = np.searchsorted(keys[order] % BUCKETS, np.arange(BUCKETS + 1)).astype(np.int32)
+    maps = pa.MapArray.from_arrays(pa.array(ends), pa.array(keys[order]), pa.array(values[order]))
+    one = pa.table({"ranks": pa.ListArray.from_arrays(pa.array([0, BUCKETS], pa.int32()), maps)})
     return spark.createDataFrame(one).scalar()
 
 
@@ -65,11 +63,12 @@ def merge_word(parts: Column, ranks: Column) -> Column:
     """Folds merges over an array of byte tokens: each step joins the first pair of the lowest rank, until none is left."""
 
     def rank(a: Column, b: Column) -> Column:
-        return F.try_element_at(F.get(ranks, F.pmod(a * 31 + b, F.lit(BUCKETS))), F.shiftleft(a.cast("long"), 32) + b)
+        key = a * TOKENS + b
+        return F.try_element_at(F.get(ranks, (key % BUCKETS).cast("int")), key)
 
     def step(state: Column, _: Column) -> Column:
         p = state.getField("parts")
-        found = F.transform(F.slice(p, 1, F.size(p) - 1), lambda a, i: rank(a, F.get(p, i + 1)))
+        found = F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), rank)  # the last part has no right neighbour, so no rank
 
         def merged(r: Column) -> Column:
             low = F.array_min(r)
@@ -84,14 +83,14 @@ def merge_word(parts: Column, ranks: Column) -> Column:
     return F.aggregate(steps, start, step, lambda s: s.getField("parts"))
 
 
-def merge_long(parts: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+def merge_long(parts: list[int], tokens: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     """The same merges with a heap of pairs and a linked list of parts, for long words."""
     after, before, gone = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1)), [False] * len(parts)
     heap: list[tuple[int, int, int, int]] = []
 
     def push(i: int) -> None:
         j = after[i]
-        if j < len(parts) and (r := pairs.get((parts[i], parts[j]))) is not None:
+        if j < len(parts) and (r := ranks.get(tokens[parts[i]] + tokens[parts[j]])) is not None:
             heapq.heappush(heap, (r, i, parts[i], parts[j]))
 
     for i in range(len(parts)):
@@ -110,78 +109,105 @@ def merge_long(parts: list[int], pairs: dict[tuple[int, int], int]) -> list[int]
     return [p for p, x in zip(parts, gone, strict=True) if not x]
 
 
-@dataclass
-class Codec:
-    """What the Arrow steps need: byte tokens, tokens' bytes, pairs for long words, and the warm dictionary."""
+class Cutter:
+    """Words to arrays of byte tokens; long words come merged already."""
+
+    def __init__(self, tokens: list[bytes], long_bytes: int) -> None:
+        self.tokens, self.long_bytes = tokens, long_bytes
+        self.bytes = np.zeros(256, np.int64)
+        for i, t in enumerate(tokens):
+            if len(t) == 1:
+                self.bytes[t[0]] = i
+        self.ranks: dict[bytes, int] = {}
+
+    def parts(self, words: list[str]) -> pa.Array:
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]
+        if len(sizes) and sizes.max() > self.long_bytes:
+            self.ranks = self.ranks or {t: i for i, t in enumerate(self.tokens) if t}
+            each = np.split(flat, np.cumsum(sizes)[:-1])
+            each = [np.array(merge_long(x.tolist(), self.tokens, self.ranks), np.int64) if len(x) > self.long_bytes else x for x in each]
+            sizes, flat = np.array([len(x) for x in each]), np.concatenate(each)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64)))
 
-    byte_tokens: np.ndarray
-    tokens: list[bytes]
-    pairs: dict[tuple[int, int], int]
-    long_bytes: int
-    words: dict[str, int]
-    ends: np.ndarray
-    ids: np.ndarray
 
+ROW_WORDS = 500_000  # words of one row between the steps, as far as whole documents allow
+HELD_WORDS = 150_000  # words that a task numbers besides the warm ones before it begins anew
 
-def _word_parts(words: list[str], codec: Codec) -> pa.Array:
-    """Byte tokens of each word; a long word comes merged already."""
-    parts = []
-    for w in words:
-        raw = codec.byte_tokens[np.frombuffer(w.encode(), np.uint8)]
-        parts.append(np.array(merge_long(raw.tolist(), codec.pairs), np.int32) if len(raw) > codec.long_bytes else raw)
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
 
+def _split(tokens, warm, long_bytes: int):
+    """Numbers the words: warm ones first, then those new to the task, whose byte tokens go along once."""
 
-def _split(codec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Codec = codec.value
+        cutter, known = Cutter(tokens.value, long_bytes), {w: i for i, w in enumerate(warm.value)}
+        n_warm = len(known)
+        held: dict[str, int] = {}
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         for b in batches:
-            lists = b.column("words")
-            coded = lists.flatten().dictionary_encode()
-            new, numbers = [], np.empty(len(coded.dictionary), np.int32)
-            for k, w in enumerate(coded.dictionary.to_pylist()):
-                known = c.words.get(w)
-                if known is None:
-                    known = len(c.words) + len(new)
-                    new.append(w)
-                numbers[k] = known
-            codes = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else numbers[:0]
-            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int32)
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            yield pa.RecordBatch.from_arrays(
-                [one(b.column("id")), pa.array([sizes.tobytes()], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary()), one(_word_parts(new, c))],
-                ["ids", "sizes", "codes", "parts"],
-            )
+            ends = b.column("words").offsets.to_numpy()
+            start = 0
+            while start < b.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + ROW_WORDS, side="right")) - 1)
+                part = b.slice(start, stop - start)
+                coded = part.column("words").flatten().dictionary_encode()
+                new, fresh = [], len(held) > HELD_WORDS
+                if fresh:
+                    held = {}
+                numbers = np.empty(len(coded.dictionary), np.int32)
+                for k, w in enumerate(coded.dictionary.to_pylist()):
+                    code = known.get(w)
+                    if code is None:
+                        code = held.get(w)
+                        if code is None:
+                            code = held[w] = n_warm + len(held)
+                            new.append(w)
+                    numbers[k] = code
+                codes = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else numbers[:0]
+                sizes = np.diff(ends[start : stop + 1]).astype("<i4")
+                yield pa.RecordBatch.from_arrays(
+                    [one(part.column("id")), pa.array([sizes.tobytes()], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary()), pa.array([fresh]), one(cutter.parts(new))],
+                    ["ids", "sizes", "codes", "fresh", "parts"],
+                )
+                start = stop
 
     return run
 
 
-def _assemble(codec, id_type):
+def _lists(merged: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a list array."""
+    if not len(merged):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return merged.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.diff(merged.offsets.to_numpy()).astype(np.int64)
+
+
+def _assemble(tokens, warm_ids):
+    """Puts the ids of each document together, and their bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Codec = codec.value
+        pieces, (warm_values, warm_lengths) = tokens.value, warm_ids.value
+        values, lengths = warm_values, warm_lengths
         for b in batches:
             for row in range(b.num_rows):
-                ids = b.column("ids").slice(row, 1).flatten()
-                merged = b.column("merged").slice(row, 1).flatten()
+                if b.column("fresh")[row].as_py():
+                    values, lengths = warm_values, warm_lengths
+                more, n = _lists(b.column("merged").slice(row, 1).flatten())
+                values, lengths = np.concatenate([values, more]), np.concatenate([lengths, n])
+                starts = np.cumsum(lengths) - lengths
                 sizes, codes = (np.frombuffer(b.column(x)[row].as_py(), "<i4") for x in ("sizes", "codes"))
-                lengths = np.diff(merged.offsets.to_numpy()) if len(merged) else np.zeros(0, np.int64)
-                values = np.concatenate([c.ids, merged.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
-                ends = np.concatenate([c.ends, c.ends[-1] + np.cumsum(lengths)])
-                start, length = ends[:-1], np.diff(ends)
                 at, n_tokens, encoded, decoded = 0, [], [], []
-                for n in sizes:
-                    own = codes[at : at + n]
-                    at += n
-                    size = length[own]
-                    total = int(size.sum())
-                    tokens = values[np.repeat(start[own] - np.cumsum(size) + size, size) + np.arange(total)] if total else values[:0]
+                for size in sizes:
+                    own = codes[at : at + size]
+                    at += size
+                    each = lengths[own]
+                    total = int(each.sum())
+                    ids = values[np.repeat(starts[own] - np.cumsum(each) + each, each) + np.arange(total)] if total else values[:0]
                     n_tokens.append(total)
-                    encoded.append(tokens.astype("<u4").tobytes())
-                    decoded.append(b"".join(map(c.tokens.__getitem__, tokens.tolist())))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n_tokens, pa.int64()), pa.array(encoded, pa.binary()), pa.array(decoded, pa.binary())], ["id", "n_tokens", "token_ids", "decoded"]
-                )
+                    encoded.append(ids.astype("<u4").tobytes())
+                    decoded.append(b"".join(map(pieces.__getitem__, ids.tolist())))
+                ids = b.column("ids").slice(row, 1).flatten()
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n_tokens, pa.int64()), pa.array(encoded, pa.binary()), pa.array(decoded, pa.binary())], ["id", "n_tokens", "token_ids", "decoded"])
 
     return run
 
@@ -197,41 +223,44 @@ def encode_decode(
     pattern: str,
     id: str = "doc_id",
     text: str = "text",
-    warm_docs: int = 5_000,
-    warm_words: int = 400_000,
+    warm_docs: int = 4_000,
+    warm_chars: int = 20_000,
+    warm_words: int = 300_000,
     warm_bytes: int = 40,
     long_bytes: int = 256,
 ) -> DataFrame:
     """``id, n_tokens, token_ids`` (little-endian unsigned 32-bit) and ``decoded`` (the ids' bytes, concatenated)."""
     spark = docs.sparkSession
+    # Batches between the JVM and Python hold all words of their documents, so they are kept small.
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, min(int(spark.conf.get(size)), 2_000))
     ranks = read_ranks(vocabulary)
     tokens = [b""] * (max(ranks.values()) + 1)
     for t, r in ranks.items():
         tokens[r] = t
-    pairs = pair_ranks(ranks)
-    byte_tokens = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    literal = rank_map(spark, pairs)
-    words = docs.select(F.col(id).alias("id"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("words"))
-    id_type = words.schema["id"].dataType
-    passed = T.StructType([T.StructField("ids", T.ArrayType(id_type)), T.StructField("sizes", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("parts", T.ArrayType(T.ArrayType(T.IntegerType())))])
-
-    # The warm dictionary: the words of the first documents, at most so many and so long.
-    empty = Codec(byte_tokens, tokens, pairs, long_bytes, {}, np.zeros(1, np.int64), np.zeros(0, np.int32))
-    sample = docs.limit(warm_docs).select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))).alias("word"))
-    frequent = sample.where(F.octet_length("word") <= warm_bytes).groupBy("word").count().orderBy(F.desc("count"), "word").limit(warm_words).select("word")
-    known = frequent.toArrow().column("word").to_pylist()
-    if known:
-        step = -(-len(known) // 64)
-        table = pa.table({"parts": pa.array([_word_parts(known[i : i + step], empty) for i in range(0, len(known), step)], pa.list_(pa.list_(pa.int32())))})
-        merged = _fold_all(spark.createDataFrame(table).withColumn("n", F.monotonically_increasing_id()).repartition(32), literal).orderBy("n").toArrow()
-        folded = merged.column("merged").combine_chunks().flatten()
-        folded = folded.combine_chunks() if isinstance(folded, pa.ChunkedArray) else folded
-        ends = np.concatenate([[0], np.cumsum(np.diff(folded.offsets.to_numpy()))])
-        values = folded.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        warm = Codec(byte_tokens, tokens, pairs, long_bytes, {w: k for k, w in enumerate(known)}, ends, values)
-    else:
-        warm = empty
-    codec = spark.sparkContext.broadcast(warm)
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    out = _fold_all(words.mapInArrow(_split(codec), passed), literal).mapInArrow(_assemble(codec, id_type), schema)
-    return out.withColumnRenamed("id", id)
+    literal = rank_map(spark, ranks)
+    body = F.coalesce(F.col(text), F.lit(""))
+    split = lambda c: F.regexp_extract_all(c, F.lit(java_pattern(pattern)), F.lit(0))
+
+    # The warm dictionary: the most frequent words of some documents, at most so many and so long. The documents
+    # come from the first tasks that have enough, so that no exchange of texts is needed, and are cut to a size
+    # that bounds what the driver holds.
+    some = docs.select(F.substring(body, 1, warm_chars).alias("text")).limit(warm_docs).collect()
+    some = spark.createDataFrame(pa.table({"text": pa.array([r["text"] for r in some], pa.string())})).repartition(32)
+    counted = some.select(F.explode(split(F.col("text"))).alias("word")).where(F.octet_length("word") <= warm_bytes).groupBy("word").count()
+    known = counted.orderBy(F.desc("count"), "word").limit(warm_words).select("word").toArrow().column("word").to_pylist()
+    parts = Cutter(tokens, long_bytes).parts(known)
+    edges = np.linspace(0, len(known), 65).astype(np.int32)
+    table = pa.table({"n": pa.array(np.arange(64)), "parts": pa.ListArray.from_arrays(pa.array(edges), parts)})
+    folded = _fold_all(spark.createDataFrame(table).repartition(32, "n"), literal).orderBy("n").toArrow().column("merged").combine_chunks()
+    folded = folded.combine_chunks() if isinstance(folded, pa.ChunkedArray) else folded
+    sent = spark.sparkContext.broadcast
+    tokens_sent = sent(tokens)
+
+    words = docs.select(F.col(id).alias("id"), split(body).alias("words"))
+    own = words.schema["id"].dataType
+    kind = lambda name, t: T.StructField(name, t)
+    passed = T.StructType([kind("ids", T.ArrayType(own)), kind("sizes", T.BinaryType()), kind("codes", T.BinaryType()), kind("fresh", T.BooleanType()), kind("parts", T.ArrayType(T.ArrayType(T.LongType())))])
+    results = T.StructType([kind("id", own), kind("n_tokens", T.LongType()), kind("token_ids", T.BinaryType()), kind("decoded", T.BinaryType())])
+    numbered = words.mapInArrow(_split(tokens_sent, sent(known), long_bytes), passed)
+    return _fold_all(numbered, literal).mapInArrow(_assemble(tokens_sent, sent(_lists(folded.flatten()))), results).withColumnRenamed("id", id)
