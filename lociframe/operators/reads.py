@@ -47,23 +47,6 @@ def reference_chunks(sequences: DataFrame, size: int = CHUNK, overlap: int = 1 <
     return numbered.select("contig", "chunk_no", start.alias("chunk_start"), F.substring("_all", start.cast("int"), F.lit(size + overlap)).alias("bases"))
 
 
-def with_reference(reads: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Each read with ``ref_span``, the reference from its start to its end, by one equality join on the chunk where it begins.
-
-    Only the span goes on, not the chunk; reads are far shorter than the chunks' overlap.
-    """
-    c = chunks.select(F.col("contig").alias("_c"), F.col("chunk_no").alias("_n"), "chunk_start", F.col("bases").alias("chunk_bases"))
-    joined = reads.join(c, (F.col("contig") == F.col("_c")) & (F.floor((F.greatest("start", F.lit(1)) - 1) / size) == F.col("_n")), "left")
-    span = F.substring("chunk_bases", (F.col("start") - F.col("chunk_start") + 1).cast("int"), (F.col("end") - F.col("start") + 1).cast("int"))
-    return joined.withColumn("ref_span", once(span)).drop("_c", "_n", "chunk_start", "chunk_bases")
-
-
-def span_base(position: Column) -> Column:
-    """The base of ``ref_span`` at ``position``; null outside."""
-    at = (position - F.col("start") + 1).cast("int")
-    return F.when(at >= 1, F.nullif(F.substring("ref_span", at, F.lit(1)), F.lit("")))
-
-
 def pileup(parsed_reads: DataFrame, sequences: DataFrame | None = None, group: list[str] | None = None) -> DataFrame:
     """Counts per contig and position: ``a, t, c, g, n, total, softclip`` and the reference base (N if unknown)."""
     by = [*(group or []), "contig", "pos"]
@@ -146,10 +129,33 @@ def segments(parsed_reads: DataFrame) -> DataFrame:
 
 def mismatches(parsed_reads: DataFrame, sequences: DataFrame, size: int = CHUNK) -> DataFrame:
     """``read_id, pos, base``: every base of an X block; of an M block those that differ from a known reference base."""
-    referenced = with_reference(parsed_reads, reference_chunks(sequences, size), size)
-    rows = bases(referenced).where(F.col("op").isin("X", "M"))
-    differs = ~fr.matches_base(F.col("base"), span_base(F.col("pos")))
-    return rows.where((F.col("op") == "X") | F.coalesce(differs, F.lit(False))).select("read_id", "pos", "base")
+    chunk = lambda pos: F.floor((pos - 1) / size)
+
+    def cut(o: Column) -> Column:
+        """The pieces of a block between chunk bounds."""
+        last = o["ref_start"] + o["len"] - 1
+
+        def piece(k: Column) -> Column:
+            first = F.greatest(o["ref_start"], k * size + 1)
+            return F.struct(k.alias("_n"), first.alias("first"), (F.least(last, (k + 1) * size) - first + 1).alias("len"), (o["query_start"] + first - o["ref_start"]).alias("query"))
+
+        return F.transform(F.sequence(chunk(o["ref_start"]), chunk(last)), piece)
+
+    blocks = F.filter("ops", lambda o: (o["op"] == "M") & (o["len"] > 0))
+    pieces = parsed_reads.select("read_id", F.col("contig").alias("_c"), "seq", F.inline(F.flatten(F.transform(blocks, cut))))
+    pieces = pieces.select("read_id", "_c", "_n", "first", "len", F.substring("seq", (F.col("query") + 1).cast("int"), F.col("len").cast("int")).alias("part"))
+    c = reference_chunks(sequences, size, 0)
+    joined = pieces.join(c, (F.col("_c") == F.col("contig")) & (F.col("_n") == F.col("chunk_no")))
+    # Only the piece's span goes on, not the chunk.
+    span = once(F.substring("bases", (F.col("first") - F.col("chunk_start") + 1).cast("int"), F.col("len").cast("int")))
+    spans = joined.select("read_id", "first", "len", "part", span.alias("span"))
+    # Arrays of letters, as a substring of a long text takes time by its place.
+    letters = spans.select("read_id", "first", "len", once(F.split("part", "")).alias("part"), once(F.split("span", "")).alias("span"))
+    base = lambda k: F.when(F.col("part").isNotNull(), F.coalesce(F.get("part", k), F.lit("")))
+    each = F.transform(F.sequence(F.lit(0), F.col("len").cast("int") - 1), lambda k: F.struct((F.col("first") + k).alias("pos"), base(k).alias("base"), F.nullif(F.get("span", k), F.lit("")).alias("ref")))
+    differs = letters.select("read_id", F.inline(each)).where(~fr.matches_base(F.col("base"), F.col("ref"))).select("read_id", "pos", "base")
+    changed = parsed_reads.withColumn("ops", F.filter("ops", lambda o: o["op"] == "X"))
+    return bases(changed).select("read_id", "pos", "base").unionByName(differs)
 
 
 def base_modifications(parsed_reads: DataFrame) -> DataFrame:
