@@ -1,15 +1,15 @@
 """Read order and lane layout.
 
 First fit is sequential, but for reads in file order it falls apart into islands: once everything before ends,
-with the gap, left of all that follows, lanes start anew. Islands are found with window aggregates and laid out
-one group at a time; a group of over ``max_island`` rows raises an error instead of being cut.
+with the gap, left of all that follows, lanes start anew. Islands are found with window aggregates; each is then
+sorted by Spark and laid out as a stream that holds the bounds of its lanes, whatever the number of its rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,7 +88,9 @@ def with_islands(rows: DataFrame, gap: int, group: Sequence[str] = ("contig",),
     carried = extremes.select(*by, F.max("_e").over(before).alias("_before"), F.min("_s").over(behind).alias("_behind"))
     w = Window.partitionBy(*by).orderBy(*order)
     earlier = F.greatest(F.max("s_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
-    later = F.least(F.min("s_start").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.col("_behind"))
+    # Backwards, as Spark computes a frame up to the last row anew for each row.
+    back = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = F.least(F.min("s_start").over(back), F.col("_behind"))
     first = F.when(earlier.isNull() | (later > earlier + gap), F.struct(*order))
     marked = tiled.join(carried, by).withColumn("_first", first)
     firsts = marked.groupBy(*by).agg(F.max("_first").alias("_f")).select(*by, F.max("_f").over(before).alias("_last"))
@@ -96,36 +98,49 @@ def with_islands(rows: DataFrame, gap: int, group: Sequence[str] = ("contig",),
     return marked.join(firsts, by).withColumn("island", island).drop("_tile", "_before", "_behind", "_first", "_last")
 
 
-def assign_lanes(rows: DataFrame, gap: int = READ_GAP, group: Sequence[str] = ("contig",), max_island: int = 1_000_000) -> DataFrame:
-    """``id, lane`` of ``rows`` (``id, contig, start, s_start, s_end``) by first fit in file order."""
-    keys = [*group, "island"]
+def _laid_out(rows: DataFrame, keys: Sequence[str], out: Sequence[str], order: Sequence[Column], gap: int, most: int | None = None) -> DataFrame:
+    """``out, lane`` of ``rows`` (``s_start, s_end, rank``), a group of ``keys`` after the other as a stream that holds lane bounds only."""
+    schema = T.StructType([*[rows.schema[c] for c in out], T.StructField("lane", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lanes, n = None, [], 0
+        for b in batches:
+            found = []
+            columns = (b.column(c).to_pylist() for c in ("s_start", "s_end", "rank", *keys))
+            for start, end, rank, *k in zip(*columns, strict=True):
+                if k != key:
+                    key, lanes, n = k, [], 0
+                n += 1
+                if most is not None and n > most:
+                    raise ValueError(f"a group has over {most} rows, the max_island or max_rows given")
+                if rank is None:
+                    found += first_fit([(start, end)], gap, lanes)
+                else:
+                    found.append(len(lanes))
+                    lanes.append([start, end])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out), pa.array(found, pa.int32())], [*out, "lane"])
+
+    needed = list(dict.fromkeys([*keys, *out, "s_start", "s_end", "rank"]))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*needed).mapInArrow(run, schema)
+
+
+def assign_lanes(rows: DataFrame, gap: int = READ_GAP, group: Sequence[str] = ("contig",), max_island: int | None = None) -> DataFrame:
+    """``id, lane`` of ``rows`` (``id, contig, start, s_start, s_end``) by first fit in file order; over ``max_island`` rows, where given, raise an error."""
     islands = with_islands(rows.select("id", *group, "start", "s_start", "s_end"), gap, group)
+    # The first (start, id) of an island as columns.
+    flat = islands.select("*", F.col("island.start").alias("_start"), F.col("island.id").alias("_id"), F.lit(None).cast("int").alias("rank"))
+    return _laid_out(flat, [*group, "_start", "_id"], ["id"], [F.col("start"), F.col("id")], gap, max_island)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_island:
-            raise ValueError(f"an island has {len(pdf)} rows; max_island is {max_island}")
-        pdf = pdf.sort_values(["start", "id"], kind="stable")
-        return pd.DataFrame({"id": pdf["id"], "lane": first_fit(list(zip(pdf["s_start"], pdf["s_end"], strict=True)), gap)})
 
-    schema = T.StructType([rows.schema["id"], T.StructField("lane", T.IntegerType())])
-    return islands.groupBy(*keys).applyInPandas(fit, schema)
+def assign_lanes_sorted(rows: DataFrame, gap: int = READ_GAP, group: Sequence[str] = ("region_id",), max_rows: int | None = None) -> DataFrame:
+    """The group, ``id, lane`` where rows with a ``rank`` take lanes 0, 1, ... in its order and the others are fitted around them, a region at a time."""
+    order = [F.col("rank").asc_nulls_last(), F.col("start"), F.col("id")]
+    return _laid_out(rows.select("id", *group, "start", "s_start", "s_end", "rank"), list(group), [*group, "id"], order, gap, max_rows)
 
 
-def assign_lanes_sorted(rows: DataFrame, gap: int = READ_GAP, group: Sequence[str] = ("region_id",), max_rows: int = 1_000_000) -> DataFrame:
-    """``id, lane`` where rows with a ``rank`` take lanes 0, 1, ... in its order and the others are fitted around them, a region at a time."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_rows:
-            raise ValueError(f"a region has {len(pdf)} rows; max_rows is {max_rows}")
-        pdf = pdf.sort_values(["start", "id"], kind="stable")
-        keyed = pdf[pdf["rank"].notna()].sort_values("rank", kind="stable")
-        rest = pdf[pdf["rank"].isna()]
-        lanes = [[a, b] for a, b in zip(keyed["s_start"], keyed["s_end"], strict=True)]
-        lane = [*range(len(keyed)), *first_fit(list(zip(rest["s_start"], rest["s_end"], strict=True)), gap, lanes)]
-        return pd.DataFrame({"id": [*keyed["id"], *rest["id"]], "lane": lane})
-
-    schema = T.StructType([rows.schema["id"], T.StructField("lane", T.IntegerType())])
-    return rows.select("id", *group, "start", "s_start", "s_end", "rank").groupBy(*group).applyInPandas(fit, schema)
+def lane_counts(lanes: DataFrame) -> DataFrame:
+    """``lane, n``: the number of rows of each lane."""
+    return lanes.groupBy("lane").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lane_index(lanes: DataFrame) -> DataFrame:

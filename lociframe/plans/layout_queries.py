@@ -213,7 +213,7 @@ def ln_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ln_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lanes.lane_index(ln_reads(spark, sf_dir)).select("lane", F.size("ids").alias("n"))
+    return lanes.lane_counts(ln_reads(spark, sf_dir))
 
 
 @query()

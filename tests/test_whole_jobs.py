@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lociframe.operators import lanes
 from lociframe.operators import reads as r
 
 READ = "read_id long, qname string, flag int, contig string, start long, mapq int, cigar string, seq string"
@@ -30,3 +31,16 @@ def test_mismatches_beyond_a_chunk(spark):
     expected = {(i, p) for i, spans in ((1, [(65_000, 74_999)]), (2, [(60_000, 60_009), (150_000, 150_009)]), (3, [(60_000, 199_999)]), (4, [(219_995, 220_000)])) for a, b in spans for p in wrong if a <= p <= b}
     assert sorted((x["read_id"], x["pos"]) for x in found.collect()) == sorted(expected)
     assert found.where(F.col("base").isNull()).count() == 0
+
+
+def test_lanes_of_a_large_island(spark):
+    n = 1_000_500
+    rows = spark.range(n).select("id", F.lit("c").alias("contig"), (F.col("id") + 1).alias("start"), (F.col("id") + 1).alias("s_start"), (F.col("id") + 2).alias("s_end"))
+    # Each row starts within the gap of the one before; the fifth fits the first lane again.
+    found = {x["lane"]: x["n"] for x in lanes.lane_counts(lanes.assign_lanes(rows)).collect()}
+    assert found == {k: n // 5 for k in range(5)}
+
+
+def test_sorted_lanes_name_their_region(spark):
+    df = spark.createDataFrame([(1, g, 10, 10, 20, None) for g in (1, 2)], "id long, region_id long, start long, s_start long, s_end long, rank int")
+    assert sorted((x["region_id"], x["id"], x["lane"]) for x in lanes.assign_lanes_sorted(df).collect()) == [(1, 1, 0), (2, 1, 0)]
