@@ -9,10 +9,17 @@ from lociframe.operators.contigs import resolve
 from lociframe.operators.genes import genes_by_name
 
 
+def plain_number(x: Column) -> Column:
+    """A double without an exponent, with one decimal at least; below 1e-17 and from 1e20 on as Spark writes it."""
+    size = F.abs(x.cast("double"))
+    plain = F.regexp_replace(x.cast("double").cast("decimal(38, 18)").cast("string"), "(\\.[0-9]+?)0+$", "$1")
+    return F.when((size >= 1e-17) & (size < 0.001) | (size >= 1e7) & (size < 1e20), plain).otherwise(x.cast("string"))
+
+
 def describe_variant(contig: Column, pos: Column, ref: Column, alt: Column, qual: Column) -> Column:
     """``alt`` is an array; the missing alternative ``.`` is left out, missing quality is ``?``."""
     alts = F.array_join(F.filter(alt, lambda a: a != "."), ",")
-    return F.concat(F.lit("Variant: "), contig, F.lit(":"), pos.cast("string"), F.lit(" "), ref, F.lit(">"), alts, F.lit(" QUAL="), F.coalesce(qual.cast("string"), F.lit("?")))
+    return F.concat(F.lit("Variant: "), contig, F.lit(":"), pos.cast("string"), F.lit(" "), ref, F.lit(">"), alts, F.lit(" QUAL="), F.coalesce(plain_number(qual), F.lit("?")))
 
 
 def describe_interval(contig: Column, start: Column, end: Column) -> Column:

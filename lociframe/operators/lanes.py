@@ -138,6 +138,20 @@ def assign_lanes_sorted(rows: DataFrame, gap: int = READ_GAP, group: Sequence[st
     return _laid_out(rows.select("id", *group, "start", "s_start", "s_end", "rank"), list(group), [*group, "id"], order, gap, max_rows)
 
 
+def multi_key_places(rows: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their places in ``order``: a range sort, with the counts of the ranges before carried in."""
+    sc = rows.sparkSession.sparkContext
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # Kept, as a second run of the range sort could cut it elsewhere.
+    parts = parts.localCheckpoint() if sc._jsc.sc().getCheckpointDir().isEmpty() else parts.checkpoint()
+    # The number of a row's partition stands above its 33 bits.
+    parts = parts.withColumn("_part", F.shiftright("_at", 33))
+    sizes = parts.groupBy("_part").count()
+    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return parts.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_at", "_part", "_before")
+
+
 def lane_counts(lanes: DataFrame) -> DataFrame:
     """``lane, n``: the number of rows of each lane."""
     return lanes.groupBy("lane").agg(F.count(F.lit(1)).alias("n"))

@@ -174,15 +174,24 @@ def so_pair_base_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.join(ranked, "pair_id").select("pair_id", F.coalesce("a", "b", F.when(pairs.pair_gap_at(p), 8)).alias("rank"))
 
 
+def _multi_key(reads: DataFrame) -> DataFrame:
+    keys = lanes.sort_columns(["STRAND", "MAPQ", ("LENGTH", True), "READ_ORDER", "READ_NAME", "START"])
+    reads = reads.select("read_id", "flag", "mapq", "qname", "start", "end", F.lit(None).cast("string").alias("read_group"), F.lit(None).cast("int").alias("rank"))
+    return lanes.multi_key_places(reads, [*keys, F.col("read_id")]).select("read_id", "place")
+
+
 @query(
     """select read_id, row_number() over (order by flag & 16, mapq desc, "end" - start desc, case when flag & 64 <> 0 then 0 when flag & 128 <> 0 then 1 else 2 end, qname, start, read_id) as place from spans where contig = 'chrX'"""
 )
 def so_multi_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    return _multi_key(_parsed(spark, sf_dir).where("contig = 'chrX'"))
 
-    keys = lanes.sort_columns(["STRAND", "MAPQ", ("LENGTH", True), "READ_ORDER", "READ_NAME", "START"])
-    reads = _parsed(spark, sf_dir).where("contig = 'chrX'").withColumn("rank", F.lit(None).cast("int"))
-    return reads.select("read_id", F.row_number().over(Window.partitionBy("contig").orderBy(*keys, "read_id")).alias("place"))
+
+@query(
+    """select read_id, row_number() over (order by flag & 16, mapq desc, "end" - start desc, case when flag & 64 <> 0 then 0 when flag & 128 <> 0 then 1 else 2 end, qname, start, read_id) as place from spans"""
+)
+def so_multi_key_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _multi_key(_parsed(spark, sf_dir))
 
 
 @query("""select locus_id from loci l where exists (select 1 from regions r where r.contig = l.contig and l.position between r.start and r."end" and r.region_id % 3 = 0)""")

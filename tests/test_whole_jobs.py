@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lociframe.functions import formats
 from lociframe.operators import lanes
 from lociframe.operators import reads as r
 
@@ -44,3 +45,21 @@ def test_lanes_of_a_large_island(spark):
 def test_sorted_lanes_name_their_region(spark):
     df = spark.createDataFrame([(1, g, 10, 10, 20, None) for g in (1, 2)], "id long, region_id long, start long, s_start long, s_end long, rank int")
     assert sorted((x["region_id"], x["id"], x["lane"]) for x in lanes.assign_lanes_sorted(df).collect()) == [(1, 1, 0), (2, 1, 0)]
+
+
+def test_places_over_partitions(spark):
+    values = [(k * 7919) % 5003 for k in range(5003)]
+    df = spark.createDataFrame([(v,) for v in values], "id long")
+    assert sorted((x["id"], x["place"]) for x in lanes.multi_key_places(df, [F.col("id").desc()]).collect()) == [(v, 5003 - v) for v in range(5003)]
+
+
+def test_all_variants_are_described(spark, monkeypatch):
+    from lociframe.plans import gene_queries
+
+    given = [(1, "123.45"), (2, "1000000.00"), (3, "12345678.50"), (4, None), (6, "100.00")]
+    rows = spark.createDataFrame(given, "idx long, q string").selectExpr("idx", "'c' as contig", "1L as pos", "'A' as ref", "'C' as alt", "cast(q as decimal(18, 2)) as qual")
+    monkeypatch.setattr(gene_queries, "view", lambda *_: rows)
+    found = {x["idx"]: x["text"].partition("QUAL=")[2] for x in gene_queries.fmt_variants(spark, "").collect()}
+    assert found == {1: "123.45", 2: "1000000.0", 3: "12345678.5", 4: "?", 6: "100.0"}
+    small = spark.createDataFrame([(0.00012,), (3e9,), (0.0,)], "x double").select(formats.plain_number(F.col("x")).alias("x"))
+    assert [x["x"] for x in small.collect()] == ["0.00012", "3000000000.0", "0.0"]
