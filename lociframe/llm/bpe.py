@@ -1,27 +1,26 @@
 """Byte-level BPE encoding and decoding.
 
-Spark's higher-order functions fold the ranked merges over the byte-token arrays of distinct words; the rank
-map is a literal (a scalar subquery's value), bucketed since a lookup in a Spark map is a scan. Decoding
-concatenates the tokens' bytes.
+Spark's higher-order functions fold the ranked merges over the byte arrays of distinct words; the rank map is a
+literal (a scalar subquery's value), bucketed since a lookup in a Spark map is a scan. Decoding concatenates the
+tokens' bytes.
 
 One stage without a shuffle: the JVM splits the text; an Arrow step numbers the words of a batch of documents
 and passes each distinct one on once; the JVM folds the merges; an Arrow step puts the ids of each document
 together. Frequent words come from a dictionary that is encoded first, by the same fold, from a bounded
 sample of documents and broadcast; its bounds are ``warm_docs``, ``warm_chars``, ``warm_words`` and ``warm_bytes``. It only
-saves work: any other word is folded where it occurs, so results don't depend on it. The session's Arrow batches
-are limited to 2,000 rows.
+saves work: any other word is folded where it occurs, so results don't depend on it.
 
-A fold costs the square of a word's length, so words of over ``long_bytes`` bytes are merged with a heap in
-the Arrow step.
+Long texts and words: all words go through the same fold, whatever their length. A step of it costs the length of
+the word, so a word costs the square of its bytes; words of 64 MB or more raise an error.
 
 Defined results: a null text counts as empty and has no tokens; rows are encoded one by one, repeated ones
-too; an empty table gives an empty table; only the id column and the results are returned.
+too; an empty table gives an empty table; only the id column and the results are returned, so no other column can
+clash with them.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,11 @@ from pyspark.sql import types as T
 from lociframe.llm.shared import let
 
 BUCKETS = 65521  # a prime, so that keys of one left token spread
-TOKENS = 1 << 20  # over any token number
+# An entry of a folded word holds, from the top, the rank of the pair that it begins, its place and its token.
+TOKEN_BITS, PLACE_BITS = 18, 26
+TOKEN, PLACE = (1 << TOKEN_BITS) - 1, ((1 << PLACE_BITS) - 1) << TOKEN_BITS
+RANK_SHIFT = TOKEN_BITS + PLACE_BITS
+NONE = 1 << TOKEN_BITS  # the rank of what is no pair
 # The Unicode white space that \s means to the vocabulary's own library; \s of Java is ASCII only.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
@@ -50,7 +53,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     """``array<map<pair, token>>`` by bucket, as a literal value: every pair of tokens whose bytes together are a token."""
-    pairs = (x for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks for x in (ranks[t[:i]] * TOKENS + ranks[t[i:]], r))
+    pairs = (x for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks for x in (ranks[t[:i]] * NONE + ranks[t[i:]], r))
     keys, values = np.fromiter(pairs, np.int64).reshape(-1, 2).T
     order = np.argsort(keys % BUCKETS, kind="stable")
     ends = np.searchsorted(keys[order] % BUCKETS, np.arange(BUCKETS + 1)).astype(np.int32)
@@ -59,89 +62,72 @@ def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     return spark.createDataFrame(one).scalar()
 
 
-def merge_word(parts: Column, ranks: Column) -> Column:
-    """Folds merges over an array of byte tokens: each step joins the first pair of the lowest rank, until none is left."""
+def merge_word(word: Column, ranks: Column) -> Column:
+    """The tokens of a word's entries: each step of the fold joins the first pair of the lowest rank, until none is left."""
 
     def rank(a: Column, b: Column) -> Column:
-        key = a * TOKENS + b
-        return F.try_element_at(F.get(ranks, (key % BUCKETS).cast("int")), key)
-
-    def step(state: Column, _: Column) -> Column:
-        p = state.getField("parts")
-        found = F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), rank)  # the last part has no right neighbour, so no rank
-
-        def merged(r: Column) -> Column:
-            low = F.array_min(r)
-            at = F.array_position(r, low).cast("int")
-            joined = F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p)))
-            return F.when(low.isNull(), F.struct(p.alias("parts"), F.lit(True).alias("done"))).otherwise(F.struct(joined.alias("parts"), (F.size(p) == 2).alias("done")))
-
-        return F.when(state.getField("done"), state).otherwise(let(found, merged))
-
-    start = F.struct(parts.alias("parts"), (F.size(parts) < 2).alias("done"))
-    steps = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda s: s.getField("parts"))
-
-
-def merge_long(parts: list[int], tokens: list[bytes], ranks: dict[bytes, int]) -> list[int]:
-    """The same merges with a heap of pairs and a linked list of parts, for long words."""
-    after, before, gone = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1)), [False] * len(parts)
-    heap: list[tuple[int, int, int, int]] = []
-
-    def push(i: int) -> None:
-        j = after[i]
-        if j < len(parts) and (r := ranks.get(tokens[parts[i]] + tokens[parts[j]])) is not None:
-            heapq.heappush(heap, (r, i, parts[i], parts[j]))
-
-    for i in range(len(parts)):
-        push(i)
-    while heap:
-        r, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if gone[i] or parts[i] != a or j >= len(parts) or parts[j] != b:
-            continue
-        parts[i], gone[j], after[i] = r, True, after[j]
-        if after[j] < len(parts):
-            before[after[j]] = i
-        push(i)
-        if before[i] >= 0:
-            push(before[i])
-    return [p for p, x in zip(parts, gone, strict=True) if not x]
+        key = a * NONE + b
+        return F.coalesce(F.try_element_at(F.get(ranks, (key % BUCKETS).cast("int")), key), F.lit(NONE).cast("long"))
+
+    token = lambda e: e.bitwiseAND(TOKEN)
+    place = lambda e: e.bitwiseAND(PLACE)
+
+    def joined(e: Column, low: Column, at: Column) -> Column:
+        merged, before, behind = F.shiftright(low, RANK_SHIFT), F.get(e, at - 1), F.get(e, at + 2)
+        right = F.when(behind.isNull(), F.lit(NONE).cast("long")).otherwise(rank(merged, token(behind)))
+        here = F.array(F.shiftleft(right, RANK_SHIFT).bitwiseOR(place(low)).bitwiseOR(merged))
+        left = F.array(F.shiftleft(rank(token(before), merged), RANK_SHIFT).bitwiseOR(before.bitwiseAND(PLACE | TOKEN)))
+        rest = F.slice(e, at + 3, F.size(e))
+        return F.when(at > 0, F.concat(F.slice(e, F.lit(1), at - 1), left, here, rest)).otherwise(F.concat(here, rest))
+
+    def step(e: Column, _: Column) -> Column:
+        def merge(low: Column) -> Column:
+            # Places grow along a word, so those before count up to the pair's index.
+            index = let(place(low), lambda p: F.size(F.filter(e, lambda x: place(x) < p)))
+            return F.when(low >= NONE << RANK_SHIFT, e).otherwise(let(index, lambda at: joined(e, low, at)))
+
+        return let(F.array_min(e), merge)
+
+    steps = F.when(F.size(word) > 1, F.sequence(F.lit(1), F.size(word) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, word, step, lambda e: F.transform(e, token))
 
 
 class Cutter:
-    """Words to arrays of byte tokens; long words come merged already."""
+    """Words to arrays of entries: their bytes' tokens with the rank of each pair of neighbours."""
 
-    def __init__(self, tokens: list[bytes], long_bytes: int) -> None:
-        self.tokens, self.long_bytes = tokens, long_bytes
-        self.bytes = np.zeros(256, np.int64)
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.bytes, self.pairs = np.zeros(256, np.int64), np.full((256, 256), NONE, np.int64)
         for i, t in enumerate(tokens):
             if len(t) == 1:
                 self.bytes[t[0]] = i
-        self.ranks: dict[bytes, int] = {}
-
-    def parts(self, words: list[str]) -> pa.Array:
-        raw = [w.encode() for w in words]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        flat = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]
-        if len(sizes) and sizes.max() > self.long_bytes:
-            self.ranks = self.ranks or {t: i for i, t in enumerate(self.tokens) if t}
-            each = np.split(flat, np.cumsum(sizes)[:-1])
-            each = [np.array(merge_long(x.tolist(), self.tokens, self.ranks), np.int64) if len(x) > self.long_bytes else x for x in each]
-            sizes, flat = np.array([len(x) for x in each]), np.concatenate(each)
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64)))
+            elif len(t) == 2:
+                self.pairs[t[0], t[1]] = i
+
+    def entries(self, words: pa.StringArray) -> pa.ListArray:
+        if not len(words):
+            return pa.array([], pa.list_(pa.int64()))
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        raw = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        sizes = np.diff(ends)
+        if sizes.max() > PLACE >> TOKEN_BITS:
+            raise ValueError(f"a word has {sizes.max()} bytes, over the {PLACE >> TOKEN_BITS} that an entry can number")
+        rank = np.full(len(raw), NONE, np.int64)
+        rank[:-1] = self.pairs[raw[:-1], raw[1:]]
+        rank[ends[1:] - 1] = NONE
+        places = np.arange(len(raw)) - np.repeat(ends[:-1], sizes)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(rank << RANK_SHIFT | places << TOKEN_BITS | self.bytes[raw]))
 
 
 ROW_WORDS = 500_000  # words of one row between the steps, as far as whole documents allow
-HELD_WORDS = 150_000  # words that a task numbers besides the warm ones before it begins anew
+HELD_WORDS = 400_000  # words that a task numbers besides the warm ones before it begins anew
 
 
-def _split(tokens, warm, long_bytes: int):
+def _split(tokens, warm):
     """Numbers the words: warm ones first, then those new to the task, whose byte tokens go along once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, known = Cutter(tokens.value, long_bytes), {w: i for i, w in enumerate(warm.value)}
+        cutter, known = Cutter(tokens.value), {w: i for i, w in enumerate(warm.value)}
         n_warm = len(known)
         held: dict[str, int] = {}
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -167,7 +153,7 @@ def _split(tokens, warm, long_bytes: int):
                 codes = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else numbers[:0]
                 sizes = np.diff(ends[start : stop + 1]).astype("<i4")
                 yield pa.RecordBatch.from_arrays(
-                    [one(part.column("id")), pa.array([sizes.tobytes()], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary()), pa.array([fresh]), one(cutter.parts(new))],
+                    [one(part.column("id")), pa.array([sizes.tobytes()], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary()), pa.array([fresh]), one(cutter.entries(pa.array(new, pa.string())))],
                     ["ids", "sizes", "codes", "fresh", "parts"],
                 )
                 start = stop
@@ -224,18 +210,16 @@ def encode_decode(
     id: str = "doc_id",
     text: str = "text",
     warm_docs: int = 4_000,
-    warm_chars: int = 20_000,
+    warm_chars: int = 8_000,
     warm_words: int = 300_000,
     warm_bytes: int = 40,
-    long_bytes: int = 256,
 ) -> DataFrame:
     """``id, n_tokens, token_ids`` (little-endian unsigned 32-bit) and ``decoded`` (the ids' bytes, concatenated)."""
     spark = docs.sparkSession
-    # Batches between the JVM and Python hold all words of their documents, so they are kept small.
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(size, min(int(spark.conf.get(size)), 2_000))
     ranks = read_ranks(vocabulary)
-    tokens = [b""] * (max(ranks.values()) + 1)
+    tokens = [b""] * (max(ranks.values(), default=0) + 1)
+    if len(tokens) > NONE:
+        raise ValueError(f"token numbers go up to {len(tokens) - 1}, over {NONE - 1}")
     for t, r in ranks.items():
         tokens[r] = t
     literal = rank_map(spark, ranks)
@@ -248,12 +232,10 @@ def encode_decode(
     some = docs.select(F.substring(body, 1, warm_chars).alias("text")).limit(warm_docs).collect()
     some = spark.createDataFrame(pa.table({"text": pa.array([r["text"] for r in some], pa.string())})).repartition(32)
     counted = some.select(F.explode(split(F.col("text"))).alias("word")).where(F.octet_length("word") <= warm_bytes).groupBy("word").count()
-    known = counted.orderBy(F.desc("count"), "word").limit(warm_words).select("word").toArrow().column("word").to_pylist()
-    parts = Cutter(tokens, long_bytes).parts(known)
+    known = counted.orderBy(F.desc("count"), "word").limit(warm_words).select("word").toArrow().column("word").combine_chunks().cast(pa.string())
     edges = np.linspace(0, len(known), 65).astype(np.int32)
-    table = pa.table({"n": pa.array(np.arange(64)), "parts": pa.ListArray.from_arrays(pa.array(edges), parts)})
+    table = pa.table({"n": pa.array(np.arange(64)), "parts": pa.ListArray.from_arrays(pa.array(edges), Cutter(tokens).entries(known))})
     folded = _fold_all(spark.createDataFrame(table).repartition(32, "n"), literal).orderBy("n").toArrow().column("merged").combine_chunks()
-    folded = folded.combine_chunks() if isinstance(folded, pa.ChunkedArray) else folded
     sent = spark.sparkContext.broadcast
     tokens_sent = sent(tokens)
 
@@ -262,5 +244,5 @@ def encode_decode(
     kind = lambda name, t: T.StructField(name, t)
     passed = T.StructType([kind("ids", T.ArrayType(own)), kind("sizes", T.BinaryType()), kind("codes", T.BinaryType()), kind("fresh", T.BooleanType()), kind("parts", T.ArrayType(T.ArrayType(T.LongType())))])
     results = T.StructType([kind("id", own), kind("n_tokens", T.LongType()), kind("token_ids", T.BinaryType()), kind("decoded", T.BinaryType())])
-    numbered = words.mapInArrow(_split(tokens_sent, sent(known), long_bytes), passed)
+    numbered = words.mapInArrow(_split(tokens_sent, sent(known.to_pylist())), passed)
     return _fold_all(numbered, literal).mapInArrow(_assemble(tokens_sent, sent(_lists(folded.flatten()))), results).withColumnRenamed("id", id)

@@ -256,7 +256,7 @@ def test_components_of_a_chain(spark):
 # --- BPE
 
 
-@pytest.mark.parametrize("options", [{}, {"warm_docs": 1, "long_bytes": 4}])
+@pytest.mark.parametrize("options", [{}, {"warm_docs": 1}])
 def test_bpe(spark, odd, options):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -269,6 +269,18 @@ def test_bpe(spark, odd, options):
     assert bpe.encode_decode(odd.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_query(spark, table):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = by_id(q.op6_bpe(spark, SF))
+    assert len(found) == len(table)
+    for i, text in table.items():
+        ids = lib.encode_ordinary(text or "")
+        assert (found[i]["n_tokens"], found[i]["ids_sha256"], found[i]["decoded_sha256"]) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(text or ""))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 # --- token counts
 
 
