@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociframe.llm.shared import let
+from lociframe.llm.shared import let, once
 
 BUCKETS = 65521  # a prime, so that keys of one left token spread
 # An entry of a folded word holds, from the top, the rank of the pair that it begins, its place and its token.
@@ -119,8 +119,17 @@ class Cutter:
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(rank << RANK_SHIFT | places << TOKEN_BITS | self.bytes[raw]))
 
 
-ROW_WORDS = 500_000  # words of one row between the steps, as far as whole documents allow
-HELD_WORDS = 400_000  # words that a task numbers besides the warm ones before it begins anew
+ROW_WORDS = 500_000  # words of one row between the steps
+HELD_WORDS = 300_000  # words that a task numbers besides the warm ones before it begins anew
+PIECE_WORDS, PIECES = 256, 32
+
+
+def _pieces(docs: DataFrame, id: Column, words: Column) -> DataFrame:
+    """``id, words, last``: a document's words in rows of ``PIECE_WORDS``, or more where that were over ``PIECES`` rows, so that a batch of rows is small."""
+    n = F.size("_words")
+    most = F.greatest(F.lit(PIECE_WORDS), F.ceil(n / PIECES).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / most).cast("int")), lambda i: F.struct(F.slice("_words", i * most + 1, most).alias("words"), ((i + 1) * most >= n).alias("last")))
+    return docs.select(id.alias("id"), once(words).alias("_words")).select("id", F.inline(cut))
 
 
 def _split(tokens, warm):
@@ -130,6 +139,7 @@ def _split(tokens, warm):
         cutter, known = Cutter(tokens.value), {w: i for i, w in enumerate(warm.value)}
         n_warm = len(known)
         held: dict[str, int] = {}
+        begun: list[np.ndarray] = []  # codes of a document whose last piece is still to come
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         for b in batches:
             ends = b.column("words").offsets.to_numpy()
@@ -138,7 +148,7 @@ def _split(tokens, warm):
                 stop = max(start + 1, int(np.searchsorted(ends, ends[start] + ROW_WORDS, side="right")) - 1)
                 part = b.slice(start, stop - start)
                 coded = part.column("words").flatten().dictionary_encode()
-                new, fresh = [], len(held) > HELD_WORDS
+                new, fresh = [], len(held) > HELD_WORDS and not begun
                 if fresh:
                     held = {}
                 numbers = np.empty(len(coded.dictionary), np.int32)
@@ -151,9 +161,15 @@ def _split(tokens, warm):
                             new.append(w)
                     numbers[k] = code
                 codes = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else numbers[:0]
-                sizes = np.diff(ends[start : stop + 1]).astype("<i4")
+                last = part.column("last").to_numpy(zero_copy_only=False)
+                bounds = ends[start + 1 : stop + 1][last] - ends[start]  # where whole documents end
+                whole = int(bounds[-1]) if len(bounds) else 0
+                before = sum(map(len, begun))
+                own = np.concatenate([*begun, codes[:whole]]) if len(bounds) else codes[:0]
+                sizes = np.diff(np.concatenate([[0], bounds + before])) if len(bounds) else bounds
+                begun = [x for x in (*(() if len(bounds) else begun), codes[whole:]) if len(x)]
                 yield pa.RecordBatch.from_arrays(
-                    [one(part.column("id")), pa.array([sizes.tobytes()], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary()), pa.array([fresh]), one(cutter.entries(pa.array(new, pa.string())))],
+                    [one(part.column("id").filter(part.column("last"))), pa.array([sizes.astype("<i4").tobytes()], pa.binary()), pa.array([own.astype("<i4").tobytes()], pa.binary()), pa.array([fresh]), one(cutter.entries(pa.array(new, pa.string())))],
                     ["ids", "sizes", "codes", "fresh", "parts"],
                 )
                 start = stop
@@ -239,7 +255,7 @@ def encode_decode(
     sent = spark.sparkContext.broadcast
     tokens_sent = sent(tokens)
 
-    words = docs.select(F.col(id).alias("id"), split(body).alias("words"))
+    words = _pieces(docs, F.col(id), split(body))
     own = words.schema["id"].dataType
     kind = lambda name, t: T.StructField(name, t)
     passed = T.StructType([kind("ids", T.ArrayType(own)), kind("sizes", T.BinaryType()), kind("codes", T.BinaryType()), kind("fresh", T.BooleanType()), kind("parts", T.ArrayType(T.ArrayType(T.LongType())))])

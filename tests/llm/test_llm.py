@@ -23,7 +23,7 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 # Nulls, empty and blank texts, repeated rows, odd white space, other alphabets, a long word, control characters.
-ODD = [None, "", " \n\t ", "same text here", "same text here", "\n", "Été\u00a0ÉTÉ  a\u2003b", "x" * 3000, "=" * 700 + " é" * 5, "İstanbul ΑΒΓ 漢字かな 🙂🙂", "it's we'll 12345 ...\r\n\r\n  end ", "a b c d e f g h i j a b c d e f g h i j"]
+ODD = [None, "", " \n\t ", "same text here", "same text here", "\n", "Été\u00a0ÉTÉ  a\u2003b", "x" * 3000, "=" * 700 + " é" * 5, "İstanbul ΑΒΓ 漢字かな 🙂🙂", "it's we'll 12345 ...\r\n\r\n  end ", "a b c d e f g h i j a b c d e f g h i j", "long text " * 30_000]
 COLUMNS = "doc_id long, text string, n_words string, kept string, spans int, host string, score string, component_id int"
 
 
@@ -257,7 +257,9 @@ def test_components_of_a_chain(spark):
 
 
 @pytest.mark.parametrize("options", [{}, {"warm_docs": 1}])
-def test_bpe(spark, odd, options):
+def test_bpe(spark, odd, options, monkeypatch):
+    if options:  # pieces of a document then cross rows and batches
+        monkeypatch.setattr(bpe, "PIECE_WORDS", 2)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     expected = []
