@@ -1,12 +1,14 @@
 """Line-first quality rules, on DataFrame functions only.
 
 Every line is judged by punctuation, navigation and boilerplate rules, failing lines are removed, and a
-document that loses too much of its text, or fails the word and repetition rules, is rejected. Boilerplate, such
-as a licence line, is removed but isn't text of the document's own, so it isn't counted as lost.
-
-Defined results: a null text has no words, fails the rules and has null clean text; an empty table gives
-an empty table; repeated rows are judged one by one; every input column is kept, so an input column named
-like a result column is replaced by the result.
+document that loses too much of its text, boilerplate included, or fails the word and repetition rules, is rejected.
+A line is boilerplate where its phrases make up enough of it, one in ``boilerplate_words`` words or more, so that prose
+that mentions a licence stays.
+
+Defined results: a null text has no words, fails the rules and has null clean text; an empty text likewise, with empty
+clean text; long texts are judged whole, in time that grows with their words (their windows are sorted); an empty table
+gives an empty table; repeated rows are judged one by one; every input column is kept, but one named like a result is
+replaced by it. No other name can clash.
 """
 
 from __future__ import annotations
@@ -14,14 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.shared import WHITE, WORD, let, once
+from lociframe.llm.shared import WHITE, WORD, let, named, once, packed, unpacked
 
 SYMBOL = "[#*$%&|<>]"
-BOILERPLATE_CHARS = 200  # longer lines are prose
 # Phrases that mark a line as boilerplate, matched in lower case.
 BOILERPLATE = (
     "all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|"
-    "cookie|javascript|lorem ipsum|subscribe to our|click here|copyright|©"
+    "cookie|javascript|lorem ipsum|subscribe to our|click here|copyright|©|"
+    "todos los derechos reservados|política de privacidad|aviso legal|bajo licencia|términos de uso|"
+    "tous droits réservés|politique de confidentialité|mentions légales|sous licence|conditions d.utilisation|"
+    "alle rechte vorbehalten|datenschutzerklärung|impressum|lizenziert unter|nutzungsbedingungen"
 )
 
 
@@ -50,8 +54,10 @@ def _count(line: Column, chars: str) -> Column:
     return F.length(line) - F.length(F.regexp_replace(line, chars, ""))
 
 
-def is_boilerplate(line: Column) -> Column:
-    return (F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE)
+def is_boilerplate(line: Column, words: int = 30) -> Column:
+    """Whether boilerplate phrases are one in ``words`` words of the line, or more."""
+    low = F.lower(line)
+    return low.rlike(BOILERPLATE) & (F.regexp_count(low, F.lit(BOILERPLATE)) * words >= F.size(F.split(line, WHITE)))
 
 
 def line_fails(line: Column, has_symbols: Column) -> Column:
@@ -68,6 +74,9 @@ def line_fails(line: Column, has_symbols: Column) -> Column:
     return (~sentence | symbols | shouts) & line.rlike("[^\\x20\\x09-\\x0D]")
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "clean_text", "kept")
+
+
 def quality_rules(
     docs: DataFrame,
     text: str = "text",
@@ -75,34 +84,35 @@ def quality_rules(
     max_repeat_percent: int = 20,
     max_lost_percent: int = 60,
     width: int = 5,
+    boilerplate_words: int = 30,
 ) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``lost_chars``, ``clean_text`` and ``kept``.
 
     No shuffle: each row is judged on its own. Windows are compared by 64-bit hashes.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(named(text), F.lit(""))
+    given = packed(docs, body=body, is_null=named(text).isNull())
     # ASCII white space at both ends off, so that a split has no empty ends.
-    trimmed = F.regexp_replace(body, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
+    trimmed = F.regexp_replace("body", "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE))
     # Each step's arrays are columns, since what a lambda uses would otherwise be computed for each element.
-    parts = docs.withColumns({"_words": once(words), "_lines": once(F.split(body, "\n")), "n_symbols": F.regexp_count(body, F.lit(SYMBOL)).cast("long")})
-    parts = parts.withColumn("_own", once(F.filter("_lines", lambda x: ~is_boilerplate(x))))
-    worded = F.filter("_lines", lambda x: x.rlike(WORD))
+    parts = given.withColumns({"words": once(words), "lines": once(F.split("body", "\n")), "n_symbols": F.regexp_count("body", F.lit(SYMBOL)).cast("long")})
+    worded = F.filter("lines", lambda x: x.rlike(WORD))
+    stays = lambda x: ~(is_boilerplate(x, boilerplate_words) | line_fails(x, F.col("n_symbols") > 0))
     hashed = parts.withColumns(
         {
-            "_windows": once(F.slice(_windows(F.col("_words"), width), F.lit(1), F.greatest(F.size("_words") - (width - 1), F.lit(0)))),
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "windows": once(F.slice(_windows(F.col("words"), width), F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(0)))),
+            "n_words": F.size("words").cast("long"),
+            "word_chars": F.length(F.array_join("words", "")).cast("long"),
             "n_dup_lines": let(worded, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-            "clean_text": F.when(F.col(text).isNotNull(), F.array_join(F.filter("_own", lambda x: ~line_fails(x, F.col("n_symbols") > 0)), "\n")),
-            "_own_text": F.array_join("_own", "\n"),
+            "rest": once(F.array_join(F.filter("lines", stays), "\n")),
         }
-    ).drop("_words", "_lines", "_own")
-    again = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    counted = hashed.withColumn("n_repeat_words", F.when(again, _repeat_words(F.col("_windows"), width)).otherwise(F.lit(0).cast("long"))).drop("_windows")
+    ).drop("words", "lines")
+    again = F.size(F.array_distinct("windows")) < F.size("windows")
+    counted = hashed.withColumn("n_repeat_words", F.when(again, _repeat_words(F.col("windows"), width)).otherwise(F.lit(0).cast("long"))).drop("windows")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     # Characters outside line ends; removing a line also removes one line end, which isn't counted as lost.
-    length = lambda c: F.length(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit("")))
-    lost = (length(F.col("_own_text")) - length(F.col("clean_text"))).cast("long")
-    enough = (100 * F.col("lost_chars") <= max_lost_percent * length(F.col("_own_text"))) & F.coalesce(F.col("clean_text").rlike(WORD), F.lit(False))
-    return counted.withColumns({"base_failed": failed, "lost_chars": lost}).withColumn("kept", ~F.col("base_failed") & enough).drop("_own_text")
+    length = lambda c: F.length(F.replace(F.col(c), F.lit("\n"), F.lit("")))
+    counted = counted.withColumns({"base_failed": failed, "own": length("body"), "lost_chars": (length("body") - length("rest")).cast("long"), "clean_text": F.when(~F.col("is_null"), F.col("rest"))})
+    enough = (100 * F.col("lost_chars") <= max_lost_percent * F.col("own")) & F.col("rest").rlike(WORD)
+    return unpacked(counted.withColumn("kept", ~F.col("base_failed") & enough), *RESULTS)

@@ -134,7 +134,7 @@ again as (
 repeats as (select doc_id, count(distinct place) as n from again group by doc_id),
 judged as (
   select doc_id, line,
-    length(line) <= 200 and regexp_matches(lower(line), 'all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie|javascript|lorem ipsum|subscribe to our|click here|copyright|©') as boilerplate,
+    len(regexp_extract_all(lower(line), 'all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie|javascript|lorem ipsum|subscribe to our|click here|copyright|©|todos los derechos reservados|política de privacidad|aviso legal|bajo licencia|términos de uso|tous droits réservés|politique de confidentialité|mentions légales|sous licence|conditions d.utilisation|alle rechte vorbehalten|datenschutzerklärung|impressum|lizenziert unter|nutzungsbedingungen')) * 30 >= n as boilerplate,
     regexp_matches(line, '[^\x20\x09-\x0D]') and (
       not regexp_matches(line, '[.!?…。]["''»”)\]]*([\x20\x09-\x0D]|$)')
       or len(regexp_extract_all(line, '[#*$%&|<>]')) * 4 > n
@@ -142,7 +142,7 @@ judged as (
       or (contains(line, '!!') and len(regexp_extract_all(line, '!')) * 2 > n)) as fails
   from (select doc_id, line, len(regexp_extract_all(line, '[\x20\x09-\x0D]+')) + 1 as n from (select doc_id, unnest(lines) as line from docs))),
 lines as (
-  select doc_id, coalesce(sum(length(line)) filter (where not boilerplate), 0) as own, coalesce(sum(length(line)) filter (where not boilerplate and fails), 0) as lost,
+  select doc_id, sum(length(line)) as own, coalesce(sum(length(line)) filter (where boilerplate or fails), 0) as lost,
     coalesce(bool_or(regexp_matches(line, '[^\x20\x09-\x0D]')) filter (where not boilerplate and not fails), false) as has_rest
   from judged group by doc_id),
 base as (

@@ -20,10 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _filesystem_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a fresh local one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); where it is unset, a fresh local one in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -39,6 +46,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the folder of a materialized table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        files, path = _filesystem_path(spark, folder)
+        files.delete(path, True)
+
+
+def named(name: str) -> Column:
+    """The column of that very name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` beside ``row``, a struct of all of ``docs``, so that names of the input can't clash with an operator's own."""
+    return docs.select(F.struct(*map(named, docs.columns)).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unpacked(df: DataFrame, *results: str) -> DataFrame:
+    """The input's columns out of ``row``, but for those named like a result, and the results."""
+    taken = {r.lower() for r in results}
+    return df.select(*[F.col("row").getField(c).alias(c) for c in df.schema["row"].dataType.names if c.lower() not in taken], *results)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, although lambdas in ``body`` use it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
