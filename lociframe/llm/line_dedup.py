@@ -1,25 +1,27 @@
 """Line deduplication across documents, on DataFrame functions only.
 
-Line hashes are range-partitioned and sorted by (hash, document); a streaming aggregate over that order
-finds the lines that at least ``min_docs`` documents hold and the one document that keeps them. The result
-per document is a run-length compressed keep bitmap: the runs of kept lines up to the last dropped line,
-and the line after it. The text itself is only touched when a bitmap is applied.
-
-Scale: the range partitioning splits by (hash, document), so that a line in a third of all documents is
-spread over many partitions; per-hash totals are pre-aggregated before their exchange; the join that marks
-the occurrences is a plain shuffle join, which adaptive execution splits where one hash is hot.
-
-Defined results: a null or empty text is one empty line and is kept; rows with equal id are one document
-(each row is still returned); a null id is a document of its own, ordered before all others; an empty table
-gives an empty table; extra columns pass through ``apply_keep`` untouched.
+Line hashes are range-partitioned by (hash, document) and sorted within the ranges by hash, document and position. A
+window streams over that order and lets the first occurrence of a hash in each document through; these give each
+range's totals, which an exchange of one row per hash and range adds up: how many documents hold a line, and which one
+keeps it. The result per document is a run-length compressed keep bitmap: the runs of kept lines up to the last
+dropped line, and the line after it. The text itself is only touched when a bitmap is applied.
+
+Scale: ranges split by (hash, document), so a line in a third of all documents is spread over many partitions; totals
+are pre-aggregated in each range; the join that marks the occurrences is a plain shuffle join, which adaptive execution
+splits where one hash is hot.
+
+Defined results: a null or empty text is one empty line and is kept; long texts are cut whole, and only their hashes
+travel; rows with equal id are one document (each row is still returned); a null id is a document of its own, ordered
+before all others; an empty table gives an empty table; extra columns pass through ``apply_keep``, but one named like a
+result is replaced by it. No other name can clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.llm.shared import let, lower_ascii, materialize
+from lociframe.llm.shared import let, lower_ascii, materialize, named, packed, unpacked
 
 
 def line_key(line: Column) -> Column:
@@ -36,8 +38,8 @@ def keep_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", min_ch
 
     A key is compared by two independent 64-bit hashes.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(F.col(id).alias("id"), _version(F.col(text)).alias("version"), F.posexplode(F.split(body, "\n")).alias("at", "line"))
+    body = F.coalesce(named(text), F.lit(""))
+    lines = docs.select(named(id).alias("id"), _version(named(text)).alias("version"), F.posexplode(F.split(body, "\n")).alias("at", "line"))
     keys = (
         lines.withColumn("key", line_key(F.col("line")))
         .where(F.length("key") >= min_chars)
@@ -45,11 +47,12 @@ def keep_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", min_ch
     )
     # Hashes are written once: ranges are found by a sampling pass, and the rows are read again for the join.
     keys = materialize(keys, "line-keys")
-    sorted_keys = keys.select("h1", "h2", "id").repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "id")
-    # The first step needs no exchange, since a range holds all rows of a hash and document; the second sends
-    # one row per hash and range. As a table, the result leaves the join below two plain inputs, so that
+    # The window needs no exchange, since a range holds all rows of a hash and document, and reads the ranges' order.
+    ranges = keys.select("h1", "h2", "id", "at").repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "at")
+    first = ranges.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2", "id").orderBy("at"))).where("nth = 1")
+    # One row per hash and range goes on. As a table, the result leaves the join below two plain inputs, so that
     # adaptive execution can split a hot hash.
-    held = sorted_keys.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("id").alias("keeper"))
+    held = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper"))
     common = materialize(held.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "line-common")
     dropped = keys.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     places = dropped.groupBy("id", "version").agg(F.sort_array(F.collect_set("at")).alias("gone"))
@@ -72,29 +75,24 @@ def _kept_runs(gone: Column) -> Column:
 
 def apply_keep(docs: DataFrame, bitmaps: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``kept_lines``, ``n_lines`` and ``n_dropped``, by a null-safe join on id and text version."""
+    given = packed(docs, id=named(id), text=F.coalesce(named(text), F.lit("")), version=_version(named(text)))
     # Building a hash table of the small bitmaps spares sorting the texts.
-    b = bitmaps.hint("shuffle_hash").select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("kept_runs").alias("_runs"), F.col("rest").alias("_rest"), F.col("n_dropped").alias("_n_dropped"))
-    joined = docs.withColumn("_text_version", _version(F.col(text))).join(
-        b, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_text_version") == F.col("_version")), "left"
-    )
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    b = bitmaps.hint("shuffle_hash").select(F.col("id").alias("own"), F.col("version").alias("own_version"), F.col("kept_runs").alias("runs"), "rest", F.col("n_dropped").alias("gone"))
+    joined = given.join(b, F.col("id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("own_version")), "left")
+    lines = F.split("text", "\n")
     kept = let(
         lines,
         lambda line: F.concat(
-            F.flatten(F.transform(F.col("_runs"), lambda r: F.slice(line, r.getField("start") + 1, r.getField("n")))),
-            F.slice(line, F.col("_rest") + 1, F.size(line)),
+            F.flatten(F.transform("runs", lambda r: F.slice(line, r.getField("start") + 1, r.getField("n")))),
+            F.slice(line, F.col("rest") + 1, F.size(line)),
         ),
     )
-    return joined.withColumns(
-        {
-            "kept_lines": F.when(F.col("_runs").isNull(), lines).otherwise(kept),
-            "n_lines": F.size(lines).cast("long"),
-            "n_dropped": F.coalesce(F.col("_n_dropped"), F.lit(0)).cast("long"),
-        }
-    ).drop("_id", "_version", "_runs", "_rest", "_n_dropped", "_text_version")
+    results = {"kept_lines": F.when(F.col("runs").isNull(), lines).otherwise(kept), "n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce("gone", F.lit(0)).cast("long")}
+    return unpacked(joined.withColumns(results), *results)
 
 
 def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``docs`` with the lines that stay, joined again in ``kept_text``."""
-    out = apply_keep(docs, keep_bitmaps(docs, id, text, min_chars, min_docs), id, text)
-    return out.withColumn("kept_text", F.array_join("kept_lines", "\n")).drop("kept_lines")
+    """``docs`` with the lines that stay, joined again in ``kept_text``, and ``n_lines``, ``n_dropped``."""
+    given = packed(docs, id=named(id), text=named(text))
+    out = apply_keep(given, keep_bitmaps(given, "id", "text", min_chars, min_docs), "id", "text")
+    return unpacked(out.withColumn("kept_text", F.array_join("kept_lines", "\n")), "kept_text", "n_lines", "n_dropped")
