@@ -2,11 +2,13 @@
 
 First fit is sequential, but for reads in file order it falls apart into islands: once everything before ends,
 with the gap, left of all that follows, lanes start anew. Islands are found with window aggregates; each is then
-sorted by Spark and laid out as a stream that holds the bounds of its lanes, whatever the number of its rows.
+sorted by Spark and laid out as a stream that holds the bounds of its lanes, whatever the number of its rows. The bounds
+lie in trees, so a row costs the logarithm of the lanes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -14,15 +16,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociframe.operators.tables import kept
+
 READ_GAP, PAIR_GAP = 3, 10
 
 
 def base_rank(base: Column, deletion: Column, insertion: Column, gap: Column | None = None) -> Column:
-    """Sort rank at a position: A, T, C, G, N, other, deletion, insertion, pair gap; null for none of these."""
-    ranked = F.when(insertion, 7).when(deletion, 6)
-    for i, b in enumerate("ATCGN"):
+    """Sort rank at a position: A, T, C, G, N, other, deletion, insertion, pair gap; null for none of these.
+
+    An aligned base counts before a deletion, and that before an insertion at the same position.
+    """
+    ranked = F.when(F.upper(base) == "A", 0)
+    for i, b in enumerate("TCGN", 1):
         ranked = ranked.when(F.upper(base) == b, i)
-    ranked = ranked.when(base.isNotNull(), 5)
+    ranked = ranked.when(base.isNotNull(), 5).when(deletion, 6).when(insertion, 7)
     return ranked.when(gap, 8) if gap is not None else ranked
 
 
@@ -51,26 +58,66 @@ def sort_columns(keys: Sequence[str | tuple[str, bool]]) -> list[Column]:
     return out
 
 
-def first_fit(spans: Sequence[tuple[int, int]], gap: int, lanes: list[list[int]] | None = None) -> list[int]:
-    """Lane of each span in order: the first whose left bound lies right of it, or right bound left of it, with the gap.
+class Lanes:
+    """Lanes in order with the span each is filled over; ``place`` fits a row into one.
 
-    ``lanes``: ``[left, right]`` bounds of lanes in use, extended in place.
+    Two trees over the lanes, a node above its two: the greatest left bound, and the least right bound.
     """
-    lanes = [] if lanes is None else lanes
-    out = []
-    for start, end in spans:
-        for i, lane in enumerate(lanes):
-            if end + gap < lane[0]:
-                lane[0] = start
-                break
-            if start > lane[1] + gap:
-                lane[1] = end
-                break
-        else:
-            i = len(lanes)
-            lanes.append([start, end])
-        out.append(i)
-    return out
+
+    def __init__(self, gap: int) -> None:
+        self.gap, self.count, self.size = gap, 0, 1
+        self.left, self.right = [-math.inf] * 2, [math.inf] * 2
+
+    def place(self, start: int, end: int) -> int:
+        """The first lane with room on its left; else the first with room on its right; else a new one."""
+        left, right = self.left, self.right
+        if left[1] > end + self.gap:
+            node = 1
+            while node < self.size:
+                node *= 2
+                if left[node] <= end + self.gap:
+                    node += 1
+            return self._set(left, max, node, start)
+        if right[1] < start - self.gap:
+            node = 1
+            while node < self.size:
+                node *= 2
+                if right[node] >= start - self.gap:
+                    node += 1
+            return self._set(right, min, node, end)
+        return self.add(start, end)
+
+    def add(self, start: int, end: int) -> int:
+        """A new lane."""
+        if self.count == self.size:
+            self._grow()
+        node = self.size + self.count
+        self.count += 1
+        self._set(self.left, max, node, start)
+        return self._set(self.right, min, node, end)
+
+    def _set(self, tree: list[float], best, node: int, value: int) -> int:
+        lane = node - self.size
+        tree[node] = value
+        while node > 1:
+            node //= 2
+            tree[node] = best(tree[2 * node], tree[2 * node + 1])
+        return lane
+
+    def _grow(self) -> None:
+        leaves = [(self.left[self.size :], -math.inf, max), (self.right[self.size :], math.inf, min)]
+        self.size *= 2
+        for name, (values, none, best) in zip(("left", "right"), leaves, strict=True):
+            tree = [none] * self.size + values + [none] * (self.size - len(values))
+            for node in range(self.size - 1, 0, -1):
+                tree[node] = best(tree[2 * node], tree[2 * node + 1])
+            setattr(self, name, tree)
+
+
+def first_fit(spans: Sequence[tuple[int, int]], gap: int) -> list[int]:
+    """Lane of each span, placed in order."""
+    lanes = Lanes(gap)
+    return [lanes.place(start, end) for start, end in spans]
 
 
 def with_islands(rows: DataFrame, gap: int, group: Sequence[str] = ("contig",), tile: int = 1 << 20) -> DataFrame:
@@ -103,21 +150,17 @@ def _laid_out(rows: DataFrame, keys: Sequence[str], out: Sequence[str], order: S
     schema = T.StructType([*[rows.schema[c] for c in out], T.StructField("lane", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lanes, n = None, [], 0
+        key, lanes, n = None, Lanes(gap), 0
         for b in batches:
             found = []
             columns = (b.column(c).to_pylist() for c in ("s_start", "s_end", "rank", *keys))
             for start, end, rank, *k in zip(*columns, strict=True):
                 if k != key:
-                    key, lanes, n = k, [], 0
+                    key, lanes, n = k, Lanes(gap), 0
                 n += 1
                 if most is not None and n > most:
                     raise ValueError(f"a group has over {most} rows, the max_island or max_rows given")
-                if rank is None:
-                    found += first_fit([(start, end)], gap, lanes)
-                else:
-                    found.append(len(lanes))
-                    lanes.append([start, end])
+                found.append(lanes.place(start, end) if rank is None else lanes.add(start, end))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out), pa.array(found, pa.int32())], [*out, "lane"])
 
     needed = list(dict.fromkeys([*keys, *out, "s_start", "s_end", "rank"]))
@@ -125,11 +168,20 @@ def _laid_out(rows: DataFrame, keys: Sequence[str], out: Sequence[str], order: S
 
 
 def assign_lanes(rows: DataFrame, gap: int = READ_GAP, group: Sequence[str] = ("contig",), max_island: int | None = None) -> DataFrame:
-    """``id, lane`` of ``rows`` (``id, contig, start, s_start, s_end``) by first fit in file order; over ``max_island`` rows, where given, raise an error."""
-    islands = with_islands(rows.select("id", *group, "start", "s_start", "s_end"), gap, group)
+    """``id, lane`` of ``rows`` (``id, contig, start, s_start, s_end``) by first fit in file order; over ``max_island`` rows, where given, raise an error.
+
+    With a column ``visible``, rows for which it is false take no room and get lane 0; the result keeps the column.
+    """
+    filtered = "visible" in rows.columns
+    shown = rows.where("visible") if filtered else rows
+    islands = with_islands(shown.select("id", *group, "start", "s_start", "s_end"), gap, group)
     # The first (start, id) of an island as columns.
     flat = islands.select("*", F.col("island.start").alias("_start"), F.col("island.id").alias("_id"), F.lit(None).cast("int").alias("rank"))
-    return _laid_out(flat, [*group, "_start", "_id"], ["id"], [F.col("start"), F.col("id")], gap, max_island)
+    laid = _laid_out(flat, [*group, "_start", "_id"], ["id"], [F.col("start"), F.col("id")], gap, max_island)
+    if not filtered:
+        return laid
+    hidden = rows.where(~F.coalesce("visible", F.lit(False))).select("id", F.lit(0).alias("lane"), F.lit(False).alias("visible"))
+    return laid.withColumn("visible", F.lit(True)).unionByName(hidden)
 
 
 def assign_lanes_sorted(rows: DataFrame, gap: int = READ_GAP, group: Sequence[str] = ("region_id",), max_rows: int | None = None) -> DataFrame:
@@ -140,10 +192,8 @@ def assign_lanes_sorted(rows: DataFrame, gap: int = READ_GAP, group: Sequence[st
 
 def multi_key_places(rows: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
     """``rows`` with their places in ``order``: a range sort, with the counts of the ranges before carried in."""
-    sc = rows.sparkSession.sparkContext
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     # Kept, as a second run of the range sort could cut it elsewhere.
-    parts = parts.localCheckpoint() if sc._jsc.sc().getCheckpointDir().isEmpty() else parts.checkpoint()
+    parts = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     # The number of a row's partition stands above its 33 bits.
     parts = parts.withColumn("_part", F.shiftright("_at", 33))
     sizes = parts.groupBy("_part").count()
@@ -152,16 +202,15 @@ def multi_key_places(rows: DataFrame, order: Sequence[Column], name: str = "plac
     return parts.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_at", "_part", "_before")
 
 
-def lane_counts(lanes: DataFrame) -> DataFrame:
-    """``lane, n``: the number of rows of each lane."""
-    return lanes.groupBy("lane").agg(F.count(F.lit(1)).alias("n"))
+def _shown(lanes: DataFrame) -> DataFrame:
+    return lanes.where("visible") if "visible" in lanes.columns else lanes
 
 
-def lane_index(lanes: DataFrame) -> DataFrame:
-    """``lane, ids`` of visible rows."""
-    return lanes.groupBy("lane").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+def lane_counts(lanes: DataFrame) -> DataFrame:
+    """``lane, n``: the number of visible rows of each lane."""
+    return _shown(lanes).groupBy("lane").agg(F.count(F.lit(1)).alias("n"))
 
 
 def depth(lanes: DataFrame) -> DataFrame:
     """Number of lanes."""
-    return lanes.agg(F.coalesce(F.max("lane") + 1, F.lit(0)).alias("depth"))
+    return _shown(lanes).agg(F.coalesce(F.max("lane") + 1, F.lit(0)).alias("depth"))

@@ -139,11 +139,12 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", lanes.base_rank(fr.base_at(F.col("ops"), F.col("seq"), p), fr.is_deletion_at(F.col("ops"), p), fr.has_insertion_at(F.col("ops"), p)))
 
 
-_RANKED = """with hits as (select l.locus_id, l.position as p, s.* from loci l join spans s on l.contig = s.contig and l.position between s.s_start and s.s_end),
-ranked as (select h.*, case when exists (select 1 from ops o where o.read_id = h.read_id and o.op = 'I' and o.ref_start = p) then 7
-    when exists (select 1 from ops o where o.read_id = h.read_id and o.op in ('D', 'N') and p between o.ref_start and o.ref_start + o.len - 1) then 6
-    when b.base = 'A' then 0 when b.base = 'T' then 1 when b.base = 'C' then 2 when b.base = 'G' then 3 when b.base = 'N' then 4 when b.base is not null then 5 end as rank
-  from hits h left join bases b on b.read_id = h.read_id and b.pos = p and not b.clip)
+# What else than a base a read has at a position: a deletion counts before an insertion.
+_SPECIAL = """select read_id, p, min(case when op in ('D', 'N') and p between ref_start and ref_start + len - 1 then 6 when op = 'I' and ref_start = p then 7 end) as special from (select distinct read_id, p from {hits}) join ops using (read_id) group by read_id, p"""
+_BASE_RANK = "case b.base when 'A' then 0 when 'T' then 1 when 'C' then 2 when 'G' then 3 when 'N' then 4 end"
+_RANKED = f"""with hits as (select l.locus_id, l.position as p, s.* from loci l join spans s on l.contig = s.contig and l.position between s.s_start and s.s_end),
+ranked as (select h.*, coalesce({_BASE_RANK}, special) as rank
+  from hits h left join bases b on b.read_id = h.read_id and b.pos = p and not b.clip left join ({_SPECIAL.format(hits='hits')}) x on x.read_id = h.read_id and x.p = h.p)
 """
 
 
@@ -157,13 +158,12 @@ def so_base_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _PAIRS
-    + """, sites as (select *, 1000 + pair_id % 2000 as p from pairs),
-  k as (select read_id, p, case when exists (select 1 from ops o where o.read_id = m.read_id and o.op = 'I' and o.ref_start = p) then 7
-      when exists (select 1 from ops o where o.read_id = m.read_id and o.op in ('D', 'N') and p between o.ref_start and o.ref_start + o.len - 1) then 6 else null end as special
-    from (select read_1 as read_id, p from sites union select read_2, p from sites where read_2 is not null) m),
-  ranks as (select k.read_id, k.p, coalesce(special, case b.base when 'A' then 0 when 'T' then 1 when 'C' then 2 when 'G' then 3 when 'N' then 4 end) as rank from k left join bases b on b.read_id = k.read_id and b.pos = k.p and not b.clip)
-  select s.pair_id, coalesce(a.rank, b.rank, case when read_2 is not null and s.p > least(end_1, end_2) and s.p < greatest(start_1, start_2) then 8 end) as rank
-  from sites s left join ranks a on a.read_id = s.read_1 and a.p = s.p left join ranks b on b.read_id = s.read_2 and b.p = s.p"""
+    + f""", sites as (select *, 1000 + pair_id % 2000 as p from pairs),
+  members as (select read_1 as read_id, p from sites union all select read_2, p from sites where read_2 is not null),
+  ranks as (select k.read_id, k.p, coalesce({_BASE_RANK}, special) as rank
+    from members k left join bases b on b.read_id = k.read_id and b.pos = k.p and not b.clip left join ({_SPECIAL.format(hits='members')}) x on x.read_id = k.read_id and x.p = k.p)
+  select s.pair_id, coalesce(a.rank, c.rank, case when read_2 is not null and s.p > least(end_1, end_2) and s.p < greatest(start_1, start_2) then 8 end) as rank
+  from sites s left join ranks a on a.read_id = s.read_1 and a.p = s.p left join ranks c on c.read_id = s.read_2 and c.p = s.p"""
 )
 def so_pair_base_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _parsed(spark, sf_dir)
@@ -203,28 +203,62 @@ def so_loaded_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_join(sites, loaded, bin_size=512, levels=1).select("locus_id").distinct()
 
 
-@query()
+def _first_fit(rows: str, group: str, order: str, gap: int, out: str) -> str:
+    """First fit in SQL: a fold over the rows of a group, whose state has the bounds of the lanes and the lanes given so far; ranked rows take a new lane each."""
+    left = f"list_position(list_transform(a.l, lambda v: v > x.e + {gap} and not x.ranked), true)"
+    right = f"list_position(list_transform(a.r, lambda v: v < x.s - {gap} and not x.ranked), true)"
+    swap = lambda bounds, at, value: f"a.{bounds}[1:{at} - 1] || [x.{value}] || a.{bounds}[{at} + 1:]"
+    step = f"""{{'id': x.id, 's': x.s, 'e': x.e, 'ranked': x.ranked,
+      'l': case when {left} > 0 then {swap('l', left, 's')} when {right} > 0 then a.l else a.l || [x.s] end,
+      'r': case when {left} > 0 then a.r when {right} > 0 then {swap('r', right, 'e')} else a.r || [x.e] end,
+      'o': a.o || [coalesce(nullif({left}, 0), nullif({right}, 0), len(a.l) + 1) - 1]}}"""
+    none = "[]::bigint[]"
+    item = f"{{'id': id, 's': s_start, 'e': s_end, 'ranked': ranked, 'l': {none}, 'r': {none}, 'o': {none}}}"
+    start = f"{{'id': 0::bigint, 's': 0::bigint, 'e': 0::bigint, 'ranked': false, 'l': {none}, 'r': {none}, 'o': {none}}}"
+    return f"""rows_in as ({rows}), folded as (select {group}, list({item} order by {order}) as items from rows_in group by {group}),
+    laid as (select {group}, unnest(list_transform(items, lambda i: i.id)) as id, unnest(list_reduce(list_prepend({start}, items), lambda a, x: {step}).o) as lane from folded)
+    {out}"""
+
+
+_SPANS = "select read_id as id, contig, start, s_start, s_end, false as ranked from spans"
+_READ_LANES = "with " + _first_fit(_SPANS, "contig", "start, id", 3, "")
+
+
+@query(_READ_LANES + "select id, cast(lane as int) as lane from laid")
 def ln_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.assign_lanes(_parsed(spark, sf_dir).select(F.col("read_id").alias("id"), "contig", "start", "s_start", "s_end"))
 
 
-@query()
+@query(_PAIRS + ", " + _first_fit("select pair_id as id, contig, s_start as start, s_start, s_end, false as ranked from pairs", "contig", "start, id", 10, "select id, cast(lane as int) as lane from laid"))
 def ln_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs.pairs(_parsed(spark, sf_dir)).select(F.col("pair_id").alias("id"), "contig", F.col("s_start").alias("start"), "s_start", "s_end")
     return lanes.assign_lanes(p, gap=lanes.PAIR_GAP)
 
 
-@query()
+@query(
+    _RANKED
+    + ", "
+    + _first_fit("select read_id as id, locus_id as region_id, start, s_start, s_end, rank, rank is not null as ranked from ranked", "region_id", "rank nulls last, start, id", 3, "select region_id, id, cast(lane as int) as lane from laid")
+)
 def ln_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ranked(_at_loci(spark, sf_dir)).select(F.col("read_id").alias("id"), F.col("locus_id").alias("region_id"), "start", "s_start", "s_end", "rank")
     return lanes.assign_lanes_sorted(rows)
 
 
-@query()
+@query(_READ_LANES + "select cast(lane as int) as lane, count(*) as n from laid group by lane")
 def ln_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.lane_counts(ln_reads(spark, sf_dir))
 
 
-@query()
+@query(_READ_LANES + "select cast(coalesce(max(lane) + 1, 0) as int) as depth from laid")
 def ln_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.depth(ln_reads(spark, sf_dir))
+
+
+@query(
+    "with "
+    + _first_fit(_SPANS + " where mapq >= 30 and flag & 16 = 0", "contig", "start, id", 3, "select id, cast(lane as int) as lane, true as visible from laid union all select read_id, 0, false from spans where not (mapq >= 30 and flag & 16 = 0)")
+)
+def fl_filtered_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = (F.col("mapq") >= 30) & (F.col("flag").bitwiseAND(16) == 0)
+    return lanes.assign_lanes(_parsed(spark, sf_dir).select(F.col("read_id").alias("id"), "contig", "start", "s_start", "s_end", shown.alias("visible")))

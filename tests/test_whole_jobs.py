@@ -42,6 +42,50 @@ def test_lanes_of_a_large_island(spark):
     assert found == {k: n // 5 for k in range(5)}
 
 
+def by_the_rule(spans, gap):
+    """Written from the rule alone: all lanes are tried for room on the left, then all for room on the right."""
+    bounds, out = [], []
+    for start, end in spans:
+        left = [i for i, (a, _) in enumerate(bounds) if end + gap < a]
+        right = [i for i, (_, b) in enumerate(bounds) if start > b + gap]
+        if left:
+            bounds[left[0]] = (start, bounds[left[0]][1])
+            out.append(left[0])
+        elif right:
+            bounds[right[0]] = (bounds[right[0]][0], end)
+            out.append(right[0])
+        else:
+            bounds.append((start, end))
+            out.append(len(bounds) - 1)
+    return out
+
+
+def test_lanes_by_the_rule():
+    assert lanes.first_fit([(10, 20), (15, 16), (50, 60), (30, 40)], 3) == by_the_rule([(10, 20), (15, 16), (50, 60), (30, 40)], 3)
+    laid = lanes.Lanes(3)
+    for span in ((10, 20), (50, 60)):
+        laid.add(*span)
+    assert laid.place(30, 40) == 1  # left of the second lane, although it also fits right of the first
+    rng = random.Random(8)
+    for n in range(300):
+        spans = [(s := rng.randrange(400), s + rng.randrange(60)) for _ in range(n)]
+        assert lanes.first_fit(spans, 3) == by_the_rule(spans, 3)
+
+
+def test_hidden_rows_take_no_room(spark):
+    df = spark.createDataFrame([(1, "c", 10, 10, 20, True), (2, "c", 11, 11, 90, False), (3, "c", 30, 30, 40, True), (4, "c", 31, 31, 40, None)], "id long, contig string, start long, s_start long, s_end long, visible boolean")
+    laid = lanes.assign_lanes(df)
+    assert sorted(map(tuple, laid.collect())) == [(1, 0, True), (2, 0, False), (3, 0, True), (4, 0, False)]
+    assert [tuple(r) for r in lanes.lane_counts(laid).collect()] == [(0, 2)] and lanes.depth(laid).first()[0] == 1
+
+
+def test_rank_takes_the_base_first(spark):
+    flags = [("a", True, True), (None, True, True), (None, False, True), ("x", False, False), (None, False, False)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(flags)], "i int, base string, deletion boolean, insertion boolean")
+    rank = lanes.base_rank(F.col("base"), F.col("deletion"), F.col("insertion"))
+    assert [r["rank"] for r in df.select("i", rank.alias("rank")).orderBy("i").collect()] == [0, 6, 7, 5, None]
+
+
 def test_sorted_lanes_name_their_region(spark):
     df = spark.createDataFrame([(1, g, 10, 10, 20, None) for g in (1, 2)], "id long, region_id long, start long, s_start long, s_end long, rank int")
     assert sorted((x["region_id"], x["id"], x["lane"]) for x in lanes.assign_lanes_sorted(df).collect()) == [(1, 1, 0), (2, 1, 0)]
