@@ -12,20 +12,19 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = 1 << 14, how
     """Pairs of rows that share a position; both sides have ``contig, start, end``, the right ones come as ``r_*``.
 
     Intervals meet by (contig, bin) and a pair is kept only in the later of the two first bins, so no distinct
-    is needed. Intervals over more than ``WIDE`` bins meet all others by bins ``WIDE`` times as large, level by
-    level; the last level takes whatever is left. ``how='left'`` needs a unique ``left`` row and adds those
-    without a partner.
+    is needed. An interval over more than ``WIDE`` bins meets others by bins ``WIDE`` times as large, level by
+    level; the last level takes whatever is left. At each level only pairs with a side of that level meet, so narrow rows
+    are never compared in wide bins. ``how='left'`` adds left rows without a partner; repeated rows of either side stay.
     """
     r = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
     level = lambda width: sum((F.when(width > bin_size * WIDE ** (i + 1), 1).otherwise(0) for i in range(levels - 1)), F.lit(0))
     a = left.withColumn("_la", level(F.col("end") - F.col("start")))
     b = r.withColumn("_lb", level(F.col("r_end") - F.col("r_start")))
-    parts = []
-    for k in range(levels):
-        size = bin_size * WIDE**k
-        bins = lambda s, e, size=size: F.sequence(F.floor(s / size), F.floor(e / size))
-        x = a.where(F.col("_la") <= k).withColumn("_bin", F.explode(bins(F.col("start"), F.col("end"))))
-        y = b.where(F.col("_lb") <= k).withColumn("_rbin", F.explode(bins(F.col("r_start"), F.col("r_end"))))
+
+    def meet(x: DataFrame, y: DataFrame, size: int) -> DataFrame:
+        bins = lambda s, e: F.explode(F.sequence(F.floor(s / size), F.floor(e / size)))
+        x = x.drop("_la").withColumn("_bin", bins(F.col("start"), F.col("end")))
+        y = y.drop("_lb").withColumn("_rbin", bins(F.col("r_start"), F.col("r_end")))
         on = (
             (F.col("contig") == F.col("r_contig"))
             & (F.col("_bin") == F.col("_rbin"))
@@ -33,15 +32,38 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = 1 << 14, how
             & (F.col("end") >= F.col("r_start"))
             & (F.col("_bin") == F.greatest(F.floor(F.col("start") / size), F.floor(F.col("r_start") / size)))
         )
-        parts.append(x.join(y, on & (F.greatest("_la", "_lb") == k)).drop("_la", "_lb", "_bin", "_rbin"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        return x.join(y, on).drop("_bin", "_rbin")
+
+    out = meet(a.where("_la = 0"), b.where("_lb = 0"), bin_size)
+    for k in range(1, levels):
+        size = bin_size * WIDE**k
+        out = out.unionByName(meet(a.where(F.col("_la") == k), b.where(F.col("_lb") <= k), size))
+        out = out.unionByName(meet(a.where(F.col("_la") < k), b.where(F.col("_lb") == k), size))
     if how == "left":
-        out = left.join(out.drop(*[c for c in left.columns if c not in ("contig", "start", "end")]).distinct(), ["contig", "start", "end"], "left")
+        met = out.select([F.col(c).alias(f"_m_{c}") for c in left.columns]).distinct()
+        same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in left.columns]
+        out = out.unionByName(left.join(met, same, "left_anti"), allowMissingColumns=True)
     return out
 
 
+def count_overlaps(left: DataFrame, right: DataFrame, id: str, tile: int = 1 << 20) -> DataFrame:
+    """``id, n``: how many ``right`` intervals each ``left`` one overlaps, where any.
+
+    Those that begin up to its end, less those that end before its start: two running counts, without the pairs.
+    """
+
+    def counted(events: DataFrame, bound: str, key: str, events_first: bool) -> DataFrame:
+        own = left.select("contig", F.col(bound).alias("_key"), F.col(id).alias("_id"), F.lit(0).cast("long").alias("_w"))
+        every = events.groupBy("contig", F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_w"))
+        both = own.unionByName(every, allowMissingColumns=True)
+        order = F.col("_w").desc() if events_first else F.col("_w").asc()
+        return running_count(both, "_key", F.col("_w"), tile, "_c", [order]).where("_w = 0").select(F.col("_id").alias(id), "_c")
+
+    begun = counted(right, "end", "start", events_first=True)
+    ended = counted(right, "start", "end", events_first=False)
+    return begun.unionByName(ended.withColumn("_c", -F.col("_c"))).groupBy(id).agg(F.sum("_c").alias("n")).where("n > 0")
+
+
 def running_count(events: DataFrame, key: str, weight: Column, tile: int, name: str, before: list[Column] | None = None) -> DataFrame:
     """``events`` with the running sum of ``weight`` per contig by ``key``, tile by tile with the sums before each tile carried in.
 

@@ -39,6 +39,22 @@ def bases(parsed_reads: DataFrame) -> DataFrame:
     return rows.where(~F.col("lead") | (F.col("pos") >= 2)).withColumn("base", F.substring("seq", F.col("query") + 1, F.lit(1))).drop("lead", "ops")
 
 
+def _letters(parsed_reads: DataFrame, carried: list[str]) -> DataFrame:
+    """``carried, pos, base, clip`` of the rows of ``bases``, with the letters of a block cut at once."""
+    lead = lambda o: (o["op"] == "S") & fr.is_leading(o, F.col("start"))
+    block = lambda o: F.struct(
+        F.when(lead(o), o["ref_start"] - o["len"]).otherwise(o["ref_start"]).alias("first"), o["len"].alias("n"), o["query_start"].alias("query"), (o["op"] == "S").alias("clip"), lead(o).alias("lead")
+    )
+    taken = F.transform(F.filter("ops", lambda o: o["op"].isin("S", *fr.ALIGNED) & (o["len"] > 0)), block)
+    blocks = parsed_reads.select(*carried, "seq", F.inline(taken))
+    # A text shorter than its CIGAR gives empty bases, and a missing one null ones.
+    part = F.rpad(F.substring("seq", F.col("query") + 1, F.col("n")), F.col("n"), "\0")
+    none = F.array_repeat(F.lit(None).cast("string"), F.col("n"))
+    each = blocks.select(*carried, "first", "clip", "lead", F.posexplode(F.coalesce(F.split(part, ""), none)).alias("k", "letter"))
+    placed = each.select(*carried, (F.col("first") + F.col("k")).alias("pos"), F.when(F.col("letter") == "\0", "").otherwise(F.col("letter")).alias("base"), "clip", "lead")
+    return placed.where(~F.col("lead") | (F.col("pos") >= 2)).drop("lead")
+
+
 def reference_chunks(sequences: DataFrame, size: int = CHUNK, overlap: int = 1 << 12) -> DataFrame:
     """``contig, bases`` as ``contig, chunk_no, chunk_start, bases`` of fixed size, each reaching ``overlap`` bases into the next."""
     n = F.floor((F.length("bases") - 1) / size)
@@ -50,7 +66,7 @@ def reference_chunks(sequences: DataFrame, size: int = CHUNK, overlap: int = 1 <
 def pileup(parsed_reads: DataFrame, sequences: DataFrame | None = None, group: list[str] | None = None) -> DataFrame:
     """Counts per contig and position: ``a, t, c, g, n, total, softclip`` and the reference base (N if unknown)."""
     by = [*(group or []), "contig", "pos"]
-    rows = bases(parsed_reads).select(*by, "base", (F.col("op") == "S").alias("clip"))
+    rows = _letters(parsed_reads, [*(group or []), "contig"])
     base = F.when(F.col("clip"), F.lit(None)).when(F.col("base").isin("A", "T", "C", "G"), F.col("base")).otherwise("N")
     counts = rows.withColumn("b", base).groupBy(*by).agg(
         *[F.count_if(F.coalesce(F.col("b") == x, F.lit(False))).alias(x.lower()) for x in "ATCGN"], F.count("b").alias("total"), F.count_if(F.col("clip")).alias("softclip")

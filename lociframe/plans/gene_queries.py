@@ -11,7 +11,7 @@ from lociframe.functions import reads as fr
 from lociframe.operators import contigs as ctg
 from lociframe.operators import genes as g
 from lociframe.operators import sequence as sq
-from lociframe.operators.joins import overlap_join
+from lociframe.operators.joins import count_overlaps, overlap_join
 from lociframe.plans.adapters import view
 from lociframe.plans.registry import query
 
@@ -57,7 +57,17 @@ def int_read_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociframe.operators import reads as r
 
     reads = r.parsed(view(spark, sf_dir, "reads")).select("contig", "start", "end")
-    return overlap_join(_intervals(spark, sf_dir), reads, bin_size=256).groupBy("idx").agg(F.count(F.lit(1)).alias("n_reads"))
+    return count_overlaps(_intervals(spark, sf_dir), reads, "idx").withColumnRenamed("n", "n_reads")
+
+
+@query(
+    """with twice as (select * from intervals where idx % 40 = 0 union all select * from intervals where idx % 80 = 0)
+    select r.region_id, i.idx from regions r left join twice i on r.contig = i.contig and r.start <= i.end0 and r."end" >= i.start0 + 1"""
+)
+def int_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = _intervals(spark, sf_dir)
+    twice = every.where("idx % 40 = 0").unionByName(every.where("idx % 80 = 0"))
+    return overlap_join(view(spark, sf_dir, "regions"), twice, bin_size=256, how="left").select("region_id", F.col("r_idx").alias("idx"))
 
 
 @query("""select locus_id, greatest(1, position - half_width) as region_start, position + half_width as region_end, greatest(1, position - half_width * 3) as padded_start, position + half_width * 3 as padded_end,
