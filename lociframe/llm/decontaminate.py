@@ -11,12 +11,14 @@ words shorter than the shortest window, so only longer stretches enter the index
 them. This drops no occurrence and keeps the index small. There is no shuffle: each document is judged where
 it is read.
 
-The windows are broadcast, in blocks of items whose texts stay under ``block_bytes``; a larger benchmark
-takes one pass over the documents for each block, and the passes' spans are merged.
+The windows are broadcast as arrays, in blocks of items whose texts stay under ``block_bytes`` (about 40 bytes a word, and
+the vocabulary); with a larger benchmark, each block is a step of its own over the same rows, which merges its spans with
+those of the steps before, so that no rows are grouped.
 
 Defined results: null or empty texts have no words, as documents and as items; items with equal text are all
-reported; rows are judged one by one, repeated ones too; with no windows nothing is hit; an empty table gives
-an empty table. Result columns replace input columns of the same name; other columns pass through.
+reported; an item with a null id marks what it hits but isn't listed; long texts are searched whole, a shard holding at
+least one document; rows are judged one by one, repeated ones too; with no windows nothing is hit; an empty table gives
+an empty table. Result columns replace input columns of the same name; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociframe.llm.shared import named, packed, unpacked
+
 # Bytes that make words: digits, letters in lower case, all beyond ASCII; the others become spaces.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -45,30 +49,40 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Windows:
-    """Distinct windows by length, over the numbers of the benchmark's words, and the items of each."""
+    """Distinct windows by length, over the numbers of the benchmark's words, and the items of each (``names`` of ``members`` between ``ends``)."""
 
     vocabulary: dict[bytes, int]
     patterns: dict[int, np.ndarray]
-    items: dict[int, list[list[str]]]
+    names: list[str | None]
+    members: dict[int, np.ndarray]
+    ends: dict[int, np.ndarray]
 
     @property
     def shortest(self) -> int:
         return min(self.patterns, default=0)
 
+    def items(self, n: int, window: int) -> list[str]:
+        own = self.members[n][self.ends[n][window] : self.ends[n][window + 1]]
+        return [x for k in own.tolist() if (x := self.names[k]) is not None]
+
 
-def cut_windows(items: list[tuple[str, bytes | None]], width: int) -> Windows:
+def cut_windows(items: list[tuple[str | None, bytes | None]], width: int) -> Windows:
     vocabulary: dict[bytes, int] = {}
-    found: dict[int, dict[tuple[int, ...], set[str]]] = {}
-    for item, text in items:
-        numbers = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
+    cut: dict[int, list[np.ndarray]] = {}
+    owners: dict[int, list[np.ndarray]] = {}
+    for k, (_, text) in enumerate(items):
+        numbers = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], np.int32)
         n = min(width, len(numbers))
-        for i in range(len(numbers) - n + 1 if n else 0):
-            found.setdefault(n, {}).setdefault(tuple(numbers[i : i + n]), set()).add(item)
-    return Windows(
-        vocabulary,
-        {n: np.array(list(w), np.int64) for n, w in found.items()},
-        {n: [sorted(x) for x in w.values()] for n, w in found.items()},
-    )
+        if n:
+            cut.setdefault(n, []).append(np.lib.stride_tricks.sliding_window_view(numbers, n))
+            owners.setdefault(n, []).append(np.full(len(numbers) - n + 1, k, np.int64))
+    patterns, members, ends = {}, {}, {}
+    for n, parts in cut.items():
+        patterns[n], window = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([window.ravel(), np.concatenate(owners[n])], 1), axis=0)
+        members[n] = pairs[:, 1]
+        ends[n] = np.searchsorted(pairs[:, 0], np.arange(len(patterns[n]) + 1))
+    return Windows(vocabulary, {n: x.astype(np.int64) for n, x in patterns.items()}, [i for i, _ in items], members, ends)
 
 
 class WaveletMatrix:
@@ -222,12 +236,14 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 RESULTS = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
 
 
-def _judge(windows, text: str, kept: list[str], schema: pa.Schema):
+def _judge(windows, spans_type: pa.DataType):
+    """A step that adds what the windows of its block hit to the rows' spans and items."""
+
     def shard(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         w: Windows = windows.value
         get, sizes, parts = w.vocabulary.get, [], [np.zeros(1, np.int64)]
         for b in batches:
-            for x in b.column("_text").to_pylist():
+            for x in b.column("body").to_pylist():
                 words = words_of(x)
                 sizes.append(len(words))
                 parts += [np.fromiter(map(get, words, repeat(0)), np.int64, len(words)), parts[0]]
@@ -235,24 +251,31 @@ def _judge(windows, text: str, kept: list[str], schema: pa.Schema):
         sizes = np.array(sizes, np.int64)
         first = np.concatenate([[1], 1 + np.cumsum(sizes + 1)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
         change, items = np.zeros(len(numbers) + 1, np.int64), {}
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        for d, (spans, names) in enumerate(zip(whole.column("spans").to_pylist(), whole.column("items").to_pylist(), strict=True)):
+            for s in spans:
+                change[first[d] + s["start"]] += 1
+                change[first[d] + s["end"]] -= 1
+            if spans:
+                items[d] = set(names)
         for n, window, at in search_shard(w, numbers) if w.patterns else []:
             np.add.at(change, at, 1)
             np.add.at(change, at + n, -1)
             doc = np.searchsorted(first, at, side="right") - 1
             for d, k in np.unique(np.stack([doc, window], 1), axis=0):
-                items.setdefault(int(d), set()).update(w.items[n][k])
+                items.setdefault(int(d), set()).update(w.items(n, k))
         hit = (np.cumsum(change) > 0).astype(np.int8)
         spans = [_spans(hit[first[d] : first[d] + sizes[d]]) if d in items else [] for d in range(len(sizes))]
-        whole = pa.Table.from_batches(batches).select(kept).combine_chunks()
-        columns = [*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in whole.columns)]
-        out = [pa.array(sizes, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array([sorted(items.get(d, ())) for d in range(len(sizes))], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(columns + out, [*kept, "n_words", "spans", "items"])
+        kept = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (whole.column("row"), whole.column("body"))]
+        kept = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in kept]
+        out = [pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array([sorted(items.get(d, ())) for d in range(len(sizes))], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(kept + out, ["row", "body", "n_words", "spans", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             held.append(b)
-            size += b.column("_text").nbytes
+            size += b.column("body").nbytes
             if size > 6 * SHARD_WORDS:
                 yield shard(held)
                 held, size = [], 0
@@ -262,54 +285,35 @@ def _judge(windows, text: str, kept: list[str], schema: pa.Schema):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with ``n_words``, ``spans array<struct<start, end>>`` (words, end exclusive), ``items`` and ``n_hit``."""
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items", "n_hit")]
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 64 * F.count(F.lit(1))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
-    schema = T.StructType([docs.schema[c] for c in kept] + RESULTS)
-    arrow = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-    passes = []
+    none = {"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")}
+    out = packed(docs, body=named(text).cast("binary")).withColumns(none)
+    schema = T.StructType([out.schema["row"], out.schema["body"], *RESULTS])
+    arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         windows = spark.sparkContext.broadcast(cut_windows([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in own.collect()], width))
-        passes.append(docs.select(*kept, F.col(text).cast("binary").alias("_text")).mapInArrow(_judge(windows, text, kept, arrow), schema))
-    out = passes[0] if blocks == 1 else _merged(passes, kept)
-    return out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.getField("end") - s.getField("start")))
-
-
-def _merged(passes: list[DataFrame], kept: list[str]) -> DataFrame:
-    """The passes' results by row; rows equal in all columns have equal results, and are counted to be returned as often."""
-    every = passes[0].withColumn("_pass", F.lit(0))
-    for k, p in enumerate(passes[1:], 1):
-        every = every.unionByName(p.withColumn("_pass", F.lit(k)))
-    grouped = every.groupBy(*kept, "n_words").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("all"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.count(F.when(F.col("_pass") == 0, 1)).alias("_times"),
-    )
-
-    def join(a, s):
-        last = F.element_at(a, -1)
-        return F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1)).getField("end") >= s.getField("start")),
-                      F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last.getField("start").alias("start"), F.greatest(last.getField("end"), s.getField("end")).alias("end"))))).otherwise(F.concat(a, F.array(s)))
-
-    merged = grouped.withColumn("spans", F.aggregate("all", F.array().cast("array<struct<start:int,end:int>>"), join))
-    return merged.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*kept, "n_words", "spans", "items")
+        out = out.mapInArrow(_judge(windows, arrow), schema)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.getField("end") - s.getField("start"))
+    return unpacked(out.withColumn("n_hit", hit), "n_words", "spans", "items", "n_hit")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with the benchmark passages cut out of ``text``; documents of which no word remains are dropped, others stay."""
-    judged = contamination(docs, benchmark, text=text, **options)
-    columns = docs.columns
-    out = T.StructType([judged.schema[c] for c in columns])
+    given = packed(docs, text=named(text))
+    judged = contamination(given, benchmark, text="text", **options)
+    out = T.StructType([judged.schema["row"], judged.schema["text"]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [remove_spans(t, s) if s else t for t, s in zip(b.column(text).to_pylist(), b.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else b.column(c) for c in columns], columns)
+            texts = [remove_spans(t, s) if s else t for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
     emptied = (F.col("n_hit") > 0) & (F.col("n_hit") == F.col("n_words"))
-    return judged.where(~emptied).select(*columns, "spans").mapInArrow(cut, out)
+    left = judged.where(~emptied).select("row", "text", "spans").mapInArrow(cut, out)
+    return left.select(*[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

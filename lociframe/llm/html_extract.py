@@ -9,7 +9,8 @@ The driver trains once (a few seconds) and broadcasts the weights, whose size is
 names; executors then read each page on its own, without a shuffle.
 
 Defined results: null and empty pages have empty text; broken markup is read as far as it goes (an unclosed
-comment or script runs to the end); pages are extracted one by one, repeated ones too; an empty table gives
+comment or script runs to the end); long pages are read whole, in time that grows with their length however deep they
+nest; pages are extracted one by one, repeated ones too; an empty table gives
 an empty table; all input columns are kept, and those named like a result are replaced.
 """
 
@@ -20,7 +21,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociframe.llm.shared import named, packed, unpacked
+
 # HTML elements by kind.
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset("script style title template noscript iframe svg object select textarea".split())
@@ -47,34 +50,82 @@ class Block:
     features: list[str]
 
 
-@dataclass
-class _Open:
-    tag: str
-    names: list[str] = field(default_factory=list)
+class _Stack:
+    """Open elements, with a count of each feature that they give a block inside, so that a block needn't walk up to the root."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.given: list[set[str]] = []
+        self.blocks: list[str] = []  # those that are not inline
+        self.counts: dict[str, int] = {}
+
+    def push(self, tag: str, names: list[str]) -> None:
+        self.tags.append(tag)
+        self.given.append({f"in:{tag}", *(f"named:{w}" for w in names)})
+        if tag not in INLINE:
+            self.blocks.append(tag)
+        for f in self.given[-1]:
+            self.counts[f] = self.counts.get(f, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.tags.pop()
+        if tag not in INLINE:
+            self.blocks.pop()
+        for f in self.given.pop():
+            if self.counts[f] == 1:
+                del self.counts[f]
+            else:
+                self.counts[f] -= 1
+        return tag
+
+    def holds(self, tag: str) -> bool:
+        return f"in:{tag}" in self.counts
+
+    def close(self, tag: str) -> None:
+        """Up to the innermost of these elements; nothing where none is open."""
+        if self.holds(tag):
+            while self.pop() != tag:
+                pass
+
+    def open(self, tag: str, names: list[str]) -> None:
+        """Closes what an opening tag ends first: the innermost of certain elements, unless another block lies between."""
+        closes = CLOSES.get(tag, {"p"} if tag not in INLINE else set())
+        if any(self.holds(c) for c in closes):
+            for i in range(len(self.tags) - 1, -1, -1):
+                if self.tags[i] in closes:
+                    while len(self.tags) > i:
+                        self.pop()
+                    break
+                if self.tags[i] not in INLINE and self.tags[i] != "p":
+                    break
+        self.push(tag, names)
+
+    def features(self) -> set[str]:
+        return set(self.counts) | ({f"leaf:{self.blocks[-1] if self.blocks else 'none'}"} if self.tags else set())
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[_Open] = []
+    stack = _Stack()
     parts: list[str] = []
     linked = 0  # characters inside links
-    where: list[_Open] | None = None
+    where: set[str] | None = None
     page, at = page or "", 0
 
     def flush() -> None:
         nonlocal parts, linked, where
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, _features(where or [], text, linked)))
+            out.append(Block(text, _features(where or set(), text, linked)))
         parts, linked, where = [], 0, None
 
     def add(text: str) -> None:
         nonlocal linked, where
         if where is None and not text.isspace():
-            where = list(stack)
+            where = stack.features()
         parts.append(text)
-        if any(x.tag == "a" for x in stack):
+        if stack.holds("a"):
             linked += len(text)
 
     while at < len(page):
@@ -111,30 +162,17 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            deep = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if deep is not None:
-                del stack[deep:]
+            stack.close(tag)
             continue
-        closes = CLOSES.get(tag, {"p"} if tag not in INLINE else set())
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in closes:
-                del stack[i:]
-                break
-            if stack[i].tag not in INLINE and stack[i].tag != "p":
-                break
         names = [w for x in _NAMES.findall(m[3]) for w in _NAME_WORD.findall("".join(x).lower())] if "=" in m[3] else []
-        stack.append(_Open(tag, names))
+        stack.open(tag, names)
     flush()
     return out
 
 
-def _features(where: list[_Open], text: str, linked: int) -> list[str]:
+def _features(where: set[str], text: str, linked: int) -> list[str]:
     words = text.count(" ") + 1
-    found = {"bias", f"words:{min(8, int(math.log2(words)))}", f"linked:{min(4, 4 * linked // max(1, len(text)))}", f"end:{text[-1] if text[-1] in '.!?:,' else 'other'}"}
-    found |= {f"in:{x.tag}" for x in where} | {f"named:{w}" for x in where for w in x.names}
-    if where:
-        block = next((x.tag for x in reversed(where) if x.tag not in INLINE), "none")
-        found.add(f"leaf:{block}")
+    found = {"bias", f"words:{min(8, int(math.log2(words)))}", f"linked:{min(4, 4 * linked // max(1, len(text)))}", f"end:{text[-1] if text[-1] in '.!?:,' else 'other'}"} | where
     if "©" in text:
         found.add("has:copyright")
     return sorted(found)
@@ -295,12 +333,12 @@ def extract(page: str | None, crf: Crf) -> str:
 def extract_main_text(pages: DataFrame, html_column: str = "html", training_pages: int = 400, seed: int = 0) -> DataFrame:
     """``pages`` without the html, with ``text`` (main blocks joined by line ends) and ``n_chars``."""
     crf = pages.sparkSession.sparkContext.broadcast(trained(training_pages, seed))
-    kept = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
-    schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("text", T.StringType())])
+    given = packed(pages, html_column, html=named(html_column))
+    schema = T.StructType([given.schema["row"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pa.array([extract(x, crf.value) for x in b.column(html_column).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [texts], [*kept, "text"])
+            texts = pa.array([extract(x, crf.value) for x in b.column("html").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("row"), texts], ["row", "text"])
 
-    return pages.select(*kept, html_column).mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
+    return unpacked(given.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long")), "text", "n_chars")

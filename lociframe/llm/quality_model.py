@@ -9,8 +9,8 @@ ids, and sends only their feature vectors to the driver. Scoring covers every do
 
 Defined results: null and empty texts have zero features and a score like any other text; null labels are not
 learned from; with no labels, or one class, the score is the class share (0.5 without labels) for all; repeated
-rows are scored one by one; an empty table gives an empty table; input columns are kept, and those named like
-a result are replaced.
+rows are scored one by one; long texts are read whole; an empty table gives an empty table; input columns are kept,
+whatever their names, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociframe.llm.shared import named, packed, unpacked
+
 FEATURES = ("log_words", "word_length", "unique_words", "same_neighbours", "symbols", "bars", "shouts", "upper", "digits", "stops", "commas", "beyond_ascii", "lines", "line_words", "ended_lines", "distinct_lines")
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
@@ -164,7 +166,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", t
     """Fits on at most ``fit_rows`` of the labelled rows; their ids are few enough to broadcast, their features to collect."""
     chosen = labels.where(F.col(label).isNotNull()).select(F.col(id).alias("_id"), F.col(label).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "y").limit(fit_rows)
-    rows = docs.select(F.col(id).alias("_doc"), F.col(text).cast("binary").alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("y", "_text")
+    rows = docs.select(named(id).alias("_doc"), named(text).cast("binary").alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("y", "_text")
     found = _with("x", T.ArrayType(T.DoubleType()), lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64())))(rows).toArrow()
     x = np.array(found.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = found.column("y").to_numpy()
@@ -175,9 +177,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", t
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = _with("score", T.DoubleType(), lambda x: pa.array(sent.value.score(x)))(docs.select(*kept, F.col(text).cast("binary").alias("_text")))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    given = packed(docs, _text=named(text).cast("binary"))
+    scored = _with("score", T.DoubleType(), lambda x: pa.array(sent.value.score(x)))(given)
+    return unpacked(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), "score", "predicted")
 
 
 def held_out(id: Column) -> Column:

@@ -59,9 +59,13 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def packed(docs: DataFrame, **columns: Column) -> DataFrame:
-    """``columns`` beside ``row``, a struct of all of ``docs``, so that names of the input can't clash with an operator's own."""
-    return docs.select(F.struct(*map(named, docs.columns)).alias("row"), *[c.alias(n) for n, c in columns.items()])
+def packed(docs: DataFrame, leave: str | None = None, **columns: Column) -> DataFrame:
+    """``columns`` beside ``row``, a struct of all of ``docs``, so that names of the input can't clash with an operator's own.
+
+    ``leave``: a column that isn't needed again, unless it is the only one.
+    """
+    kept = [c for c in docs.columns if c != leave] or docs.columns
+    return docs.select(F.struct(*map(named, kept)).alias("row"), *[c.alias(n) for n, c in columns.items()])
 
 
 def unpacked(df: DataFrame, *results: str) -> DataFrame:

@@ -5,8 +5,9 @@ in at most ``radius`` bits, and a group is what links connect.
 
 Search: equal fingerprints are joined first, so each distinct one is compared once. Of ``radius + 1`` bit
 bands, two linked fingerprints agree in one at least, so rows meet by (band, value). A bucket of over
-``hot`` fingerprints is split again by bands of its remaining bits, where the same holds; that can be
-repeated, and loses no link. A task then reads its buckets in order and compares blocks: the block's bit
+``hot`` fingerprints is split again by bands of the bits that none of its bands had, where the same holds; that is
+repeated, and loses no link. What is still hot after ``depth`` levels is dealt into blocks, and each pair of blocks is a
+bucket. A task then reads its buckets in order and compares blocks: the block's bit
 planes lie vertically, 64 fingerprints to a machine word, distances of all queries grow in carry-save bitwise
 counters, and queries or words whose lanes all exceed the radius are abandoned. Of a block's links, a
 spanning forest goes on, so a dense group gives one link per member instead of all pairs.
@@ -14,8 +15,8 @@ spanning forest goes on, so a dense group gives one link per member instead of a
 Groups: alternating large-star and small-star steps on the links, each written to the shared checkpoint
 folder; the driver only sees two totals per round.
 
-Defined results: null and empty texts have fingerprint 0 and link like others; rows are fingerprinted one by
-one, so repeated rows share a group; rows with a null id take part, and a group of such rows only has a null
+Defined results: null and empty texts have fingerprint 0 and link like others; long texts are hashed whole; rows are
+fingerprinted one by one, so repeated rows share a group; rows with a null id take part, and a group of such rows only has a null
 component; an empty table gives an empty table; only the id column and the results are returned.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociframe.llm.shared import materialize, shared_dir
+from lociframe.llm.shared import materialize, named, shared_dir
 
 SEED = 42
 BLOCK = 4096
@@ -54,7 +55,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """``id, fp`` with the 64 bits as a signed number."""
-    source = docs.select(F.col(id).alias("id"), F.col(text).cast("binary").alias("text"))
+    source = docs.select(named(id).alias("id"), named(text).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,34 +176,33 @@ def near_links(distinct: DataFrame, radius: int = 3, hot: int = 8192, depth: int
     def value(bits: list[int]):
         return F.shiftrightunsigned(F.col("fp"), bits[0]).bitwiseAND(F.lit((1 << len(bits)) - 1))
 
-    # path: which bands were chosen so far; the rows of one path and key are a bucket.
-    paths = {(i,): (b, sorted(set(range(64)) - set(b))) for i, b in enumerate(_bands(list(range(64)), radius + 1))}
-    rows = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("path"), value(b).alias("key")) for (i,), (b, _) in paths.items()])).alias("b")).select("fp", F.xxhash64("b.path", "b.key").alias("bucket"), F.col("b.path").alias("path"))
+    # A path is the bands chosen so far; the rows of one path and key are a bucket.
+    bits = list(range(64))
+    rests = [sorted(set(bits) - set(b)) for b in _bands(bits, radius + 1)]
+    start = F.array(*[F.struct(F.lit(i).alias("path"), value(b).alias("key")) for i, b in enumerate(_bands(bits, radius + 1))])
+    rows = distinct.select("fp", F.explode(start).alias("b")).select("fp", F.xxhash64("b.path", "b.key").alias("bucket"), F.col("b.path").alias("path"))
+    compare = lambda df: df.repartition("bucket").sortWithinPartitions("bucket").select("fp", "bucket").mapInArrow(_compare(radius), link)
     found = None
     for level in range(depth):
-        if level + 1 < depth:
-            sizes = rows.groupBy("bucket").count().where(F.col("count") > hot).select("bucket")
-            sizes = materialize(sizes, "simhash-hot")
-            more = bool(sizes.limit(1).count())
-        else:
-            more = False
-        cool = rows.join(sizes, "bucket", "left_anti") if more else rows
-        part = cool.repartition("bucket").sortWithinPartitions("bucket").select("fp", "bucket").mapInArrow(_compare(radius), link)
+        sizes = materialize(rows.groupBy("bucket").count().where(F.col("count") > hot), "simhash-hot")
+        more = bool(sizes.limit(1).count())
+        part = compare(rows.join(sizes.select("bucket"), "bucket", "left_anti") if more else rows)
         found = part if found is None else found.unionByName(part)
         if not more:
-            break
-        # The remaining bits of a hot bucket, by the first band chosen, in as many bands again.
-        finer = []
-        for i, (_, rest) in ((p[0], x) for p, x in paths.items()):
-            for j, sub in enumerate(_bands(rest, (radius + 1) * (level + 1))):
-                finer.append((i, j, sub))
-        pick = F.array(*[F.struct(F.lit(i).alias("path"), F.lit(j).alias("sub"), _gather(sub).alias("key")) for i, j, sub in finer])
-        rows = (
-            rows.join(sizes, "bucket", "left_semi")
-            .select("fp", "bucket", "path", F.explode(F.filter(pick, lambda x: x.getField("path") == F.col("path"))).alias("b"))
-            .select("fp", F.xxhash64("bucket", "b.sub", "b.key").alias("bucket"), "path")
-        )
-    return found
+            return found
+        if level + 1 < depth:
+            finer = [(i, sub, sorted(set(rest) - set(sub))) for i, rest in enumerate(rests) for sub in _bands(rest, radius + 1)]
+            rests = [rest for _, _, rest in finer]
+            pick = F.array(*[F.struct(F.lit(i).alias("from"), F.lit(k).alias("path"), _gather(sub).alias("key")) for k, (i, sub, _) in enumerate(finer)])
+            rows = (
+                rows.join(sizes.select("bucket"), "bucket", "left_semi")
+                .select("fp", "bucket", F.explode(F.filter(pick, lambda x: x.getField("from") == F.col("path"))).alias("b"))
+                .select("fp", F.xxhash64("bucket", "b.path", "b.key").alias("bucket"), F.col("b.path").alias("path"))
+            )
+    # Blocks of about half of ``hot``; each goes to its pairs with all blocks of the bucket.
+    dealt = rows.join(sizes, "bucket").withColumn("n", F.ceil(2 * F.col("count") / hot)).withColumn("i", F.pmod(F.xxhash64("fp"), "n"))
+    pairs = dealt.select("fp", "bucket", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    return found.unionByName(compare(pairs.select("fp", F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"))))
 
 
 def _gather(bits: list[int]):

@@ -7,9 +7,12 @@ tokenizer digest, so another version of a vocabulary never meets its counts.
 Of each distinct missing text, one row goes to the tokenizer. Digests, not texts, meet in the step that finds
 these rows; the texts follow in one exchange by id, so a text that a third of all rows hold is encoded once.
 
-Defined results: a null text counts as empty, with no tokens; rows with equal text share one count, and
-repeated rows are returned as often as they come; an empty table gives an empty table and leaves the cache as
-it is; extra columns are kept, and those named like a result are replaced.
+A digest may come to the cache twice, by two jobs at a time or a job tried again after it failed to end; equal digests
+have equal counts, so one of them is read.
+
+Defined results: a null text counts as empty, with no tokens; long texts are encoded whole; rows with equal text share
+one count, and repeated rows are returned as often as they come; an empty table gives an empty table and adds nothing to
+the cache; extra columns are kept, whatever their names, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociframe.llm.shared import shared_dir
+from lociframe.llm.shared import named, packed, shared_dir, unpacked
 
 BATCH_CHARS = 1 << 20  # texts encoded in one call of the tokenizer, which holds all their tokens
 _loaded: dict[str, object] = {}
@@ -81,19 +84,16 @@ def token_counts(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str
     """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit``; fills the cache first (two jobs), then joins it."""
     spark = docs.sparkSession
     cache = f"{cache or shared_dir(spark) + '/token-counts'}/{tokenizer_digest(tokenizer)}"
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(named(text), F.lit(""))
     digest = F.unhex(F.sha2(body, 256))
-    named = docs.select(F.col(id).alias("_id"), body.alias("_text"), digest.alias("digest"))
-    keys = named.groupBy("digest").agg(F.min("_id").alias("_id"))
+    texts = docs.select(named(id).alias("_id"), body.alias("_text"), digest.alias("digest"))
+    keys = texts.groupBy("digest").agg(F.min("_id").alias("_id"))
     if _exists(spark, cache):
         keys = keys.join(spark.read.schema(CACHE_SCHEMA).parquet(cache), "digest", "left_anti")
     # The id and the digest together pick one row of each missing text; rows repeated as a whole are dropped after.
-    missing = named.join(keys.withColumnRenamed("digest", "_d").withColumnRenamed("_id", "_i"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("digest") == F.col("_d")), "left_semi")
+    missing = texts.join(keys.withColumnRenamed("digest", "_d").withColumnRenamed("_id", "_i"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("digest") == F.col("_d")), "left_semi")
     missing.mapInArrow(_encode(tokenizer), CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).withColumnsRenamed({"digest": "_digest", "n_tokens": "_n"})
-    counted = docs.withColumns({"_key": digest, "n_bytes": F.octet_length(body).cast("long")})
-    return (
-        counted.join(counts, F.col("_key") == F.col("_digest"), "left")
-        .withColumns({"n_tokens": F.col("_n"), "over_limit": F.col("_n") > limit})
-        .drop("_key", "_digest", "_n")
-    )
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).groupBy(F.col("digest").alias("stored")).agg(F.min("n_tokens").alias("n_tokens"))
+    given = packed(docs, digest=digest, n_bytes=F.octet_length(body).cast("long"))
+    counted = given.join(counts, F.col("digest") == F.col("stored"), "left").withColumn("over_limit", F.col("n_tokens") > limit)
+    return unpacked(counted, "n_bytes", "n_tokens", "over_limit")

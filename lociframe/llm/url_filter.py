@@ -9,8 +9,9 @@ The index is written to the shared folder and shipped with ``SparkContext.addFil
 that joins later, fetches its own copy and maps it. It grows with the rules, not with the URLs.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and gets the default verdict;
-repeated rows are judged one by one; an empty table gives an empty table; other columns pass through, and
-those named like a result are replaced.
+repeated rows are judged one by one; of a long host only suffixes of as many labels as a rule has are looked up; an
+empty table gives an empty table; other columns pass through, whatever their names, but those named like a result are
+replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociframe.llm.shared import lower_ascii, shared_dir
+from lociframe.llm.shared import lower_ascii, named, packed, shared_dir, unpacked
 
 SEED = 42  # of Spark's own xxhash64
 Rule = tuple[str, str, str]  # host, path prefix, verdict
@@ -99,15 +100,17 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
     spark = pages.sparkSession
     name = publish(spark, build_index(rules))
     lengths = sorted({len(p) for _, p, _ in rules})
-    host, path = host_and_path(F.col(url))
+    host, path = host_and_path(named(url))
     labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # No rule fits a suffix of more labels than the longest rule has.
+    most = max((h.count(".") + 1 for h, _, _ in rules), default=1)
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (most - 1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.array_distinct(F.array(*[F.substring(F.col("path"), F.lit(1), F.lit(n)) for n in lengths])) if lengths else F.array().cast("array<string>")
     # The longest key first; the stable order keeps the longer host first among equals.
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
-    cand = pages.withColumns({"host": host, "path": path}).withColumn("_keys", F.array_sort(keys, lambda a, b: F.length(b) - F.length(a)))
+    cand = packed(pages, host=host, path=path).withColumn("_keys", F.array_sort(keys, lambda a, b: F.length(b) - F.length(a)))
     cand = cand.withColumn("_digests", F.transform("_keys", lambda k: F.xxhash64(k)))
-    kept = [c for c in cand.columns if c not in ("_keys", "_digests", "rule", "verdict")]
+    kept = ["row", "host", "path"]
     schema = T.StructType([cand.schema[c] for c in kept] + [T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,4 +127,4 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
             verdict = pa.array([default if i < 0 else "block" if index.block[i] else "allow" for i in first], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [rule, verdict], [*kept, "rule", "verdict"])
 
-    return cand.select(*kept, "_keys", "_digests").mapInArrow(judge, schema)
+    return unpacked(cand.select(*kept, "_keys", "_digests").mapInArrow(judge, schema), "host", "path", "rule", "verdict")

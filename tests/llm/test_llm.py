@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from lociframe.llm import bpe, chat, decontaminate, html_extract, line_dedup, quality_model, quality_rules, simhash, token_counts, url_filter
+from lociframe.llm import bpe, chat, decontaminate, html_extract, line_dedup, quality_model, quality_rules, shingle_groups, simhash, token_counts, url_filter
 from lociframe.llm import queries as q
 
 from test_shingle_groups import brute as brute_groups
@@ -407,6 +407,133 @@ def test_pipeline(spark, table):
     assert {r["doc_id"]: r["decoded_sha256"] for r in docs.collect()} == {i: sha(t) for i, t in before.items()}
 
 
+# --- names and repeated rows
+
+EXTRA = "row body _text _id _digest _n _key _keys _own _words _ranks _version _runs digest stored id version at h fp node spans kept_lines document label".split()
+OPERATORS = {
+    "decontaminate": lambda d, b, path: decontaminate.decontaminate(d, b),
+    "contamination": lambda d, b, path: decontaminate.contamination(d, b),
+    "url_filter": lambda d, b, path: url_filter.url_filter(d, q.URL_RULES, url="text"),
+    "html_extract": lambda d, b, path: html_extract.extract_main_text(d, html_column="body"),
+    "token_counts": lambda d, b, path: token_counts.token_counts(d, public_tokenizers.path("byte_bpe_50k.json"), cache=path),
+    "quality_model": lambda d, b, path: quality_model.score(d, quality_model.fit(np.zeros((0, len(quality_model.FEATURES))), np.zeros(0))),
+    "line_dedup": lambda d, b, path: line_dedup.line_dedup(d),
+    "quality_rules": lambda d, b, path: quality_rules.quality_rules(d),
+    "one_per_group": lambda d, b, path: shingle_groups.one_per_group(d),
+}
+RESULT = {"contamination": {"spans"}, "html_extract": {"body"}, "line_dedup": {"kept_lines"}}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_clashing_names_and_repeated_rows(spark, name, tmp_path):
+    texts = [None, "", "one two three four five six seven eight nine ten eleven.", "one two three four five six seven eight nine ten eleven.", "Alone here."]
+    df = spark.createDataFrame([(i // 2, t, *[f"{c}{i}" for c in EXTRA]) for i, t in enumerate(texts)], "doc_id int, text string, " + ", ".join(f"{c} string" for c in EXTRA))
+    bench = spark.createDataFrame([(1, "three four five"), (None, "six seven")], "item_id int, text string")
+    out = OPERATORS[name](df, bench, f"file://{tmp_path}/cache").collect()
+    kept = [c for c in EXTRA if c not in RESULT.get(name, ())]
+    rows = sorted(tuple(r[c] for c in kept) for r in out)
+    given = sorted(tuple(f"{c}{i}" for c in kept) for i in range(len(texts)))
+    if name == "one_per_group":
+        assert len(rows) == 3 and set(rows) < set(given)
+    else:
+        assert rows == given
+
+
+@pytest.mark.parametrize("stage", ["quality_rules", "line_dedup", "simhash", "decontaminate", "bpe"])
+def test_stages_on_odd_rows(spark, odd, stage):
+    import corpus_pipeline
+
+    run = dict(corpus_pipeline.STAGES)[stage]
+    docs = odd.withColumnsRenamed({"spans": "row"})
+    out = run(spark, docs, SF)
+    assert run(spark, docs.limit(0), SF).count() == 0
+    if stage == "bpe":
+        assert out.count() == docs.count()
+    else:
+        assert out.columns == docs.columns
+        assert all(tuple(r[c] for c in docs.columns[2:]) == ("x", "y", 1, "h", "s", 2) for r in out.collect())
+
+
+def test_cache_with_digests_twice(spark, tmp_path):
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
+    df = spark.createDataFrame([(1, "some text"), (2, "some text")], "doc_id int, text string")
+    first = sorted(map(tuple, token_counts.token_counts(df, path, cache=cache).collect()))
+    folder = f"{cache}/{token_counts.tokenizer_digest(path)}"
+    spark.read.parquet(folder).write.mode("append").parquet(folder)
+    assert sorted(map(tuple, token_counts.token_counts(df, path, cache=cache).collect())) == first
+
+
+def test_token_counts_query(spark, table):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = by_id(q.op4_token_counts(spark, SF))
+    assert len(found) == len(table)
+    for i, text in table.items():
+        n = len(lib.encode(text or "", add_special_tokens=False))
+        assert (found[i]["n_bytes"], found[i]["n_tokens"], found[i]["over_limit"]) == (len((text or "").encode()), n, n > 1024)
+
+
+def test_quality_model_by_plain_sums():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, len(quality_model.FEATURES)))
+    y = (x[:, 0] + x[:, 3] * x[:, 5] + 0.2 * rng.random(300) > 0.8).astype(float)
+    model = quality_model.fit(x, y, rounds=10, pair_rounds=5)
+    assert any(t.any() for _, _, t in model.pairs)
+    bin_of = lambda edges, v: sum(e <= v for e in edges)
+    for row, got in zip(x, model.score(x), strict=True):
+        total = model.base + sum(t[bin_of(e, v)] for t, e, v in zip(model.tables, model.edges, row, strict=True))
+        total += sum(t[bin_of(model.pair_edges[a], row[a]), bin_of(model.pair_edges[b], row[b])] for a, b, t in model.pairs)
+        assert abs(got - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+# Pages written by hand, apart from the layouts that the model is trained on: html, and its main text.
+PAGES = [
+    ("<html><body><div id=top><a href=/>News</a> <a href=/s>Sport</a></div><article><h1>Rain returns</h1><p>It will rain in the north today.</p><p>The south stays dry until Friday.</p></article><div class=footer>Copyright 2020 The Paper</div></body></html>", ["Rain returns", "It will rain in the north today.", "The south stays dry until Friday."]),
+    ("<body><header><nav><a href=a>Home</a><a href=b>Blog</a></nav></header><main><h2>On bread</h2><p>Bread needs time, flour and water.</p><ul><li>Mix it well.</li><li>Let it rest for a night.</li></ul></main><aside class=sidebar><h4>Popular</h4><a href=c>On soup</a></aside><footer>Contact us</footer></body>", ["On bread", "Bread needs time, flour and water.", "Mix it well.", "Let it rest for a night."]),
+    ("<body><div class=cookie-banner>We use cookies. <button>OK</button></div><div class=content><p>The committee met on Tuesday &amp; agreed on the plan.</p><blockquote>We are pleased, said the chair.</blockquote></div><div class=comments><p>Nice plan!</p><p>I disagree with it all.</p></div></body>", ["The committee met on Tuesday & agreed on the plan.", "We are pleased, said the chair."]),
+    ("<body><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav><article><p>Short.</p><p>A longer paragraph follows here, with <b>bold</b> words and <a href=x>a link</a> inside.</p><div class=ad>Buy now, cheap phones</div><p>And the end of it.</p></article><form class=search><label>Search</label><input></form></body>", ["Short.", "A longer paragraph follows here, with bold words and a link inside.", "And the end of it."]),
+]
+
+
+def test_html_on_pages_written_apart():
+    crf = html_extract.trained(400, 0)
+    right = found = wanted = 0
+    for page, main in PAGES:
+        got = html_extract.extract(page, crf).split("\n")
+        right += len(set(got) & set(main))
+        found += len(got)
+        wanted += len(main)
+    assert right / found >= 0.9 and right / wanted >= 0.9
+
+
+def test_html_deep_pages():
+    import time
+
+    page = "<div class=a><b>" * 20_000 + "text"
+    began = time.time()
+    assert [b.text for b in html_extract.leaf_blocks(page)] == ["text"]
+    assert [b.text for b in html_extract.leaf_blocks("<div><i>word</div></span>" * 5_000)] == ["word"] * 5_000
+    assert time.time() - began < 20
+
+
+def test_long_host(spark):
+    df = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "example.net/en/x")], "page_id int, url string")
+    assert url_filter.url_filter(df, q.URL_RULES).first()["rule"] == "example.net/en/"
+
+
+@pytest.mark.parametrize("hot", [4])
+def test_hot_buckets_to_the_last(spark, hot):
+    # Fingerprints that agree on so many bits that every level stays hot.
+    fps = [k << 20 for k in range(40)] + [(k << 20) | 1 << 63 for k in range(20)]
+    df = spark.createDataFrame([(f - (1 << 64) if f >= 1 << 63 else f,) for f in fps], "fp long")
+    pairs = [(r["u"] % (1 << 64), r["v"] % (1 << 64)) for r in simhash.near_links(df, hot=hot).collect()]
+    at = {f: i for i, f in enumerate(fps)}
+    got = simhash.forest(len(fps), np.array([at[u] for u, _ in pairs]), np.array([at[v] for _, v in pairs]))
+    far = np.bitwise_count(np.array(fps, np.uint64)[:, None] ^ np.array(fps, np.uint64)[None, :])
+    assert (got == simhash.forest(len(fps), *np.nonzero(far <= 3))).all()
+
+
 # --- SQL
 
 
