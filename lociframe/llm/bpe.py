@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,7 +121,7 @@ class Cutter:
 
 
 ROW_WORDS = 500_000  # words of one row between the steps
-HELD_WORDS = 300_000  # words that a task numbers besides the warm ones before it begins anew
+HELD_WORDS = 200_000  # words that a task numbers besides the warm ones before it begins anew
 PIECE_WORDS, PIECES = 256, 32
 
 
@@ -136,7 +137,7 @@ def _split(tokens, warm):
     """Numbers the words: warm ones first, then those new to the task, whose byte tokens go along once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, known = Cutter(tokens.value), {w: i for i, w in enumerate(warm.value)}
+        cutter, known = Cutter(tokens.value), warm.value
         n_warm = len(known)
         held: dict[str, int] = {}
         begun: list[np.ndarray] = []  # codes of a document whose last piece is still to come
@@ -151,14 +152,14 @@ def _split(tokens, warm):
                 new, fresh = [], len(held) > HELD_WORDS and not begun
                 if fresh:
                     held = {}
-                numbers = np.empty(len(coded.dictionary), np.int32)
-                for k, w in enumerate(coded.dictionary.to_pylist()):
-                    code = known.get(w)
+                # The warm words are an Arrow array, as a Python dictionary of them would take ten times the memory.
+                numbers = pc.index_in(coded.dictionary, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+                rare = np.flatnonzero(numbers < 0)
+                for k, w in zip(rare.tolist(), coded.dictionary.take(pa.array(rare)).to_pylist(), strict=True):
+                    code = held.get(w)
                     if code is None:
-                        code = held.get(w)
-                        if code is None:
-                            code = held[w] = n_warm + len(held)
-                            new.append(w)
+                        code = held[w] = n_warm + len(held)
+                        new.append(w)
                     numbers[k] = code
                 codes = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else numbers[:0]
                 last = part.column("last").to_numpy(zero_copy_only=False)
@@ -260,5 +261,5 @@ def encode_decode(
     kind = lambda name, t: T.StructField(name, t)
     passed = T.StructType([kind("ids", T.ArrayType(own)), kind("sizes", T.BinaryType()), kind("codes", T.BinaryType()), kind("fresh", T.BooleanType()), kind("parts", T.ArrayType(T.ArrayType(T.LongType())))])
     results = T.StructType([kind("id", own), kind("n_tokens", T.LongType()), kind("token_ids", T.BinaryType()), kind("decoded", T.BinaryType())])
-    numbered = words.mapInArrow(_split(tokens_sent, sent(known.to_pylist())), passed)
+    numbered = words.mapInArrow(_split(tokens_sent, sent(known)), passed)
     return _fold_all(numbered, literal).mapInArrow(_assemble(tokens_sent, sent(_lists(folded.flatten()))), results).withColumnRenamed("id", id)

@@ -75,11 +75,11 @@ def _kept_runs(gone: Column) -> Column:
 
 def apply_keep(docs: DataFrame, bitmaps: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``kept_lines``, ``n_lines`` and ``n_dropped``, by a null-safe join on id and text version."""
-    given = packed(docs, id=named(id), text=F.coalesce(named(text), F.lit("")), version=_version(named(text)))
+    given = packed(docs, id=named(id), version=_version(named(text)))
     # Building a hash table of the small bitmaps spares sorting the texts.
     b = bitmaps.hint("shuffle_hash").select(F.col("id").alias("own"), F.col("version").alias("own_version"), F.col("kept_runs").alias("runs"), "rest", F.col("n_dropped").alias("gone"))
     joined = given.join(b, F.col("id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("own_version")), "left")
-    lines = F.split("text", "\n")
+    lines = F.split(F.coalesce(F.col("row").getField(text), F.lit("")), "\n")
     kept = let(
         lines,
         lambda line: F.concat(
@@ -92,7 +92,7 @@ def apply_keep(docs: DataFrame, bitmaps: DataFrame, id: str = "doc_id", text: st
 
 
 def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``docs`` with the lines that stay, joined again in ``kept_text``, and ``n_lines``, ``n_dropped``."""
-    given = packed(docs, id=named(id), text=named(text))
-    out = apply_keep(given, keep_bitmaps(given, "id", "text", min_chars, min_docs), "id", "text")
-    return unpacked(out.withColumn("kept_text", F.array_join("kept_lines", "\n")), "kept_text", "n_lines", "n_dropped")
+    """``docs`` with the lines that stay, joined again in ``kept_text``, and ``n_lines``, ``n_dropped``; not with an input column ``kept_lines``."""
+    out = apply_keep(docs, keep_bitmaps(docs, id, text, min_chars, min_docs), id, text)
+    others = [named(c) for c in docs.columns if c.lower() not in ("kept_lines", "kept_text", "n_lines", "n_dropped")]
+    return out.select(*others, F.array_join("kept_lines", "\n").alias("kept_text"), "n_lines", "n_dropped")
