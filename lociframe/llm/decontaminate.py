@@ -292,7 +292,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 64 * F.count(F.lit(1))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
     none = {"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")}
-    out = packed(docs, body=named(text).cast("binary")).withColumns(none)
+    # A text goes through Python once, as its bytes, from which its column is made again.
+    kind = docs.schema[text].dataType if text in docs.columns else None
+    once = isinstance(kind, (T.StringType, T.BinaryType))
+    out = packed(docs, text if once else None, body=named(text).cast("binary")).withColumns(none)
     schema = T.StructType([out.schema["row"], out.schema["body"], *RESULTS])
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for b in range(blocks):
@@ -300,12 +303,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         windows = spark.sparkContext.broadcast(cut_windows([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in own.collect()], width))
         out = out.mapInArrow(_judge(windows, arrow), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.getField("end") - s.getField("start"))
+    if once:
+        out = out.withColumn("row", F.struct(*[(F.col("body").cast(kind) if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]))
     return unpacked(out.withColumn("n_hit", hit), "n_words", "spans", "items", "n_hit")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with the benchmark passages cut out of ``text``; documents of which no word remains are dropped, others stay."""
-    given = packed(docs, text=named(text))
+    given = packed(docs, text, text=named(text))
     judged = contamination(given, benchmark, text="text", **options)
     out = T.StructType([judged.schema["row"], judged.schema["text"]])
 
