@@ -122,7 +122,7 @@ class Cutter:
 
 ROW_WORDS = 500_000  # words of one row between the steps
 HELD_WORDS = 200_000  # words that a task numbers besides the warm ones before it begins anew
-PIECE_WORDS, PIECES = 256, 32
+PIECE_WORDS, PIECES = 64, 128
 
 
 def _pieces(docs: DataFrame, id: Column, words: Column) -> DataFrame:
