@@ -133,6 +133,20 @@ def _pieces(docs: DataFrame, id: Column, words: Column) -> DataFrame:
     return docs.select(id.alias("id"), once(words).alias("_words")).select("id", F.inline(cut))
 
 
+def _cut(tokens):
+    """Rows of words with their entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(tokens.value)
+        for b in batches:
+            words = b.column("word").cast(pa.string())
+            if len(words):
+                one = pa.array([0, len(words)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, cutter.entries(words))], ["words", "parts"])
+
+    return run
+
+
 def _split(tokens, warm):
     """Numbers the words: warm ones first, then those new to the task, whose byte tokens go along once."""
 
@@ -249,17 +263,18 @@ def encode_decode(
     some = docs.select(F.substring(body, 1, warm_chars).alias("text")).limit(warm_docs).collect()
     some = spark.createDataFrame(pa.table({"text": pa.array([r["text"] for r in some], pa.string())})).repartition(32)
     counted = some.select(F.explode(split(F.col("text"))).alias("word")).where(F.octet_length("word") <= warm_bytes).groupBy("word").count()
-    known = counted.orderBy(F.desc("count"), "word").limit(warm_words).select("word").toArrow().column("word").combine_chunks().cast(pa.string())
-    edges = np.linspace(0, len(known), 65).astype(np.int32)
-    table = pa.table({"n": pa.array(np.arange(64)), "parts": pa.ListArray.from_arrays(pa.array(edges), Cutter(tokens).entries(known))})
-    folded = _fold_all(spark.createDataFrame(table).repartition(32, "n"), literal).orderBy("n").toArrow().column("merged").combine_chunks()
+    often = counted.orderBy(F.desc("count"), "word").limit(warm_words).select("word").repartition(32, "word")
     sent = spark.sparkContext.broadcast
     tokens_sent = sent(tokens)
+    # Cut and folded where they are counted: only the words and their ids come to the driver, in any order.
+    cut = often.mapInArrow(_cut(tokens_sent), "words array<string>, parts array<array<bigint>>")
+    folded = _fold_all(cut, literal).select("words", F.transform("merged", lambda w: w.cast("array<int>")).alias("merged")).toArrow().combine_chunks()
+    known, known_ids = (pa.concat_arrays([c.flatten() for c in folded.column(name).chunks]) if folded.num_rows else empty for name, empty in (("words", pa.array([], pa.string())), ("merged", pa.array([], pa.list_(pa.int32())))))
 
     words = _pieces(docs, F.col(id), split(body))
     own = words.schema["id"].dataType
     kind = lambda name, t: T.StructField(name, t)
     passed = T.StructType([kind("ids", T.ArrayType(own)), kind("sizes", T.BinaryType()), kind("codes", T.BinaryType()), kind("fresh", T.BooleanType()), kind("parts", T.ArrayType(T.ArrayType(T.LongType())))])
     results = T.StructType([kind("id", own), kind("n_tokens", T.LongType()), kind("token_ids", T.BinaryType()), kind("decoded", T.BinaryType())])
-    numbered = words.mapInArrow(_split(tokens_sent, sent(known)), passed)
-    return _fold_all(numbered, literal).mapInArrow(_assemble(tokens_sent, sent(_lists(folded.flatten()))), results).withColumnRenamed("id", id)
+    numbered = words.mapInArrow(_split(tokens_sent, sent(known.cast(pa.string()))), passed)
+    return _fold_all(numbered, literal).mapInArrow(_assemble(tokens_sent, sent(_lists(known_ids))), results).withColumnRenamed("id", id)
