@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import bpe, chat, decontaminate, html_extract, line_dedup, quality_model, quality_rules, simhash, token_counts, url_filter
+from lociframe.llm import bpe, chat, conversation_repair, decontaminate, html_extract, line_dedup, quality_model, quality_rules, simhash, token_counts, url_filter
 from lociframe.llm.shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,15 +98,72 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, edits = conversation_repair.repair_conversations(conversation_repair.damaged(turns))
+    none = [F.lit(0).cast("long").alias(c) for c in conversation_repair.COUNTS]
+    found = report.join(conversation_repair.line_digests(edits).withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
+    # Conversations all of whose rows were dropped.
+    ids = turns.select("conv_id").distinct().select(F.col("conv_id").alias("_c"))
+    lost = ids.join(found.select("conv_id"), F.col("conv_id").eqNullSafe(F.col("_c")), "left_anti")
+    every = found.unionByName(lost.select(F.col("_c").alias("conv_id"), *none, F.lit("").alias("audit"), F.lit(None).cast("string").alias("sha256")))
+    return every.select("conv_id", *conversation_repair.COUNTS, "audit", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_url_filter, op3_html_extract, op4_token_counts, op5_simhash, op6_bpe, op7_quality_model, op8_chat_format, op9_line_dedup, op10_quality_rules)
+    for f in (op1_decontaminate, op2_url_filter, op3_html_extract, op4_token_counts, op5_simhash, op6_bpe, op7_quality_model, op8_chat_format, op9_line_dedup, op10_quality_rules, op12_conversation_repair)
 }
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _ASCII_LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+# crc32 in SQL: its table, and the fold of a list of bytes.
+_CRC_TABLE = "crc as (select list(c order by i) as t from (select i, list_reduce([i] || range(8), lambda a, b: xor(a >> 1, 3988292384 * (a & 1))) as c from range(256) r(i)))"
+_CRC = "xor(list_reduce([4294967295] || {}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_conversation_repair": rf"""
+with recursive {_CRC_TABLE},
+given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '') as letters from conversations),
+cases as (select conv_id, turn, role, text, {_CRC.format("list_transform(letters, lambda x: ascii(x)::bigint)")} % 20 as k from given, crc),
+rows0 as (select conv_id, turn, case when k = 4 then 'user' else role end as role,
+    case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when k = 3 then [0, 1] else [0] end) as copy
+  from cases where k <> 0),
+rows1 as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as pos, substring(role, 1, 1) as ini,
+    right(regexp_replace(text, '[ 	-]+$', ''), 1) as last from rows0),
+rows2 as (select *, case when last = '' then 2 when row_number() over (partition by conv_id, role, text order by pos) > 1 then 3 when last not in ('.', '!', '?') then 1 else 0 end as fault,
+    lag(ini) over (partition by conv_id order by pos) || ini as pair from rows1),
+due(state, role, after) as (values (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+kept(state, ini, after) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserted as (
+  select state, state as after, 0 as cost, '' as audit, []::varchar[] as lines from due
+  union all select state, after, 2, 'I', [role || ':'] from due
+  union all select a.state, b.after, 4, 'II', [a.role || ':', b.role || ':'] from due a join due b on a.after = b.state),
+walk as (
+  select conv_id, 0 as pos, 0 as state, {{'c': 0::bigint, 'a': '', 'l': []::varchar[]}} as best from (select distinct conv_id from rows0)
+  union all
+  select w.conv_id, w.pos + 1, e.after, min({{'c': w.best.c + i.cost + e.cost, 'a': w.best.a || i.audit || e.edit, 'l': w.best.l || i.lines || e.lines}})
+  from walk w join inserted i on i.state = w.state
+  join (
+    select conv_id, pos, state, state as after, 3 as cost, 'D' as edit, []::varchar[] as lines from rows2, due
+    union all select conv_id, pos, state, after, 2 + fault, 'R', [due.role || ':' || text] from rows2, due where fault < 2
+    union all select conv_id, pos, state, after, fault, 'K', [role || ':' || text] from rows2 join kept using (ini) where fault < 2
+  ) e on e.conv_id is not distinct from w.conv_id and e.pos = w.pos + 1 and e.state = i.after
+  group by w.conv_id, w.pos, e.after),
+ends as (select state, cost, audit, lines from inserted where after in (0, 3) and (state, cost) in ((0, 0), (1, 4), (2, 2), (3, 0))),
+done as (
+  select w.conv_id, min({{'c': w.best.c + e.cost, 'a': w.best.a || e.audit, 'l': w.best.l || e.lines}}) as best
+  from walk w join (select conv_id, max(pos) as n from rows2 group by conv_id) c on c.conv_id is not distinct from w.conv_id and c.n = w.pos join ends e on e.state = w.state group by w.conv_id),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (where fault = 2) as blank, count(*) filter (where fault = 3) as duplicate,
+    count(*) filter (where fault = 1) as truncated, count(*) filter (where pair is not null and pair not in ('su', 'ua', 'au')) as illegal
+  from rows2 group by conv_id)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best.c, 0) as cost, coalesce(best.a, '') as audit, sha256(coalesce(array_to_string(best.l, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on c.conv_id is not distinct from o.conv_id left join done d on d.conv_id is not distinct from o.conv_id
+""",
     "op1_decontaminate": f"""
 with item_words as (select cast(item_id as varchar) as item, {_WORDS} as ws from benchmark),
 windows as (
