@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import bpe, chat, conversation_repair, decontaminate, html_extract, line_dedup, quality_model, quality_rules, simhash, token_counts, url_filter
+from lociframe.llm import bpe, chat, conversation_repair, cover_tree, decontaminate, html_extract, line_dedup, quality_model, quality_rules, simhash, token_counts, url_filter
 from lociframe.llm.shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,9 +110,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("conv_id", *conversation_repair.COUNTS, "audit", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return cover_tree.near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_url_filter, op3_html_extract, op4_token_counts, op5_simhash, op6_bpe, op7_quality_model, op8_chat_format, op9_line_dedup, op10_quality_rules, op12_conversation_repair)
+    for f in (op1_decontaminate, op2_url_filter, op3_html_extract, op4_token_counts, op5_simhash, op6_bpe, op7_quality_model, op8_chat_format, op9_line_dedup, op10_quality_rules, op12_conversation_repair, op13_embedding_dedup)
 }
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,6 +128,19 @@ _CRC_TABLE = "crc as (select list(c order by i) as t from (select i, list_reduce
 _CRC = "xor(list_reduce([4294967295] || {}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_embedding_dedup": """
+with recursive v as (
+  select row_number() over () as row, vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+good as (
+  select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+  select a.row as a, b.row as b from good a join good b on a.label = b.label and a.row <> b.row and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93),
+reached as (select a, b from links union select r.a, l.b from reached r join links l on r.b = l.a),
+least as (select a, min(vec_id) as c from reached join v on v.row = b group by a),
+counted as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, coalesce(least(c, vec_id), vec_id) as component_id, coalesce(least(c, vec_id), vec_id) is not distinct from vec_id as kept
+from v left join counted on counted.a = row left join least on least.a = row
+""",
     "op12_conversation_repair": rf"""
 with recursive {_CRC_TABLE},
 given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
@@ -132,7 +150,8 @@ rows0 as (select conv_id, turn, case when k = 4 then 'user' else role end as rol
     case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when k = 3 then [0, 1] else [0] end) as copy
   from cases where k <> 0),
 rows1 as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as pos, substring(role, 1, 1) as ini,
-    right(regexp_replace(text, '[ 	-]+$', ''), 1) as last from rows0),
+    right(regexp_replace(text, '[ 	-
+]+$', ''), 1) as last from rows0),
 rows2 as (select *, case when last = '' then 2 when row_number() over (partition by conv_id, role, text order by pos) > 1 then 3 when last not in ('.', '!', '?') then 1 else 0 end as fault,
     lag(ini) over (partition by conv_id order by pos) || ini as pair from rows1),
 due(state, role, after) as (values (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
