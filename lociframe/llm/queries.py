@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import bpe, chat, conversation_repair, cover_tree, decontaminate, html_extract, line_dedup, quality_model, quality_rules, simhash, token_counts, url_filter
+from lociframe.llm import bpe, chat, conversation_repair, cover_tree, decontaminate, html_extract, line_dedup, quality_model, quality_rules, simhash, spelling, token_counts, url_filter
 from lociframe.llm.shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = spelling.counted(docs, changed=spelling.misspelt).where("n >= 3")
+    return spelling.variants(words).select("word", "n", "form", "root", "n_near", "form_n")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     report, edits = conversation_repair.repair_conversations(conversation_repair.damaged(turns))
@@ -117,7 +123,7 @@ def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_url_filter, op3_html_extract, op4_token_counts, op5_simhash, op6_bpe, op7_quality_model, op8_chat_format, op9_line_dedup, op10_quality_rules, op12_conversation_repair, op13_embedding_dedup)
+    for f in (op1_decontaminate, op2_url_filter, op3_html_extract, op4_token_counts, op5_simhash, op6_bpe, op7_quality_model, op8_chat_format, op9_line_dedup, op10_quality_rules, op11_spelling_variants, op12_conversation_repair, op13_embedding_dedup)
 }
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,6 +134,26 @@ _CRC_TABLE = "crc as (select list(c order by i) as t from (select i, list_reduce
 _CRC = "xor(list_reduce([4294967295] || {}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_spelling_variants": rf"""
+with recursive {_CRC_TABLE},
+runs as (
+  select id, run, count(*) as k from (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all({_ASCII_LOWER.format("text")}, '[a-zÀ-ÿ]+')) as run from documents) where length(run) >= 5 group by id, run),
+bytes as (
+  select run, k, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c) - 64] end)) as b from runs),
+hashed as (select run, k, {_CRC.format("b")} as h from bytes, crc),
+changed as (select case when h % 97 = 0 then substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) else run end as word, k from hashed),
+words as (select word, sum(k)::bigint as n from changed where length(word) >= 5 group by word having sum(k) >= 3),
+cuts as (select word, n, i, substring(word, 1, i - 1) as a, substring(word, i + 1) as b from (select *, unnest(generate_series(1, length(word))) as i from words)),
+deleted as (select distinct word, n, a || b as short from cuts),
+near as (
+  select x.word, y.word as other, y.n from cuts x join cuts y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+  union all select d.word, w.word, w.n from deleted d join words w on d.short = w.word
+  union all select w.word, d.word, d.n from deleted d join words w on d.short = w.word),
+best as (select word, count(*) as n_near, first(other order by n desc, other) as other, max(n) as other_n from near group by word),
+formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 2 * w.n then other end as form, case when other_n >= 2 * w.n then other_n end as form_n from words w left join best using (word)),
+chain as (select word, word as here, 0 as step from words union all select c.word, f.form, step + 1 from chain c join formed f on f.word = c.here where f.form is not null)
+select f.word, n, form, root, n_near, form_n from formed f join (select word, max_by(here, step) as root from chain group by word) using (word)
+""",
     "op13_embedding_dedup": """
 with recursive v as (
   select row_number() over () as row, vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
