@@ -8,9 +8,10 @@ random words, so their number is a parameter and nothing is shipped.
 The driver trains once (a few seconds) and broadcasts the weights, whose size is bounded by the feature
 names; executors then read each page on its own, without a shuffle.
 
-Defined results: null and empty pages have empty text; broken markup is read as far as it goes (an unclosed
-comment or script runs to the end); long pages are read whole, in time that grows with their length however deep they
-nest; pages are extracted one by one, repeated ones too; an empty table gives
+Defined results: null and empty pages have empty text; broken markup is read as far as it goes: an unclosed comment,
+script, style or title runs to the end, other skipped elements that close themselves or are never closed are their tag
+only, and a tag without an end is text; long pages are read whole, in time that grows with their length however deep
+they nest and whatever is left open; pages are extracted one by one, repeated ones too; an empty table gives
 an empty table; all input columns are kept, and those named like a result are replaced.
 """
 
@@ -20,7 +21,7 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -39,7 +40,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # An opening tag on the left closes an open one on the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+TO_END = frozenset("script style title".split())  # of the skipped ones, those that run to the end if never closed
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_BREAK = re.compile("[>]|=\\s*[\"']")  # the end of a tag, or a quoted value in it
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME_WORD = re.compile("[a-z]+")
 
@@ -53,15 +57,18 @@ class Block:
 class _Stack:
     """Open elements, with a count of each feature that they give a block inside, so that a block needn't walk up to the root."""
 
-    def __init__(self) -> None:
+    def __init__(self, known: Container[str] | None = None) -> None:
+        self.known = known  # features that are of use, all if none are named
         self.tags: list[str] = []
         self.given: list[set[str]] = []
         self.blocks: list[str] = []  # those that are not inline
         self.counts: dict[str, int] = {}
+        self.open_tags: dict[str, int] = {}
 
     def push(self, tag: str, names: list[str]) -> None:
         self.tags.append(tag)
-        self.given.append({f"in:{tag}", *(f"named:{w}" for w in names)})
+        self.given.append({f for f in (f"in:{tag}", *(f"named:{w}" for w in names)) if self.known is None or f in self.known})
+        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
         if tag not in INLINE:
             self.blocks.append(tag)
         for f in self.given[-1]:
@@ -69,6 +76,7 @@ class _Stack:
 
     def pop(self) -> str:
         tag = self.tags.pop()
+        self.open_tags[tag] -= 1
         if tag not in INLINE:
             self.blocks.pop()
         for f in self.given.pop():
@@ -79,7 +87,7 @@ class _Stack:
         return tag
 
     def holds(self, tag: str) -> bool:
-        return f"in:{tag}" in self.counts
+        return self.open_tags.get(tag, 0) > 0
 
     def close(self, tag: str) -> None:
         """Up to the innermost of these elements; nothing where none is open."""
@@ -104,14 +112,55 @@ class _Stack:
         return set(self.counts) | ({f"leaf:{self.blocks[-1] if self.blocks else 'none'}"} if self.tags else set())
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """Blocks with text, in page order."""
+class _Ends:
+    """Where tags and skipped elements end. What was looked for is kept, so that no stretch is searched again and again."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.after: dict[int, int] = {}  # from a break in a tag to the tag's end; -1: none
+        self.never: set[str] = set()
+
+    def tag(self, begin: int) -> int:
+        """The place of the ``>`` that ends the tag begun here, not one in a quoted value; -1 if there is none."""
+        passed, at = [], begin
+        while True:
+            m = _BREAK.search(self.page, at)
+            if m is None or m.start() in self.after:
+                end = -1 if m is None else self.after[m.start()]
+                break
+            passed.append(m.start())
+            if m[0] == ">":
+                end = m.start()
+                break
+            close = self.page.find(m[0][-1], m.end())
+            if close < 0:
+                end = -1
+                break
+            at = close + 1
+        for p in passed:
+            self.after[p] = end
+        return end
+
+    def element(self, tag: str, at: int) -> int:
+        """The end of the closing tag of a skipped element; -1 if there is none."""
+        if tag in self.never:
+            return -1
+        end = re.compile(f"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(self.page, at)
+        if end is None:
+            self.never.add(tag)
+            return -1
+        return end.end()
+
+
+def leaf_blocks(page: str | None, known: Container[str] | None = None) -> list[Block]:
+    """Blocks with text, in page order. Of the features, only the ``known`` ones are given, where named."""
     out: list[Block] = []
-    stack = _Stack()
+    stack = _Stack(known)
     parts: list[str] = []
     linked = 0  # characters inside links
     where: set[str] | None = None
     page, at = page or "", 0
+    ends, last_end = _Ends(page), page.rfind(">")
 
     def flush() -> None:
         nonlocal parts, linked, where
@@ -143,16 +192,18 @@ def leaf_blocks(page: str | None) -> list[Block]:
             end = page.find(">", begin)
             at = len(page) if end < 0 else end + 1
             continue
-        m = _TAG.match(page, begin)
-        if not m:
+        name = begin + 1 + page.startswith("/", begin + 1)
+        letter = page[name : name + 1]
+        stop = ends.tag(begin) if begin < last_end and letter.isascii() and letter.isalpha() else -1
+        if stop < 0:
             add("<")
             at = begin + 1
             continue
-        at, closing, tag = m.end(), m[1], m[2].lower()
+        m = _TAG.match(page, begin, stop)
+        at, closing, tag, inside = stop + 1, m[1], m[2].lower(), page[m.end() : stop]
         if tag in SKIPPED:
-            if not closing:
-                end = re.compile(f"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
+            end = -1 if closing or (tag not in TO_END and inside.endswith("/")) else ends.element(tag, at)
+            at = end if end >= 0 else len(page) if tag in TO_END and not closing else at
             continue
         if tag == "br":
             add(" ")
@@ -164,7 +215,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if closing:
             stack.close(tag)
             continue
-        names = [w for x in _NAMES.findall(m[3]) for w in _NAME_WORD.findall("".join(x).lower())] if "=" in m[3] else []
+        names = [w for x in _NAMES.findall(inside) for w in _NAME_WORD.findall("".join(x).lower())] if "=" in inside else []
         stack.open(tag, names)
     flush()
     return out
@@ -326,7 +377,7 @@ def trained(pages: int, seed: int) -> Crf:
 
 
 def extract(page: str | None, crf: Crf) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, crf.weights)
     return "\n".join(b.text for b, label in zip(blocks, crf.decode([b.features for b in blocks]), strict=True) if label)
 
 
