@@ -8,7 +8,8 @@ Control strings inside texts and roles are escaped reversibly: an escape charact
 character of each, and an escape character of the text itself is doubled.
 
 Defined results: null text or role counts as empty; turns are ordered by (turn, role, text), nulls first, and
-repeated rows stay as turns of their own; an invalid order sets ``valid`` false and is formatted all the
+repeated rows stay as turns of their own; rows with a null id are one conversation; long texts are
+formatted whole; an invalid order sets ``valid`` false and is formatted all the
 same; an empty table gives an empty table; columns other than the four used are not kept.
 """
 

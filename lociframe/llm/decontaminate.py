@@ -12,8 +12,11 @@ them. This drops no occurrence and keeps the index small. There is no shuffle: e
 it is read.
 
 The windows are broadcast as arrays, in blocks of items whose texts stay under ``block_bytes`` (about 40 bytes a word, and
-the vocabulary); with a larger benchmark, each block is a step of its own over the same rows, which merges its spans with
-those of the steps before, so that no rows are grouped.
+the vocabulary); with a larger benchmark, a shard is searched for one block after the other and the spans are merged, so
+that no rows are grouped. A worker holds all blocks, so the benchmark's windows must fit into its memory.
+
+Cutting a passage joins its two sides, which may make a passage; what is left of such a document is indexed and searched
+again until nothing is hit.
 
 Defined results: null or empty texts have no words, as documents and as items; items with equal text are all
 reported; an item with a null id marks what it hits but isn't listed; long texts are searched whole, a shard holding at
@@ -236,36 +239,49 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 RESULTS = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
 
 
-def _judge(windows, spans_type: pa.DataType):
-    """A step that adds what the windows of its block hit to the rows' spans and items."""
+def _judge(blocks: list, spans_type: pa.DataType, closed: bool):
+    """A step that gives each row the spans and items that the windows of all blocks hit.
+
+    ``closed``: what is hit is taken out and the rest searched again, until nothing is hit, as a cut may bring the words of a
+    passage together.
+    """
 
     def shard(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        w: Windows = windows.value
-        get, sizes, parts = w.vocabulary.get, [], [np.zeros(1, np.int64)]
-        for b in batches:
-            for x in b.column("body").to_pylist():
-                words = words_of(x)
-                sizes.append(len(words))
-                parts += [np.fromiter(map(get, words, repeat(0)), np.int64, len(words)), parts[0]]
-        numbers = np.concatenate(parts)
-        sizes = np.array(sizes, np.int64)
-        first = np.concatenate([[1], 1 + np.cumsum(sizes + 1)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
-        change, items = np.zeros(len(numbers) + 1, np.int64), {}
+        bodies = [x for b in batches for x in b.column("body").to_pylist()]
+        sizes = np.fromiter((len(words_of(x)) for x in bodies), np.int64, len(bodies))
+        # Words of all documents, each document behind a separator.
+        first = 1 + np.cumsum(sizes + 1) - (sizes + 1)
+        total = int((sizes + 1).sum()) + 1
+        hit, items = np.zeros(total, bool), {}
+        live = np.arange(len(bodies))
+        while len(live):
+            left = np.concatenate([first[d] + np.flatnonzero(~hit[first[d] : first[d] + sizes[d]]) for d in live]) if closed and hit.any() else _ranges(first[live], sizes[live])
+            doc = np.searchsorted(first, left, side="right") - 1
+            # Places in what is left, with a separator before each document.
+            starts = np.flatnonzero(np.diff(doc, prepend=-1))
+            place = np.insert(left, starts, 0)
+            found = np.zeros(total, bool)
+            for block in blocks:
+                w: Windows = block.value
+                if not w.patterns or not len(left):
+                    continue
+                numbers = np.zeros(total, np.int64)
+                for d in live:
+                    numbers[first[d] : first[d] + sizes[d]] = np.fromiter(map(w.vocabulary.get, words_of(bodies[d]), repeat(0)), np.int64, sizes[d])
+                change = np.zeros(len(place) + 2, np.int64)
+                for n, window, at in search_shard(w, np.append(np.where(place > 0, numbers[place], 0), 0)):
+                    np.add.at(change, at, 1)
+                    np.add.at(change, at + n, -1)
+                    of = np.searchsorted(first, place[at], side="right") - 1
+                    for d, k in np.unique(np.stack([of, window], 1), axis=0):
+                        items.setdefault(int(d), set()).update(w.items(n, k))
+                found[place[np.flatnonzero(np.cumsum(change)[: len(place)] > 0)]] = True
+            found[0] = False
+            hit |= found
+            live = np.unique(np.searchsorted(first, np.flatnonzero(found), side="right") - 1) if closed else live[:0]
+        flags = hit.astype(np.int8)
+        spans = [_spans(flags[first[d] : first[d] + sizes[d]]) if d in items else [] for d in range(len(sizes))]
         whole = pa.Table.from_batches(batches).combine_chunks()
-        for d, (spans, names) in enumerate(zip(whole.column("spans").to_pylist(), whole.column("items").to_pylist(), strict=True)):
-            for s in spans:
-                change[first[d] + s["start"]] += 1
-                change[first[d] + s["end"]] -= 1
-            if spans:
-                items[d] = set(names)
-        for n, window, at in search_shard(w, numbers) if w.patterns else []:
-            np.add.at(change, at, 1)
-            np.add.at(change, at + n, -1)
-            doc = np.searchsorted(first, at, side="right") - 1
-            for d, k in np.unique(np.stack([doc, window], 1), axis=0):
-                items.setdefault(int(d), set()).update(w.items(n, k))
-        hit = (np.cumsum(change) > 0).astype(np.int8)
-        spans = [_spans(hit[first[d] : first[d] + sizes[d]]) if d in items else [] for d in range(len(sizes))]
         kept = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (whole.column("row"), whole.column("body"))]
         kept = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in kept]
         out = [pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array([sorted(items.get(d, ())) for d in range(len(sizes))], pa.list_(pa.string()))]
@@ -285,23 +301,26 @@ def _judge(windows, spans_type: pa.DataType):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
-    """``docs`` with ``n_words``, ``spans array<struct<start, end>>`` (words, end exclusive), ``items`` and ``n_hit``."""
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_bytes: int = 8 << 20, closed: bool = False) -> DataFrame:
+    """``docs`` with ``n_words``, ``spans array<struct<start, end>>`` (words, end exclusive), ``items`` and ``n_hit``.
+
+    ``closed``: also what becomes a passage once others are taken out.
+    """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 64 * F.count(F.lit(1))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
-    none = {"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")}
     # A text goes through Python once, as its bytes, from which its column is made again.
     kind = docs.schema[text].dataType if text in docs.columns else None
     once = isinstance(kind, (T.StringType, T.BinaryType))
-    out = packed(docs, text if once else None, body=named(text).cast("binary")).withColumns(none)
+    out = packed(docs, text if once else None, body=named(text).cast("binary"))
     schema = T.StructType([out.schema["row"], out.schema["body"], *RESULTS])
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    sent = []
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        windows = spark.sparkContext.broadcast(cut_windows([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in own.collect()], width))
-        out = out.mapInArrow(_judge(windows, arrow), schema)
+        sent.append(spark.sparkContext.broadcast(cut_windows([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in own.collect()], width)))
+    out = out.mapInArrow(_judge(sent, arrow, closed), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.getField("end") - s.getField("start"))
     if once:
         out = out.withColumn("row", F.struct(*[(F.col("body").cast(kind) if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]))
@@ -309,9 +328,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with the benchmark passages cut out of ``text``; documents of which no word remains are dropped, others stay."""
+    """``docs`` with the benchmark passages cut out of ``text``, and those that a cut brings together, until there is none; documents of which no word remains are dropped, others stay."""
     given = packed(docs, text, text=named(text))
-    judged = contamination(given, benchmark, text="text", **options)
+    judged = contamination(given, benchmark, text="text", closed=True, **options)
     out = T.StructType([judged.schema["row"], judged.schema["text"]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
