@@ -36,7 +36,8 @@ def base_rank(base: Column, deletion: Column, insertion: Column, gap: Column | N
 def sort_columns(keys: Sequence[str | tuple[str, bool]]) -> list[Column]:
     """``orderBy`` columns of named keys, each with an optional reverse flag; repeated keys count once.
 
-    START, STRAND, MAPQ (high first), READ_ORDER, READ_NAME, LENGTH, READ_GROUP, and RANK for a computed base rank.
+    START, STRAND, MAPQ (high first), READ_ORDER, READ_NAME, LENGTH, READ_GROUP, SAMPLE (``with_samples``), INSERT_SIZE,
+    MATE_CONTIG, TAG:XX for a tag's text, and RANK for a computed base rank.
     """
     flag = F.col("flag")
     columns = {
@@ -47,6 +48,9 @@ def sort_columns(keys: Sequence[str | tuple[str, bool]]) -> list[Column]:
         "READ_NAME": F.col("qname"),
         "LENGTH": F.col("end") - F.col("start"),
         "READ_GROUP": F.col("read_group"),
+        "SAMPLE": F.col("sample"),
+        "INSERT_SIZE": F.col("tlen"),
+        "MATE_CONTIG": F.col("mate_contig"),
         "RANK": F.col("rank"),
     }
     out, seen = [], set()
@@ -54,10 +58,17 @@ def sort_columns(keys: Sequence[str | tuple[str, bool]]) -> list[Column]:
         name, reverse = key if isinstance(key, tuple) else (key, False)
         if name not in seen:
             seen.add(name)
-            out.append(columns[name].desc_nulls_last() if reverse else columns[name].asc_nulls_last())
+            column = F.try_element_at("tags", F.lit(name[4:])) if name.startswith("TAG:") else columns[name]
+            out.append(column.desc_nulls_last() if reverse else column.asc_nulls_last())
     return out
 
 
+def with_samples(reads: DataFrame, groups: DataFrame) -> DataFrame:
+    """``reads`` with ``sample``, that of their file's read group (``file, read_group, sample``); null where the header names none."""
+    known = groups.groupBy(F.col("file").alias("_f"), F.col("read_group").alias("_g")).agg(F.min("sample").alias("sample"))
+    return reads.join(known, (F.col("file") == F.col("_f")) & (F.col("read_group") == F.col("_g")), "left").drop("_f", "_g")
+
+
 class Lanes:
     """Lanes in order with the span each is filled over; ``place`` fits a row into one.
 

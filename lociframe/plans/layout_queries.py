@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociframe.functions import filters
 from lociframe.functions import reads as fr
 from lociframe.operators import lanes, pairs
 from lociframe.operators import reads as r
@@ -84,25 +85,22 @@ def pr_overlap_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filters(p: Column) -> dict[str, Column]:
-    base = fr.base_at(F.col("ops"), F.col("seq"), p)
-    flag = F.col("flag")
-    clip = fr.is_softclip_at(F.col("start"), F.col("end"), F.col("leading"), F.col("trailing"), p)
     return {
-        "base_c": F.coalesce(F.upper(base) == F.upper(F.lit("c")), F.lit(False)),
-        "softclip": clip,
-        "default_all": F.lit(True),
-        "default_none": F.lit(False),
-        "starts_in": F.col("start").between(p - 10, p),
-        "ends_in": F.col("end").between(p, p + 10),
-        "overlaps": (F.col("start") <= p + 5) & (F.col("end") >= p - 5),
-        "reverse": flag.bitwiseAND(16) != 0,
-        "mapq_ge": F.col("mapq") >= 30,
-        "mapq_le": F.col("mapq") <= 10,
-        "flags_all": flag.bitwiseAND(81) == 81,
-        "flags_any": flag.bitwiseAND(80) != 0,
-        "flags_equal": flag == 129,
-        "tag_rg": F.coalesce(F.try_element_at(F.create_map(F.lit("RG"), F.col("read_group")), F.lit("RG")) == "RG1", F.lit(False)),
-        "combined": ~clip & ((F.col("mapq") >= 30) | (flag.bitwiseAND(16) != 0)),
+        "base_c": filters.base(p, "c"),
+        "softclip": filters.softclip(p),
+        "default_all": filters.everything(),
+        "default_none": filters.nothing(),
+        "starts_in": filters.starts_in(p - 10, p),
+        "ends_in": filters.ends_in(p, p + 10),
+        "overlaps": filters.overlaps(p - 5, p + 5),
+        "reverse": filters.reverse(),
+        "mapq_ge": filters.mapq_at_least(30),
+        "mapq_le": filters.mapq_at_most(10),
+        "flags_all": filters.flags_all(81),
+        "flags_any": filters.flags_any(80),
+        "flags_equal": filters.flags_equal(129),
+        "tag_rg": filters.tag("RG", "RG1"),
+        "combined": ~filters.softclip(p) & (filters.mapq_at_least(30) | filters.reverse()),
     }
 
 
@@ -115,7 +113,8 @@ def _filters(p: Column) -> dict[str, Column]:
     from sites s left join bases b on b.read_id = s.read_id and b.pos = p and not b.clip"""
 )
 def fl_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir).select("read_id", *[c.alias(n) for n, c in _filters(F.col("start") - 6 + F.col("read_id") % 65).items()])
+    tagged = _parsed(spark, sf_dir).withColumn("tags", F.create_map(F.lit("RG"), "read_group"))
+    return tagged.select("read_id", *[c.alias(n) for n, c in _filters(F.col("start") - 6 + F.col("read_id") % 65).items()])
 
 
 @query("""select b.contig, pos, count(*) filter (where not clip) as total, count(*) filter (where clip) as softclip from bases b join reads using (read_id) where mapq >= 30 and flag & 16 = 0 and not (is_lead and pos < 2) group by b.contig, pos""")

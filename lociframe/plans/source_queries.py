@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociframe.functions import filters
 from lociframe.operators import bins, genes, lanes
 from lociframe.operators import reads as r
 from lociframe.operators.contigs import resolve, with_aliases
+from lociframe.operators.joins import overlap_join
+from lociframe.operators.tables import shared_dir
 from lociframe.plans.adapters import view
 from lociframe.plans.registry import query
-from lociframe.sources import annotation, text
+from lociframe.sources import annotation, bam, text
 
 
 def _pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +56,57 @@ def cov_load_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.load_statistics(reads, lanes.assign_lanes(reads.select(F.col("read_id").alias("id"), "contig", "start", "s_start", "s_end")))
 
 
-@query("""select s.read_id from spans s where s.contig = 'chr5' and s.start <= 2000 and s."end" >= 1000""")
+def _bam_files(spark: SparkSession, sf_dir: str) -> str:
+    """The reads as BAM files with their indexes, in the folder that executors share; the samples of read groups in the headers."""
+    folder = f"{shared_dir(spark)}/bam-{uuid.uuid4().hex}"
+    contigs = [(r["name"], r["length"] * 8) for r in view(spark, sf_dir, "contigs").orderBy("contig_index").collect()]
+    own = F.create_map(F.lit("XI"), F.col("read_id").cast("string"), F.lit("XL"), F.col("line").cast("string"))
+    mates = {"mate_contig": F.col("contig"), "mate_start": F.col("start") + F.col("mapq"), "tlen": (F.col("mapq") * 3 - 70).cast("int"), "tags": own}
+    bam.write_sorted(view(spark, sf_dir, "reads").withColumns(mates), contigs, folder, {f"RG{i}": f"sample{i % 2}" for i in range(4)})
+    return folder
+
+
+def _own_id() -> Column:
+    return F.element_at("tags", "XI").cast("long").alias("read_id")
+
+
+@query("""select read_id, qname, contig, start, "end" as end_pos, cigar, seq, flag, mapq, read_group, cast(line as string) as line from spans""")
+def src_bam_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.format("bam").load(_bam_files(spark, sf_dir))
+    return df.select(_own_id(), "qname", "contig", "start", F.col("end").alias("end_pos"), "cigar", "seq", "flag", "mapq", "read_group", F.element_at("tags", "XL").alias("line"))
+
+
+@query("""select name, length * 8 as length from contigs""")
+def src_bam_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.format("bam").option("header", "true").load(_bam_files(spark, sf_dir)).select("name", "length").dropDuplicates(["name"])
+
+
+@query("""select region_id, s.read_id from regions r join spans s on s.contig = r.contig and s.start <= r."end" and s."end" >= r.start""")
 def src_region_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = r.parsed(view(spark, sf_dir, "reads").where("contig = 'chr5' and start <= 2000"))
-    return reads.where("`end` >= 1000").select("read_id")
+    regions = view(spark, sf_dir, "regions")
+    scanned = bam.scan_regions(spark, _bam_files(spark, sf_dir), regions).select("contig", "start", "end", _own_id())
+    return overlap_join(regions, scanned, bin_size=512).select("region_id", F.col("r_read_id").alias("read_id"))
+
+
+@query(
+    """select read_id, row_number() over (order by sample, tlen desc, mate_contig, line, read_id) as place from (
+      select read_id, concat('sample', cast(right(read_group, 1) as int) % 2) as sample, mapq * 3 - 70 as tlen, contig as mate_contig, cast(line as string) as line from spans)"""
+)
+def so_source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted by sample, insert size, the mate's contig and a tag, as the files have them."""
+    folder = _bam_files(spark, sf_dir)
+    reads = spark.read.format("bam").load(folder)
+    groups = spark.read.format("bam").option("header", "read_groups").load(folder)
+    sampled = lanes.with_samples(reads.drop("read_id").withColumn("read_id", _own_id()), groups).withColumn("rank", F.lit(None).cast("int"))
+    order = lanes.sort_columns(["SAMPLE", ("INSERT_SIZE", True), "MATE_CONTIG", "TAG:XL"])
+    return lanes.multi_key_places(sampled, [*order, F.col("read_id")]).select("read_id", "place")
+
+
+@query("""select read_id, read_group = 'RG1' as rg, line = 3 as xl, false as absent, read_group = 'RG1' or line <> 3 as both from spans""")
+def fl_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.format("bam").load(_bam_files(spark, sf_dir))
+    rg, xl = filters.tag("RG", "RG1"), filters.tag("XL", "3")
+    return df.select(_own_id(), rg.alias("rg"), xl.alias("xl"), filters.tag("NM", "0").alias("absent"), (rg | ~xl).alias("both"))
 
 
 def _lines(df: DataFrame, *columns) -> DataFrame:
