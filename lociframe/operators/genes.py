@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.functions.columns import once
+from lociframe.operators import tiles
 from lociframe.operators.joins import kth_neighbour, overlap_join
 
 # Gene tables in order of preference.
@@ -48,6 +49,11 @@ def exons(genes: DataFrame) -> DataFrame:
     )
 
 
+def exon_spans(genes: DataFrame) -> DataFrame:
+    """``id, contig, start, end`` of all exons; an ``id`` is a struct of the gene's ``id`` and ``exon_no``."""
+    return exons(genes).select(F.struct("id", "exon_no").alias("id"), "contig", "start", "end")
+
+
 def features(genes: DataFrame) -> DataFrame:
     """Exon, Intron and NonCDSExon rows: ``id, name, start, end, type, number``.
 
@@ -119,12 +125,12 @@ def gene_covering(loci: DataFrame, genes: DataFrame, bin_size: int = 1 << 14) ->
     return loci.select("locus_id").join(hits, "locus_id", "left")
 
 
-def feature_at(loci: DataFrame, spans: DataFrame, tile: int = 1 << 20) -> DataFrame:
+def feature_at(loci: DataFrame, spans: DataFrame, size: int = tiles.ROWS) -> DataFrame:
     """``locus_id, id``: the last feature that starts at or before the locus, if it is also the first that ends at or after it."""
     k = F.lit(1)
-    by_start = kth_neighbour(loci, spans, "start", k, after=False, inclusive=True, tile=tile).select("locus_id", F.col("f_id").alias("a"))
+    by_start = kth_neighbour(loci, spans, "start", k, after=False, inclusive=True, size=size).select("locus_id", F.col("f_id").alias("a"))
     before_ends = loci.withColumn("position", F.col("position") - 1)
-    by_end = kth_neighbour(before_ends, spans, "end", k, after=True, tile=tile).select("locus_id", F.col("f_id").alias("b"))
+    by_end = kth_neighbour(before_ends, spans, "end", k, after=True, size=size).select("locus_id", F.col("f_id").alias("b"))
     return by_start.join(by_end, "locus_id").select("locus_id", F.when(F.col("a") == F.col("b"), F.col("a")).alias("id"))
 
 
@@ -145,26 +151,26 @@ OFFSETS = {
 }
 
 
-def navigate(loci: DataFrame, genes: DataFrame, feature: str, direction: str, edge: str, k: Column, tile: int = 1 << 20) -> DataFrame:
+def navigate(loci: DataFrame, genes: DataFrame, feature: str, direction: str, edge: str, k: Column, size: int = tiles.ROWS) -> DataFrame:
     """``locus_id, target``: where moving k features on leads; saturating, and unmoved for k = 0 or without features.
 
     The next feature is found by its start, the previous one by its end; ``edge`` says where to land on it.
     """
     kth = kth_gene if feature == "gene" else kth_exon
-    found = kth(loci, genes, k, after=direction == "next", saturating=True, tile=tile)
+    found = kth(loci, genes, k, after=direction == "next", saturating=True, size=size)
     landed = F.greatest(F.lit(1).cast("long"), F.col(f"f_{edge}") + OFFSETS[feature, direction, edge])
     return found.select("locus_id", F.coalesce(landed, F.col("position")).alias("target"))
 
 
-def kth_gene(loci: DataFrame, genes: DataFrame, k: Column, after: bool, saturating: bool = False, tile: int = 1 << 20) -> DataFrame:
+def kth_gene(loci: DataFrame, genes: DataFrame, k: Column, after: bool, saturating: bool = False, size: int = tiles.ROWS) -> DataFrame:
     """After: by start over the position; before: by end under it. Gene columns come as ``f_*``."""
-    return kth_neighbour(loci, _spans(genes), "start" if after else "end", k, after=after, saturating=saturating, tile=tile)
+    return kth_neighbour(loci, _spans(genes), "start" if after else "end", k, after=after, saturating=saturating, size=size)
 
 
-def kth_exon(loci: DataFrame, genes: DataFrame, k: Column, after: bool, saturating: bool = False, tile: int = 1 << 20) -> DataFrame:
-    """After: by start over the position; before: by end at or under it."""
-    spans = exons(genes).select((F.col("id") * 1024 + F.col("exon_no")).alias("id"), "contig", "start", "end")
-    return kth_neighbour(loci, spans, "start" if after else "end", k, after=after, inclusive=not after, saturating=saturating, tile=tile)
+def kth_exon(loci: DataFrame, genes: DataFrame, k: Column, after: bool, saturating: bool = False, size: int = tiles.ROWS) -> DataFrame:
+    """After: by start over the position; before: by end at or under it. ``f_id`` is a struct of the gene's ``id`` and ``exon_no``."""
+    spans = exon_spans(genes)
+    return kth_neighbour(loci, spans, "start" if after else "end", k, after=after, inclusive=not after, saturating=saturating, size=size)
 
 
 def stain(text: Column) -> tuple[Column, Column]:

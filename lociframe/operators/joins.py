@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.operators import tiles
+
 WIDE = 64  # bins that an interval may be copied to before a coarser size is used
 
 
@@ -46,40 +48,50 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = 1 << 14, how
     return out
 
 
-def count_overlaps(left: DataFrame, right: DataFrame, id: str, tile: int = 1 << 20) -> DataFrame:
+def count_overlaps(left: DataFrame, right: DataFrame, id: str, size: int = tiles.ROWS) -> DataFrame:
     """``id, n``: how many ``right`` intervals each ``left`` one overlaps, where any.
 
-    Those that begin up to its end, less those that end before its start: two running counts, without the pairs.
+    Those that begin up to its end, less those that end before its start. Starts, ends and the questions are one table of
+    events by position, so one running sum answers both, without the pairs: a start counts 1 before the questions at its
+    place, an end takes 1 off behind them.
     """
-
-    def counted(events: DataFrame, bound: str, key: str, events_first: bool) -> DataFrame:
-        own = left.select("contig", F.col(bound).alias("_key"), F.col(id).alias("_id"), F.lit(0).cast("long").alias("_w"))
-        every = events.groupBy("contig", F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_w"))
-        both = own.unionByName(every, allowMissingColumns=True)
-        order = F.col("_w").desc() if events_first else F.col("_w").asc()
-        return running_count(both, "_key", F.col("_w"), tile, "_c", [order]).where("_w = 0").select(F.col("_id").alias(id), "_c")
-
-    begun = counted(right, "end", "start", events_first=True)
-    ended = counted(right, "start", "end", events_first=False)
-    return begun.unionByName(ended.withColumn("_c", -F.col("_c"))).groupBy(id).agg(F.sum("_c").alias("n")).where("n > 0")
-
-
-def running_count(events: DataFrame, key: str, weight: Column, tile: int, name: str, before: list[Column] | None = None) -> DataFrame:
-    """``events`` with the running sum of ``weight`` per contig by ``key``, tile by tile with the sums before each tile carried in.
-
-    ``before``: further sort keys among equal ``key``. One window per (contig, tile), so a contig isn't one task.
+    none = F.lit(None).cast(left.schema[id].dataType)
+    events = right.select("contig", F.explode(F.array(F.struct(F.col("start").alias("_pos"), F.lit(0).alias("_turn"), F.lit(1).alias("_w")), F.struct(F.col("end").alias("_pos"), F.lit(2).alias("_turn"), F.lit(1).alias("_w")))).alias("e")).select("contig", "e.*")
+    summed = events.groupBy("contig", "_pos", "_turn").agg(F.sum("_w").cast("long").alias("_w"))
+    own = F.explode(F.array(F.struct(F.col("end").alias("_pos"), F.lit(1).alias("_sign")), F.struct(F.col("start").alias("_pos"), F.lit(-1).alias("_sign"))))
+    asked = left.select("contig", F.col(id).alias("_id"), own.alias("e")).select("contig", "_id", "e.*", F.lit(1).alias("_turn"))
+    both = summed.select("contig", "_pos", "_turn", "_w", none.alias("_id"), F.lit(None).cast("int").alias("_sign")).unionByName(asked.withColumn("_w", F.lit(0).cast("long")))
+    # Those begun stand in the low half of the sum, those ended in the high half.
+    begun, ended = F.when(F.col("_turn") == 0, F.col("_w")).otherwise(0), F.when(F.col("_turn") == 2, F.col("_w")).otherwise(0)
+    counted = running_sums(both, 3 * F.col("_pos") + F.col("_turn"), {"_begun": begun, "_ended": ended}, size).where("_turn = 1")
+    part = F.when(F.col("_sign") == 1, F.col("_begun")).otherwise(-F.col("_ended"))
+    return counted.groupBy(F.col("_id").alias(id)).agg(F.sum(part).cast("long").alias("n")).where("n > 0")
+
+
+def running_sums(rows: DataFrame, key: Column, weights: dict[str, Column], size: int = tiles.ROWS) -> DataFrame:
+    """``rows`` with the running sums of ``weights`` per contig in the order of ``key``, a number; rows of equal keys come in any order.
+
+    One window per tile of equal counts, with the sums of the tiles before carried in, so that neither a contig nor a deep
+    place is one task.
     """
-    tiled = events.withColumns({"_tile": F.floor(F.col(key) / tile), "_weight": weight})
-    sums = tiled.groupBy("contig", "_tile").agg(F.sum("_weight").alias("_sum"))
-    carried = Window.partitionBy("contig").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(F.col("contig").alias("_carry_contig"), F.col("_tile").alias("_carry_tile"), F.coalesce(F.sum("_sum").over(carried), F.lit(0)).alias("_carry"))
-    within = Window.partitionBy("contig", "_tile").orderBy(key, *(before or [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tiled = tiles.equal_tiles(rows.withColumns({"_order": key, **{f"_weight_{n}": w for n, w in weights.items()}}), F.col("_order"), size=size)
+    sums = tiled.groupBy("contig", "_tile").agg(*[F.sum(f"_weight_{n}").alias(f"_sum_{n}") for n in weights])
+    before = Window.partitionBy("contig").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(F.col("contig").alias("_carry_contig"), F.col("_tile").alias("_carry_tile"), *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_carry_{n}") for n in weights])
+    within = Window.partitionBy("contig", "_tile").orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = tiled.join(carry, (F.col("contig") == F.col("_carry_contig")) & (F.col("_tile") == F.col("_carry_tile")))
-    return joined.withColumn(name, (F.sum("_weight").over(within) + F.col("_carry")).cast("long")).drop("_tile", "_weight", "_carry_contig", "_carry_tile", "_carry")
+    summed = joined.withColumns({n: (F.sum(f"_weight_{n}").over(within) + F.col(f"_carry_{n}")).cast("long") for n in weights})
+    return summed.drop("_tile", "_order", "_carry_contig", "_carry_tile", *[f"_weight_{n}" for n in weights], *[f"_carry_{n}" for n in weights])
+
+
+def running_count(events: DataFrame, key: str, weight: Column, name: str, first: Column | None = None, size: int = tiles.ROWS) -> DataFrame:
+    """``events`` with the running sum of ``weight`` per contig by ``key``; of equal keys, rows for which ``first`` holds come before the others."""
+    order = F.col(key) if first is None else 2 * F.col(key) + F.when(first, 0).otherwise(1)
+    return running_sums(events, order, {name: weight}, size)
 
 
 def kth_neighbour(
-    loci: DataFrame, features: DataFrame, key: str, k: Column, after: bool, inclusive: bool = False, saturating: bool = False, tile: int = 1 << 20
+    loci: DataFrame, features: DataFrame, key: str, k: Column, after: bool, inclusive: bool = False, saturating: bool = False, size: int = tiles.ROWS
 ) -> DataFrame:
     """``loci`` (``contig, position``) with the k-th feature after or before each, as ``f_*``; null where there is none.
 
@@ -97,8 +109,7 @@ def kth_neighbour(
     ).unionByName(
         loci.select("contig", F.col("position").alias("_key"), F.lit(None).cast(unique.schema["f"].dataType).alias("f"), F.struct(*loci.columns).alias("l"), k.cast("long").alias("_k"), F.lit(0).alias("w"))
     )
-    order = [F.col("w").desc() if features_first else F.col("w").asc()]
-    counted = running_count(both, "_key", F.col("w"), tile, "_c", order)
+    counted = running_count(both, "_key", F.col("w"), "_c", F.col("w") == (1 if features_first else 0), size)
     ranked = counted.where("w = 1").select(F.col("contig").alias("_fc"), F.col("_c").alias("_rank"), "f")
     wanted = counted.where("w = 0").select("l", "_k", "contig", F.when(F.lit(after), F.col("_c") + F.col("_k")).otherwise(F.col("_c") - F.col("_k") + 1).alias("_want"))
     if saturating:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociframe.operators import tiles
 from lociframe.operators.tables import kept
 
 READ_GAP, PAIR_GAP = 3, 10
@@ -131,28 +132,28 @@ def first_fit(spans: Sequence[tuple[int, int]], gap: int) -> list[int]:
     return [lanes.place(start, end) for start, end in spans]
 
 
-def with_islands(rows: DataFrame, gap: int, group: Sequence[str] = ("contig",), tile: int = 1 << 20) -> DataFrame:
-    """``rows`` (``id, start, s_start, s_end``) with ``island``, the first (start, id) of each island.
+def with_islands(rows: DataFrame, gap: int, group: Sequence[str] = ("contig",), size: int = tiles.ROWS) -> DataFrame:
+    """``rows`` (``id, start, s_start, s_end``) with ``island``, the first start of each island.
 
-    An island begins where all later starts lie over all earlier ends plus the gap. Windows run over tiles of a
-    contig, with the extremes of the tiles before and behind carried in, so a contig isn't one task.
+    An island begins where all later starts lie over all earlier ends plus the gap; rows of equal start are always in one.
+    Windows run over tiles of equal counts, with the extremes of the tiles before and behind carried in, so neither a
+    contig nor a deep locus is one task.
     """
     by = [*group, "_tile"]
-    order = ["start", "id"]
-    tiled = rows.withColumn("_tile", F.floor(F.col("start") / tile))
+    tiled = tiles.equal_tiles(rows, F.col("start"), group, size)
     before = Window.partitionBy(*group).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy(*group).orderBy("_tile").rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, as Spark computes a frame up to the last row anew for each row.
+    behind = Window.partitionBy(*group).orderBy(F.desc("_tile")).rowsBetween(Window.unboundedPreceding, -1)
     extremes = tiled.groupBy(*by).agg(F.max("s_end").alias("_e"), F.min("s_start").alias("_s"))
     carried = extremes.select(*by, F.max("_e").over(before).alias("_before"), F.min("_s").over(behind).alias("_behind"))
-    w = Window.partitionBy(*by).orderBy(*order)
-    earlier = F.greatest(F.max("s_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
-    # Backwards, as Spark computes a frame up to the last row anew for each row.
-    back = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    forward = Window.partitionBy(*by).orderBy("start", "id")
+    earlier = F.greatest(F.max("s_end").over(forward.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
+    back = Window.partitionBy(*by).orderBy(F.desc("start"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = F.least(F.min("s_start").over(back), F.col("_behind"))
-    first = F.when(earlier.isNull() | (later > earlier + gap), F.struct(*order))
+    first = F.when(earlier.isNull() | (later > earlier + gap), F.col("start"))
     marked = tiled.join(carried, by).withColumn("_first", first)
     firsts = marked.groupBy(*by).agg(F.max("_first").alias("_f")).select(*by, F.max("_f").over(before).alias("_last"))
-    island = F.coalesce(F.max("_first").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_last"))
+    island = F.coalesce(F.max("_first").over(forward.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_last"))
     return marked.join(firsts, by).withColumn("island", island).drop("_tile", "_before", "_behind", "_first", "_last")
 
 
@@ -186,9 +187,7 @@ def assign_lanes(rows: DataFrame, gap: int = READ_GAP, group: Sequence[str] = ("
     filtered = "visible" in rows.columns
     shown = rows.where("visible") if filtered else rows
     islands = with_islands(shown.select("id", *group, "start", "s_start", "s_end"), gap, group)
-    # The first (start, id) of an island as columns.
-    flat = islands.select("*", F.col("island.start").alias("_start"), F.col("island.id").alias("_id"), F.lit(None).cast("int").alias("rank"))
-    laid = _laid_out(flat, [*group, "_start", "_id"], ["id"], [F.col("start"), F.col("id")], gap, max_island)
+    laid = _laid_out(islands.withColumn("rank", F.lit(None).cast("int")), [*group, "island"], ["id"], [F.col("start"), F.col("id")], gap, max_island)
     if not filtered:
         return laid
     hidden = rows.where(~F.coalesce("visible", F.lit(False))).select("id", F.lit(0).alias("lane"), F.lit(False).alias("visible"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.functions import formats
@@ -15,8 +15,6 @@ from lociframe.operators.joins import count_overlaps, overlap_join
 from lociframe.plans.adapters import view
 from lociframe.plans.registry import query
 
-TILE = 1 << 10  # small enough that the test contigs have several
-
 
 def _genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.parse_genes(view(spark, sf_dir, "genes"))
@@ -184,18 +182,22 @@ _AT = """with f as ({spans}), by_start as (select contig, start as k, max_by(id,
 select locus_id, case when (select id from by_start b where b.contig = l.contig and b.k <= l.position order by k desc limit 1) = (select id from by_end b where b.contig = l.contig and b.k >= l.position order by k limit 1)
   then (select id from by_start b where b.contig = l.contig and b.k <= l.position order by k desc limit 1) end as id from loci l"""
 _GENE_SPANS = "select id, contig, tx0 + 1 as start, tx_end as e from genes"
-_EXON_SPANS = 'select id * 1024 + i as id, contig, start, "end" as e from exons'
+_EXON_SPANS = "select {'gene': id, 'no': i::int} as id, contig, start, \"end\" as e from exons"
+_EXON_ID = "id.gene as gene_id, id.no as exon_no"
+
+
+def _exon_id(id: str) -> list[Column]:
+    return [F.col(f"{id}.id").alias("gene_id"), F.col(f"{id}.exon_no").alias("exon_no")]
 
 
 @query(_AT.format(spans=_GENE_SPANS))
 def gen_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.feature_at(view(spark, sf_dir, "loci"), g._spans(_genes(spark, sf_dir)), TILE)
+    return g.feature_at(view(spark, sf_dir, "loci"), g._spans(_genes(spark, sf_dir)))
 
 
-@query(_AT.format(spans=_EXON_SPANS))
+@query(f"select locus_id, {_EXON_ID} from ({_AT.format(spans=_EXON_SPANS)})")
 def gen_exon_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = g.exons(_genes(spark, sf_dir)).select((F.col("id") * 1024 + F.col("exon_no")).alias("id"), "contig", "start", "end")
-    return g.feature_at(view(spark, sf_dir, "loci"), spans, TILE)
+    return g.feature_at(view(spark, sf_dir, "loci"), g.exon_spans(_genes(spark, sf_dir))).select("locus_id", *_exon_id("id"))
 
 
 @query("""select region_id, g.id as gene_id from regions r join genes g on r.contig = g.contig and g.tx0 + 1 >= r.start and g.tx_end <= r."end" """)
@@ -241,10 +243,10 @@ def _nav(exon: bool, after: bool, saturating: bool):
     kth = g.kth_exon if exon else g.kth_gene
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return kth(view(spark, sf_dir, "loci"), _genes(spark, sf_dir), _steps(), after, saturating, TILE).select("locus_id", F.col("f_id").alias("id"))
+        return kth(view(spark, sf_dir, "loci"), _genes(spark, sf_dir), _steps(), after, saturating).select("locus_id", *(_exon_id("f_id") if exon else [F.col("f_id").alias("id")]))
 
     run.__name__ = f"nav_kth_{'exon' if exon else 'gene'}_{'after' if after else 'before'}{'_saturating' if saturating else ''}"
-    return query(_kth_sql(exon, after, saturating) + "select locus_id, id from found")(run)
+    return query(_kth_sql(exon, after, saturating) + f"select locus_id, {_EXON_ID if exon else 'id'} from found")(run)
 
 
 for _exon in (False, True):
@@ -253,12 +255,16 @@ for _exon in (False, True):
             _nav(_exon, _after, _saturating)
 
 
+# What the rules of navigation add to the edge, written here again for the SQL.
+_ADDED = {"next_gene_start": 0, "next_gene_end": 1, "previous_gene_start": -1, "previous_gene_end": -1, "next_exon_start": 1, "next_exon_end": 1, "previous_exon_start": -1, "previous_exon_end": -1}
+
+
 def _move(feature: str, direction: str, edge: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return g.navigate(view(spark, sf_dir, "loci"), _genes(spark, sf_dir), feature, direction, edge, _steps(), TILE)
+        return g.navigate(view(spark, sf_dir, "loci"), _genes(spark, sf_dir), feature, direction, edge, _steps())
 
     run.__name__ = f"nav_{direction}_{feature}_{edge}"
-    column, offset = ("start" if edge == "start" else "e"), g.OFFSETS[feature, direction, edge]
+    column, offset = ("start" if edge == "start" else "e"), _ADDED[f"{direction}_{feature}_{edge}"]
     return query(_kth_sql(feature == "exon", direction == "next", True) + f"select locus_id, coalesce(greatest(1, (select {column} from f where f.id = found.id) + {offset}), position) as target from found")(run)
 
 

@@ -142,7 +142,7 @@ def cov_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     select contig, pos, cast(sum(sum(d)) over (partition by contig order by pos) as bigint) as depth from e group by contig, pos"""
 )
 def cov_depth_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.depth_sweep(_parsed(spark, sf_dir), tile=1 << 10)
+    return r.depth_sweep(_parsed(spark, sf_dir))
 
 
 @query("""select l.locus_id, coalesce(total, 0) as total, coalesce(softclip, 0) as softclip from loci l left join pileup p on l.contig = p.contig and l.position = p.pos""")

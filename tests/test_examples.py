@@ -110,7 +110,7 @@ def test_islands_equal_whole_first_fit(spark):
     got = dict(values(lanes.assign_lanes(df), "id", "lane"))
     ordered = sorted(rows, key=lambda x: (x[2], x[0]))
     assert [got[x[0]] for x in ordered] == lanes.first_fit([(x[3], x[4]) for x in ordered], lanes.READ_GAP)
-    assert lanes.with_islands(df, 3, tile=64).select("island").distinct().count() == lanes.with_islands(df, 3).select("island").distinct().count() > 10
+    assert lanes.with_islands(df, 3, size=16).select("island").distinct().count() == lanes.with_islands(df, 3).select("island").distinct().count() > 10
     with pytest.raises(Exception, match="max_island"):
         lanes.assign_lanes(df, max_island=2).collect()
 
