@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociframe.operators import tiles
+from lociframe.operators.joins import overlap_join
 from lociframe.operators.tables import kept
 
 READ_GAP, PAIR_GAP = 3, 10
@@ -195,9 +196,18 @@ def assign_lanes(rows: DataFrame, gap: int = READ_GAP, group: Sequence[str] = ("
 
 
 def assign_lanes_sorted(rows: DataFrame, gap: int = READ_GAP, group: Sequence[str] = ("region_id",), max_rows: int | None = None) -> DataFrame:
-    """The group, ``id, lane`` where rows with a ``rank`` take lanes 0, 1, ... in its order and the others are fitted around them, a region at a time."""
+    """The group, ``id, lane`` where rows with a ``rank`` take lanes 0, 1, ... in its order and the others are fitted around them, a region at a time.
+
+    With a column ``visible``, rows for which it isn't true take no lane, whatever their rank, and get lane 0; the result keeps the column.
+    """
+    filtered = "visible" in rows.columns
+    shown = rows.where("visible") if filtered else rows
     order = [F.col("rank").asc_nulls_last(), F.col("start"), F.col("id")]
-    return _laid_out(rows.select("id", *group, "start", "s_start", "s_end", "rank"), list(group), [*group, "id"], order, gap, max_rows)
+    laid = _laid_out(shown.select("id", *group, "start", "s_start", "s_end", "rank"), list(group), [*group, "id"], order, gap, max_rows)
+    if not filtered:
+        return laid
+    hidden = rows.where(~F.coalesce("visible", F.lit(False))).select(*group, "id", F.lit(0).alias("lane"), F.lit(False).alias("visible"))
+    return laid.withColumn("visible", F.lit(True)).unionByName(hidden)
 
 
 def multi_key_places(rows: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
@@ -216,6 +226,35 @@ def _shown(lanes: DataFrame) -> DataFrame:
     return lanes.where("visible") if "visible" in lanes.columns else lanes
 
 
+def lane_index(laid: DataFrame, rows: DataFrame, group: Sequence[str] = ("contig",)) -> DataFrame:
+    """The rows of each lane: the group, ``lane, ordinal, id, start, s_start, s_end``, ordinals from 1 on in file order; hidden rows aren't in it.
+
+    ``laid`` has ``id, lane``; ``rows`` the group and bounds of each id. The table comes sorted by range, so a lane of any
+    length is dealt over tasks: places among all rows, less those before the lane.
+    """
+    own = [*group, "id", "start", "s_start", "s_end"]
+    met = rows.select(*own).join(_shown(laid).select(F.col("id").alias("_i"), "lane"), F.col("id") == F.col("_i")).drop("_i")
+    by = [*group, "lane"]
+    placed = multi_key_places(met, [F.col(c) for c in (*by, "start", "id")], "_place")
+    first = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_place").alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return placed.join(first, same).select(*group, "lane", (F.col("_place") - F.col("_first") + 1).alias("ordinal"), "id", "start", "s_start", "s_end")
+
+
+def first_in_lane(index: DataFrame, asked: DataFrame, id: str, group: Sequence[str] = ("contig",), bin_size: int = 1 << 10) -> DataFrame:
+    """``asked`` (the group, ``lane, left, right`` and a key ``id``) with ``found``: the first row of the lane, in file order, over ``left..right``; null where there is none.
+
+    Questions meet rows by (group, lane, bin).
+    """
+    # A lane of a group stands for a contig; nulls meet nothing.
+    place = F.struct(*[F.col(c) for c in (*group, "lane")]).alias("contig")
+    whole = F.when(F.greatest(*[F.col(c).isNull().cast("int") for c in (*group, "lane")]) == 0, F.lit(True))
+    questions = asked.where(whole).select(F.col(id).alias("_q"), place, F.col("left").alias("start"), F.col("right").alias("end"))
+    hits = overlap_join(questions, index.select(place, F.col("s_start").alias("start"), F.col("s_end").alias("end"), "id", "ordinal"), bin_size)
+    best = hits.groupBy("_q").agg(F.min_by("r_id", "r_ordinal").alias("found"))
+    return asked.join(best, F.col(id) == F.col("_q"), "left").drop("_q")
+
+
 def lane_counts(lanes: DataFrame) -> DataFrame:
     """``lane, n``: the number of visible rows of each lane."""
     return _shown(lanes).groupBy("lane").agg(F.count(F.lit(1)).alias("n"))

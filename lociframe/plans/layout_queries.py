@@ -84,6 +84,38 @@ def pr_overlap_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.overlap_calls(pairs.pairs(reads), r.segments(reads), r.mismatches(reads, view(spark, sf_dir, "ref_seqs")))
 
 
+_MM = "mm as (select b.read_id, b.pos, b.base from bases b join ref_seqs s using (contig) where b.op = 'X' or (b.op = 'M' and b.pos <= 4500 and b.base <> substring(s.bases, cast(b.pos as int), 1)))"
+
+
+@query(
+    _PAIRS
+    + f""", {_MM},
+  mem as (select pair_id, 0 as mate, read_1 as read_id from pairs union all select pair_id, 1, read_2 from pairs where read_2 is not null),
+  segs as (select pair_id, mate, s.start, s."end" as e, kind, base, insertion_len as ins, arrow from mem join segments s using (read_id)),
+  cuts as (select pair_id, start as p from segs union select pair_id, e + 1 from segs),
+  pieces as (select * from (select pair_id, p, lead(p) over (partition by pair_id order by p) - 1 as e from cuts) where e is not null),
+  cov as (select x.pair_id, x.p, x.e, mate, kind, base, case when s.start = x.p then ins end as ins, case when (arrow = 'Reverse' and s.start = x.p) or (arrow = 'Forward' and s.e = x.e) then arrow end as arrow
+    from pieces x join segs s on x.pair_id = s.pair_id and s.start <= x.p and s.e >= x.e),
+  two as (select pair_id, p, e, count(distinct kind || coalesce(base, '-')) > 1 as unlike, min(kind) as kind, min(base) as base, count(distinct ins) as n_ins, min(ins) as ins,
+    array_to_string(list_sort(list(distinct arrow) filter (where arrow is not null)), ',') as arrows from cov group by all),
+  per as (select pair_id, pos, count(distinct base) as n, min(base) as base from mem join mm using (read_id) group by all),
+  marks as (select x.pair_id, x.p, string_agg(pos || ':' || m.base, ',' order by pos) filter (where n = 1) as good, list(pos) filter (where n > 1) as bad
+    from pieces x join per m on x.pair_id = m.pair_id and m.pos between x.p and x.e group by all)
+  select x.pair_id, row_number() over (partition by x.pair_id order by x.p)::int as piece_no, x.p as piece_start, x.e as piece_end, case when unlike then 'PairOverlap' else coalesce(kind, 'PairGap') end as kind,
+    case when not unlike then t.base end as base, case when not unlike and n_ins = 1 then ins end as insertion_len, case when unlike then '' else coalesce(arrows, '') end as arrows,
+    case when unlike then '' else coalesce(good, '') end as mismatches,
+    coalesce(array_to_string(case when unlike then generate_series(x.p, x.e) else list_sort(list_distinct(coalesce(bad, []) || case when n_ins > 1 then [x.p] else [] end)) end, ','), '') as conflicts
+  from pieces x left join two t on x.pair_id = t.pair_id and x.p = t.p left join marks m on x.pair_id = m.pair_id and x.p = m.p"""
+)
+def pr_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs, apart or overlapping, with what their pieces carry."""
+    reads = _parsed(spark, sf_dir)
+    found = pairs.pair_pieces(pairs.pairs(reads), r.segments(reads), r.mismatches(reads, view(spark, sf_dir, "ref_seqs")))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    mismatches = F.array_join(F.transform("mismatches", lambda m: F.concat(m["pos"].cast("string"), F.lit(":"), m["base"])), ",").alias("mismatches")
+    return found.select("pair_id", "piece_no", F.col("start").alias("piece_start"), F.col("end").alias("piece_end"), "kind", "base", "insertion_len", text("arrows"), mismatches, text("conflicts"))
+
+
 def _filters(p: Column) -> dict[str, Column]:
     return {
         "base_c": filters.base(p, "c"),
@@ -155,22 +187,43 @@ def so_base_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(_at_loci(spark, sf_dir)).select("locus_id", "read_id", "rank", F.row_number().over(w).alias("place"))
 
 
-@query(
-    _PAIRS
-    + f""", sites as (select *, 1000 + pair_id % 2000 as p from pairs),
+# The rank of each member (read_id, p) there: a base, else a deletion, else an insertion.
+_MEMBER_RANKS = """ranks as (
+  select m.read_id, m.p, min(case when op in ('M', '=', 'X') and m.p between ref_start and ref_start + len - 1 then case substring(seq, cast(query_start + m.p - ref_start + 1 as int), 1) when 'A' then 0 when 'T' then 1 when 'C' then 2 when 'G' then 3 when 'N' then 4 end
+    when op in ('D', 'N') and m.p between ref_start and ref_start + len - 1 then 6 when op = 'I' and ref_start = m.p then 7 end) as rank
+  from members m join reads r on r.read_id = m.read_id join ops o on o.read_id = m.read_id group by m.read_id, m.p)"""
+_PAIR_RANKS = _PAIRS + f""", sites as (select *, 1000 + pair_id % 2000 as p from pairs),
   members as (select read_1 as read_id, p from sites union all select read_2, p from sites where read_2 is not null),
-  ranks as (select k.read_id, k.p, coalesce({_BASE_RANK}, special) as rank
-    from members k left join bases b on b.read_id = k.read_id and b.pos = k.p and not b.clip left join ({_SPECIAL.format(hits='members')}) x on x.read_id = k.read_id and x.p = k.p)
-  select s.pair_id, coalesce(a.rank, c.rank, case when read_2 is not null and s.p > least(end_1, end_2) and s.p < greatest(start_1, start_2) then 8 end) as rank
-  from sites s left join ranks a on a.read_id = s.read_1 and a.p = s.p left join ranks c on c.read_id = s.read_2 and c.p = s.p"""
-)
+  {_MEMBER_RANKS},
+  shown as (select * from ranks join (select read_id, mapq from reads) using (read_id) where {{shown}}),
+  ranked as (select s.*, coalesce(a.rank, c.rank, case when read_2 is not null and s.p > least(end_1, end_2) and s.p < greatest(start_1, start_2) then 8 end) as rank
+    from sites s left join shown a on a.read_id = s.read_1 left join shown c on c.read_id = s.read_2)
+"""
+
+
+def _sites(reads: DataFrame) -> DataFrame:
+    return pairs.pairs(reads).withColumn("p", 1000 + F.col("pair_id") % 2000)
+
+
+@query(_PAIR_RANKS.format(shown="true") + "select pair_id, rank from ranked")
 def so_pair_base_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _parsed(spark, sf_dir)
-    p = F.col("p")
-    sites = pairs.pairs(reads).withColumn("p", 1000 + F.col("pair_id") % 2000)
-    members = sites.select("pair_id", "p", F.posexplode(F.array_compact(F.array("read_1", "read_2"))).alias("mate", "_r"))
-    ranked = _ranked(members.join(reads, F.col("_r") == F.col("read_id"))).groupBy("pair_id").agg(F.max(F.when(F.col("mate") == 0, F.col("rank"))).alias("a"), F.max(F.when(F.col("mate") == 1, F.col("rank"))).alias("b"))
-    return sites.join(ranked, "pair_id").select("pair_id", F.coalesce("a", "b", F.when(pairs.pair_gap_at(p), 8)).alias("rank"))
+    return pairs.pair_ranks(_sites(reads), reads)
+
+
+@query(
+    _PAIR_RANKS.format(shown="mapq >= 25")
+    + """select pair_id, rank, row_number() over (order by rank nulls last, contig, start_1, pair_id) as place
+    from ranked where exists (select 1 from reads where mapq >= 25 and (read_id = read_1)) or exists (select 1 from reads where mapq >= 25 and read_id = read_2)"""
+)
+def so_pair_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with a visible read in the order of what their visible reads have at a position."""
+    reads = _parsed(spark, sf_dir).withColumn("visible", F.col("mapq") >= 25)
+    sites = _sites(reads)
+    shown = pairs.visible_pairs(sites, reads.select("read_id", "visible")).where("visible")
+    ranked = shown.join(pairs.pair_ranks(shown.drop("visible"), reads).withColumnRenamed("pair_id", "_p"), F.col("pair_id") == F.col("_p"))
+    order = [*lanes.sort_columns(["RANK"]), F.col("contig"), F.col("start_1"), F.col("pair_id")]
+    return lanes.multi_key_places(ranked.select("pair_id", "rank", "contig", "start_1"), order).select("pair_id", "rank", "place")
 
 
 def _multi_key(reads: DataFrame) -> DataFrame:
@@ -223,9 +276,13 @@ _SPANS = "select read_id as id, contig, start, s_start, s_end, false as ranked f
 _READ_LANES = "with " + _first_fit(_SPANS, "contig", "start, id", 3, "")
 
 
+def _lane_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).select(F.col("read_id").alias("id"), "contig", "start", "s_start", "s_end")
+
+
 @query(_READ_LANES + "select id, cast(lane as int) as lane from laid")
 def ln_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lanes.assign_lanes(_parsed(spark, sf_dir).select(F.col("read_id").alias("id"), "contig", "start", "s_start", "s_end"))
+    return lanes.assign_lanes(_lane_rows(spark, sf_dir))
 
 
 @query(_PAIRS + ", " + _first_fit("select pair_id as id, contig, s_start as start, s_start, s_end, false as ranked from pairs", "contig", "start, id", 10, "select id, cast(lane as int) as lane from laid"))
@@ -249,6 +306,56 @@ def ln_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.lane_counts(ln_reads(spark, sf_dir))
 
 
+_SPANS_OF = lambda laid, spans, id: f"select contig, lane, row_number() over (partition by contig, lane order by start, id) as ordinal, id, s_start, s_end from {laid} join ({spans}) using (contig, id)"
+
+
+@query(_READ_LANES + "select contig, cast(lane as int) as lane, ordinal, id from (" + _SPANS_OF("laid", _SPANS, "read_id") + ")")
+def ln_lane_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each lane of each contig."""
+    rows = _lane_rows(spark, sf_dir)
+    return lanes.lane_index(lanes.assign_lanes(rows), rows).select("contig", "lane", "ordinal", "id")
+
+
+def _first_sql(of: str) -> str:
+    return f"""select locus_id, locus_id % 4 as lane, arg_min(i.id, ordinal) as found from loci l
+    left join ({of}) i on i.contig = l.contig and i.lane = l.locus_id % 4 and i.s_start <= l.position + l.half_width and i.s_end >= l.position - l.half_width group by locus_id"""
+
+
+def _first_in_lanes(spark: SparkSession, sf_dir: str, rows: DataFrame, gap: int) -> DataFrame:
+    left, right = F.col("position") - F.col("half_width"), F.col("position") + F.col("half_width")
+    asked = view(spark, sf_dir, "loci").select("locus_id", "contig", (F.col("locus_id") % 4).alias("lane"), left.alias("left"), right.alias("right"))
+    index = lanes.lane_index(lanes.assign_lanes(rows, gap), rows)
+    return lanes.first_in_lane(index, asked, "locus_id").select("locus_id", "lane", "found")
+
+
+@query(_READ_LANES + _first_sql(_SPANS_OF("laid", _SPANS, "read_id")))
+def rd_first_in_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first_in_lanes(spark, sf_dir, _lane_rows(spark, sf_dir), lanes.READ_GAP)
+
+
+_PAIR_SPANS = "select pair_id as id, contig, s_start as start, s_start, s_end, false as ranked from pairs"
+
+
+@query(_PAIRS + ", " + _first_fit(_PAIR_SPANS, "contig", "start, id", 10, "") + _first_sql(_SPANS_OF("laid", _PAIR_SPANS, "pair_id")))
+def pr_first_in_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pairs.pairs(_parsed(spark, sf_dir)).select(F.col("pair_id").alias("id"), "contig", F.col("s_start").alias("start"), "s_start", "s_end")
+    return _first_in_lanes(spark, sf_dir, p, lanes.PAIR_GAP)
+
+
+@query(
+    _RANKED
+    + ", "
+    + _first_fit(
+        "select read_id as id, locus_id as region_id, start, s_start, s_end, rank, rank is not null as ranked from ranked where mapq >= 25", "region_id", "rank nulls last, start, id", 3,
+        "select region_id, id, cast(lane as int) as lane, true as visible from laid union all select locus_id, read_id, 0, false from ranked where mapq < 25",
+    )
+)
+def ln_sorted_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted layouts in which hidden reads, with or without a rank, take no lane."""
+    rows = _ranked(_at_loci(spark, sf_dir)).select(F.col("read_id").alias("id"), F.col("locus_id").alias("region_id"), "start", "s_start", "s_end", "rank", (F.col("mapq") >= 25).alias("visible"))
+    return lanes.assign_lanes_sorted(rows)
+
+
 @query(_READ_LANES + "select cast(coalesce(max(lane) + 1, 0) as int) as depth from laid")
 def ln_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.depth(ln_reads(spark, sf_dir))
