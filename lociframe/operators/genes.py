@@ -12,6 +12,8 @@ from lociframe.operators.joins import kth_neighbour, overlap_join
 # Gene tables in order of preference.
 PREFERRED_TABLES = ("ncbiRefSeqSelect", "ncbiRefSeqCurated", "ncbiRefSeq", "ncbiGene", "refGene")
 
+HUMAN = ("hg19", "hg38")  # assemblies whose table is known without a look
+
 
 def coordinate_list(text: Column) -> Column:
     """``'1,2,'`` as an array of numbers; entries that aren't numbers are left out."""
@@ -135,9 +137,15 @@ def feature_at(loci: DataFrame, spans: DataFrame, size: int = tiles.ROWS) -> Dat
 
 
 def preferred_table(available: DataFrame) -> DataFrame:
-    """``genome, table_name`` of the first preferred table of each genome (``genome, table_name``)."""
+    """``genome, table_name`` of the first preferred table of each genome (``genome, table_name``).
+
+    With a column ``assembly``, genomes of the human assemblies have the most preferred table, whichever are listed.
+    """
     rank = F.array_position(F.array(*[F.lit(t) for t in PREFERRED_TABLES]), F.col("table_name"))
-    return available.where(rank > 0).groupBy("genome").agg(F.min_by("table_name", rank).alias("table_name"))
+    human = F.lower("assembly").isin(*HUMAN) if "assembly" in available.columns else F.lit(False)
+    named = available.withColumn("_known", F.coalesce(human, F.lit(False)))
+    best = named.where("_known or table_name is not null").groupBy("genome").agg(F.bool_or("_known").alias("known"), F.min_by(F.when(rank > 0, F.col("table_name")), F.when(rank > 0, rank)).alias("best"))
+    return best.select("genome", F.when(F.col("known"), PREFERRED_TABLES[0]).otherwise(F.col("best")).alias("table_name")).where("table_name is not null")
 
 
 def track_bounds(spans: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ VIEWS = {
         f"select {_contig('n_nationkey')} as chrom, cast({500 * b} as bigint) as chromStart, cast({500 * (b + 1)} as bigint) as chromEnd, 'b{b}' as name, '{s}' as gieStain from nation"
         for b, s in enumerate(("gneg", "gpos25", "gpos50", "acen", "acen", "gpos75", "gvar", "stalk", "gpos100"))
     ),
-    "mods": """select *, case when read_id % 2 = 0 then 'C+m,0,1;' else 'C+mh,1;' end as mm from reads where line = 1""",
+    "mods": """select *, case cast(mapq as bigint) % 3 when 0 then 'C+m,0,1;' when 1 then 'C+mh,1;' else 'C+h,0;A+a,2,0;' end as mm from reads""",
 }
 
 

@@ -205,12 +205,16 @@ def gen_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.genes_inside(view(spark, sf_dir, "regions"), _genes(spark, sf_dir), 256).select("region_id", F.col("r_id").alias("gene_id"))
 
 
-@query("""select n_name as genome, case when n_nationkey % 3 = 0 then 'ncbiRefSeqSelect' when n_nationkey % 3 = 1 then 'ncbiRefSeq' else 'refGene' end as table_name from nation""")
+@query("""select n_name as genome, case when n_nationkey % 3 = 0 then 'ncbiRefSeqSelect' when n_nationkey % 3 = 1 then 'ncbiRefSeq' else 'refGene' end as table_name from nation
+  union all select 'h' || n_nationkey, case when n_nationkey % 2 = 0 then 'ncbiRefSeqSelect' else 'refGene' end from nation""")
 def gen_preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of genomes; half of the ``h`` ones are of a human assembly, which has a table of its own whatever is there."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     k = F.col("n_nationkey") % 3
     tables = F.array_compact(F.array(F.lit("refGene"), F.lit("knownGene"), F.when(k < 2, F.lit("ncbiRefSeq")), F.when(k == 0, F.lit("ncbiRefSeqSelect"))))
-    return g.preferred_table(nation.select(F.col("n_name").alias("genome"), F.explode(tables).alias("table_name")))
+    assembly = F.when(F.col("n_nationkey") % 2 == 0, F.when(F.col("n_nationkey") % 4 == 0, "hg19").otherwise("HG38")).otherwise("mm10")
+    own = nation.select(F.concat(F.lit("h"), F.col("n_nationkey").cast("string")).alias("genome"), F.lit("refGene").alias("table_name"), assembly.alias("assembly"))
+    return g.preferred_table(nation.select(F.col("n_name").alias("genome"), F.explode(tables).alias("table_name"), F.lit("other").alias("assembly")).unionByName(own))
 
 
 @query("""select contig, min(tx0 + 1) as first_start, max(tx_end) as last_end from genes group by contig""")
@@ -366,7 +370,7 @@ def seq_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.base_listing(view(spark, sf_dir, "regions"), view(spark, sf_dir, "ref_seqs"), 1000)
 
 
-@query("""select idx, concat('Variant: ', contig, ':', pos, ' ', ref, '>', alt, ' QUAL=', case when idx % 5 = 0 then '?' else cast(cast(qual as double) as varchar) end) as text, pos + length(ref) - 1 as variant_end from variants where cast(qual as double) < 1000000""")
+@query("""select idx, concat('Variant: ', contig, ':', pos, ' ', ref, '>', alt, ' QUAL=', case when idx % 5 = 0 then '?' else cast(cast(qual as double) as varchar) end) as text, pos + length(ref) - 1 as variant_end from variants""")
 def fmt_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(spark, sf_dir, "variants")
     qual = F.when(F.col("idx") % 5 != 0, F.col("qual").cast("double"))

@@ -226,24 +226,27 @@ def so_pair_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.multi_key_places(ranked.select("pair_id", "rank", "contig", "start_1"), order).select("pair_id", "rank", "place")
 
 
-def _multi_key(reads: DataFrame) -> DataFrame:
+def _multi_key(reads: DataFrame, *first: str) -> DataFrame:
     keys = lanes.sort_columns(["STRAND", "MAPQ", ("LENGTH", True), "READ_ORDER", "READ_NAME", "START"])
-    reads = reads.select("read_id", "flag", "mapq", "qname", "start", "end", F.lit(None).cast("string").alias("read_group"), F.lit(None).cast("int").alias("rank"))
-    return lanes.multi_key_places(reads, [*keys, F.col("read_id")]).select("read_id", "place")
+    reads = reads.select("read_id", "contig", "flag", "mapq", "qname", "start", "end", F.lit(None).cast("string").alias("read_group"), F.lit(None).cast("int").alias("rank"))
+    return lanes.multi_key_places(reads, [*map(F.col, first), *keys, F.col("read_id")])
 
 
 @query(
-    """select read_id, row_number() over (order by flag & 16, mapq desc, "end" - start desc, case when flag & 64 <> 0 then 0 when flag & 128 <> 0 then 1 else 2 end, qname, start, read_id) as place from spans where contig = 'chrX'"""
+    """select read_id, row_number() over (partition by contig order by flag & 16, mapq desc, "end" - start desc, case when flag & 64 <> 0 then 0 when flag & 128 <> 0 then 1 else 2 end, qname, start, read_id) as place from spans"""
 )
 def so_multi_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _multi_key(_parsed(spark, sf_dir).where("contig = 'chrX'"))
+    """Places within each contig: those among all rows, less those of the contigs before."""
+    placed = _multi_key(_parsed(spark, sf_dir), "contig")
+    first = placed.groupBy(F.col("contig").alias("_c")).agg(F.min("place").alias("_first"))
+    return placed.join(first, F.col("contig") == F.col("_c")).select("read_id", (F.col("place") - F.col("_first") + 1).alias("place"))
 
 
 @query(
     """select read_id, row_number() over (order by flag & 16, mapq desc, "end" - start desc, case when flag & 64 <> 0 then 0 when flag & 128 <> 0 then 1 else 2 end, qname, start, read_id) as place from spans"""
 )
 def so_multi_key_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _multi_key(_parsed(spark, sf_dir))
+    return _multi_key(_parsed(spark, sf_dir)).select("read_id", "place")
 
 
 @query("""select locus_id from loci l where exists (select 1 from regions r where r.contig = l.contig and l.position between r.start and r."end" and r.region_id % 3 = 0)""")
@@ -273,14 +276,14 @@ def _first_fit(rows: str, group: str, order: str, gap: int, out: str) -> str:
 
 
 _SPANS = "select read_id as id, contig, start, s_start, s_end, false as ranked from spans"
-_READ_LANES = "with " + _first_fit(_SPANS, "contig", "start, id", 3, "")
+READ_LANES = "with " + _first_fit(_SPANS, "contig", "start, id", 3, "")
 
 
 def _lane_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).select(F.col("read_id").alias("id"), "contig", "start", "s_start", "s_end")
 
 
-@query(_READ_LANES + "select id, cast(lane as int) as lane from laid")
+@query(READ_LANES + "select id, cast(lane as int) as lane from laid")
 def ln_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.assign_lanes(_lane_rows(spark, sf_dir))
 
@@ -301,7 +304,7 @@ def ln_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.assign_lanes_sorted(rows)
 
 
-@query(_READ_LANES + "select cast(lane as int) as lane, count(*) as n from laid group by lane")
+@query(READ_LANES + "select cast(lane as int) as lane, count(*) as n from laid group by lane")
 def ln_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.lane_counts(ln_reads(spark, sf_dir))
 
@@ -309,7 +312,7 @@ def ln_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPANS_OF = lambda laid, spans, id: f"select contig, lane, row_number() over (partition by contig, lane order by start, id) as ordinal, id, s_start, s_end from {laid} join ({spans}) using (contig, id)"
 
 
-@query(_READ_LANES + "select contig, cast(lane as int) as lane, ordinal, id from (" + _SPANS_OF("laid", _SPANS, "read_id") + ")")
+@query(READ_LANES + "select contig, cast(lane as int) as lane, ordinal, id from (" + _SPANS_OF("laid", _SPANS, "read_id") + ")")
 def ln_lane_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of each lane of each contig."""
     rows = _lane_rows(spark, sf_dir)
@@ -328,7 +331,7 @@ def _first_in_lanes(spark: SparkSession, sf_dir: str, rows: DataFrame, gap: int)
     return lanes.first_in_lane(index, asked, "locus_id").select("locus_id", "lane", "found")
 
 
-@query(_READ_LANES + _first_sql(_SPANS_OF("laid", _SPANS, "read_id")))
+@query(READ_LANES + _first_sql(_SPANS_OF("laid", _SPANS, "read_id")))
 def rd_first_in_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first_in_lanes(spark, sf_dir, _lane_rows(spark, sf_dir), lanes.READ_GAP)
 
@@ -356,7 +359,7 @@ def ln_sorted_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.assign_lanes_sorted(rows)
 
 
-@query(_READ_LANES + "select cast(coalesce(max(lane) + 1, 0) as int) as depth from laid")
+@query(READ_LANES + "select cast(coalesce(max(lane) + 1, 0) as int) as depth from laid")
 def ln_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.depth(ln_reads(spark, sf_dir))
 

@@ -99,15 +99,19 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.base_modifications(r.parsed(mods))
 
 
-# Reads of line 1 are 50M, so the reference position is start + query position.
-_MODS = """with occ as (
-  select read_id, start, seq, flag, mm, q, row_number() over (partition by read_id order by case when flag & 16 <> 0 then -q else q end) - 1 as n
-  from (select *, unnest(generate_series(0, length(seq) - 1)) as q from mods) where substring(seq, cast(q + 1 as int), 1) = case when flag & 16 <> 0 then 'G' else 'C' end),
-want as (
-  select *, case when mm = 'C+m,0,1;' and n = 0 then 0 when mm = 'C+m,0,1;' and n = 2 then 1 when mm = 'C+mh,1;' and n = 1 then 0 end as k from occ),
+# The calls that each text asks for, one by one: the canonical base, which of its occurrences from 0 on, the call's order and code.
+_MODS = """with asked(mm, canonical, nth, call_order, code) as (values
+  ('C+m,0,1;', 'C', 0, 0, 'm'), ('C+m,0,1;', 'C', 2, 1, 'm'), ('C+mh,1;', 'C', 1, 0, 'm'), ('C+mh,1;', 'C', 1, 1, 'h'),
+  ('C+h,0;A+a,2,0;', 'C', 0, 0, 'h'), ('C+h,0;A+a,2,0;', 'A', 2, 1, 'a'), ('C+h,0;A+a,2,0;', 'A', 3, 2, 'a')),
+letters as (select read_id, q, flag & 16 <> 0 as reverse, mm, case when flag & 16 <> 0 then translate(substring(seq, cast(q + 1 as int), 1), 'ACGT', 'TGCA') else substring(seq, cast(q + 1 as int), 1) end as letter
+  from (select *, unnest(generate_series(0, length(seq) - 1)) as q from mods)),
+occ as (select *, row_number() over (partition by read_id, letter order by case when reverse then -q else q end) - 1 as n from letters),
+placed as (
+  select c.read_id, c.mm, c.letter, c.n, case when o.op = 'S' and o.query_start = 0 and o.ref_start = o.start then o.ref_start - o.len + c.q else o.ref_start + c.q - o.query_start end as pos
+  from occ c join ops o on o.read_id = c.read_id and o.op in ('M', '=', 'X', 'S') and c.q between o.query_start and o.query_start + o.len - 1),
 calls as (
-  select read_id, start + q as pos, cast(k as int) as call_order, 'm' as code, case when k = 0 then 200 else 80 end as probability from want where k is not null
-  union all select read_id, start + q, 1, 'h', 80 from want where k is not null and mm = 'C+mh,1;')
+  select read_id, pos, call_order, code, case call_order when 0 then 200 when 1 then 80 else 255 end as probability
+  from placed p join asked a on a.mm = p.mm and a.canonical = p.letter and a.nth = p.n where pos >= 1)
 """
 
 
@@ -126,10 +130,9 @@ def seg_best_modification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("read_id", "pos", "code", "probability", fr.modification_class(F.col("code"), F.col("probability")).alias("class"))
 
 
-@query(_MODS + "select read_id, pos, call_order, code, probability, 1 as seg_no from calls")
+@query(_MODS + """select c.read_id, pos, call_order, code, probability, min(seg_no) as seg_no from calls c join segments s on s.read_id = c.read_id and c.pos between s.start and s."end" group by all""")
 def seg_attach_modifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = _parsed(spark, sf_dir).where("line = 1")
-    return r.attach_modifications(r.segments(parsed), _calls(spark, sf_dir))
+    return r.attach_modifications(r.segments(_parsed(spark, sf_dir)), _calls(spark, sf_dir))
 
 
 @query("select contig, pos, a, t, c, g, n, total, softclip, ref_base from pileup")

@@ -14,6 +14,7 @@ from lociframe.operators.contigs import resolve, with_aliases
 from lociframe.operators.joins import overlap_join
 from lociframe.operators.tables import shared_dir
 from lociframe.plans.adapters import view
+from lociframe.plans.layout_queries import READ_LANES
 from lociframe.plans.registry import query
 from lociframe.sources import annotation, bam, text
 
@@ -50,7 +51,7 @@ def cov_depth_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.depth_scale(cov_binned(spark, sf_dir))
 
 
-@query()
+@query(READ_LANES + "select contig, count(*) as n_reads, cast(max(lane) + 1 as int) as n_lanes from laid group by contig")
 def cov_load_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = r.parsed(view(spark, sf_dir, "reads"))
     return bins.load_statistics(reads, lanes.assign_lanes(reads.select(F.col("read_id").alias("id"), "contig", "start", "s_start", "s_end")))
@@ -230,10 +231,12 @@ def src_classify_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotation.classify_references(view(spark, sf_dir, "genes").select("id", ref.alias("reference")), catalogue)
 
 
-@query("""select min_by(read_id, (contig, start, read_id)) as read_id from spans where contig = 'chr3' and s_start <= 2000 and s_end >= 1500""")
+@query("""select region_id, min_by(s.read_id, (s.start, s.read_id)) as read_id from regions r left join spans s on s.contig = r.contig and s_start <= r."end" and s_end >= r.start group by region_id""")
 def rd_first_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    over = r.parsed(view(spark, sf_dir, "reads")).where("contig = 'chr3' and s_start <= 2000 and s_end >= 1500")
-    return over.agg(F.min_by("read_id", F.struct("contig", "start", "read_id")).alias("read_id"))
+    """The first read in file order over each region, clips counted; null where there is none."""
+    reads = r.parsed(view(spark, sf_dir, "reads")).select("contig", F.col("s_start").alias("start"), F.col("s_end").alias("end"), F.struct("start", "read_id").alias("order"))
+    first = overlap_join(view(spark, sf_dir, "regions"), reads, bin_size=512).groupBy("region_id").agg(F.min("r_order").alias("first"))
+    return view(spark, sf_dir, "regions").select("region_id").join(first, "region_id", "left").select("region_id", F.col("first.read_id").alias("read_id"))
 
 
 @query("""select c_name as name, cast(c_acctbal as double) as balance, cast(c_custkey as bigint) as id from customer""")
