@@ -18,7 +18,12 @@ def bases_at(sites: DataFrame, sequences: DataFrame, size: int = CHUNK) -> DataF
 
 def region_sequences(regions: DataFrame, sequences: DataFrame, size: int = CHUNK, complete: bool = True) -> DataFrame:
     """``region_id, bases`` of regions; ``complete`` gives null where part of a region isn't there, else what there is, ``''`` at least."""
-    c = reference_chunks(sequences, size, 0).select(F.col("contig").alias("_c"), F.col("chunk_no").alias("_n"), "chunk_start", F.col("bases").alias("_b"))
+    return cut_regions(regions, reference_chunks(sequences, size, 0), size, complete)
+
+
+def cut_regions(regions: DataFrame, chunks: DataFrame, size: int = CHUNK, complete: bool = True) -> DataFrame:
+    """``region_sequences`` from chunks of ``size`` bases (``contig, chunk_no, chunk_start, bases``), such as those of an indexed file."""
+    c = chunks.select(F.col("contig").alias("_c"), F.col("chunk_no").alias("_n"), "chunk_start", F.col("bases").alias("_b"))
     wanted = regions.select("*", F.explode(F.sequence(F.floor((F.greatest("start", F.lit(1)) - 1) / size), F.floor((F.col("end") - 1) / size))).alias("_k"))
     joined = wanted.join(c, (F.col("contig") == F.col("_c")) & (F.col("_k") == F.col("_n")))
     first = F.greatest(F.col("start") - F.col("chunk_start") + 1, F.lit(1)).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.functions import filters
-from lociframe.operators import bins, genes, lanes
+from lociframe.operators import bins, genes, lanes, sequence
 from lociframe.operators import reads as r
 from lociframe.operators.contigs import resolve, with_aliases
 from lociframe.operators.joins import overlap_join
@@ -16,7 +16,7 @@ from lociframe.operators.tables import shared_dir
 from lociframe.plans.adapters import view
 from lociframe.plans.layout_queries import READ_LANES
 from lociframe.plans.registry import query
-from lociframe.sources import annotation, bam, text
+from lociframe.sources import annotation, bam, fasta, text
 
 
 def _pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +137,24 @@ def src_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.fasta_records(view(spark, sf_dir, "ref_seqs").select(F.concat(F.lit(">"), "contig", F.lit(" test\n"), body).alias("value")))
 
 
+def _fasta_files(spark: SparkSession, sf_dir: str) -> str:
+    folder = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    fasta.write_indexed(view(spark, sf_dir, "ref_seqs").repartition(3, "contig"), folder, 70)
+    return folder
+
+
+@query("""select region_id, case when r."end" <= 4500 then substring(bases, cast(r.start as int), cast(r."end" - r.start + 1 as int)) end as bases from regions r left join ref_seqs s using (contig)""")
+def src_fasta_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions cut out of indexed files, of which only the chunks that regions touch are read."""
+    regions = view(spark, sf_dir, "regions")
+    return sequence.cut_regions(regions, fasta.region_chunks(spark, _fasta_files(spark, sf_dir), regions, 500), 500)
+
+
+@query("""select name, length from contigs""")
+def src_fasta_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.format("fasta").option("header", "true").load(_fasta_files(spark, sf_dir)).select("name", "length")
+
+
 @query("""select id as bin, name, contig as chrom, strand, tx0 as txStart, tx_end as txEnd, exon_starts_text as exonStarts, case when id % 7 = 0 then null else name2 end as name2 from genes""")
 def src_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = view(spark, sf_dir, "genes")
