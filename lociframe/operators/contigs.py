@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.operators.tables import kept
+
 BARE = (*map(str, range(1, 23)), "X", "Y", "MT")
 
 
@@ -40,24 +42,40 @@ def require_resolved(resolved: DataFrame, column: str = "contig") -> DataFrame:
     return resolved.withColumn("resolved", F.when(F.col("resolved").isNull(), error).otherwise(F.col("resolved")))
 
 
+def _labelled(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``canonical``, the first (source, name) among all rows that names and aliases lead to.
+
+    Labels spread from rows to names and back, and each row also takes its label's own label, until none changes: a round
+    is kept, and only whether there was a change comes to the driver.
+    """
+    me = F.struct("source_rank", "name")
+    named = rows.select(me.alias("me"), F.explode(F.array_distinct(F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))))).alias("any")).distinct()
+    labels = kept(named.select("me", F.col("me").alias("label")).distinct())
+    while True:
+        met = named.join(labels, "me")
+        least = met.groupBy("any").agg(F.min("label").alias("least"))
+        near = named.join(least, "any").groupBy("me").agg(F.min("least").alias("near"))
+        ahead = labels.select(F.col("me").alias("near"), F.col("label").alias("far"))
+        moved = near.join(ahead, "near", "left").select("me", F.least("near", "far").alias("label"))
+        changed = kept(labels.withColumnRenamed("label", "before").join(moved, "me").withColumn("changed", F.col("label") != F.col("before")))
+        labels = changed.select("me", "label")
+        if not changed.where("changed").limit(1).count():
+            return rows.withColumn("_me", me).join(labels, F.col("_me") == F.col("me")).withColumn("canonical", F.col("label")).drop("_me", "me", "label")
+
+
 def merge_sources(rows: DataFrame) -> DataFrame:
     """One row per contig of several sources (``source_rank, name, length, aliases``).
 
-    A row joins the contig of the earliest source that knows its name or one of its aliases. The first name stays,
+    Rows that share a name or an alias are one contig, as are chains of such rows of any length. The first name stays,
     the last length that isn't null counts, aliases are united with the other names met, names are kept by source.
     """
-    named = rows.select("*", F.explode(F.array_distinct(F.concat(F.array("name"), F.col("aliases")))).alias("_any"))
-    first = named.groupBy("_any").agg(F.min_by("name", F.struct("source_rank", F.col("_any") != F.col("name"), "name")).alias("key"))
-    keyed = named.join(first, "_any").groupBy("source_rank", "name", "length", "aliases").agg(F.min_by("key", F.struct(F.col("_any") != F.col("name"), "key")).alias("key"))
-    # An alias may lead to a name that itself has an earlier one.
-    step = first.select(F.col("_any").alias("key"), F.col("key").alias("canonical"))
-    canonical = keyed.join(step, "key", "left").withColumn("canonical", F.coalesce("canonical", "key"))
+    canonical = _labelled(rows)
     rank = F.col("source_rank")
     source = lambda k: F.max(F.when(rank == k, F.col("name")))
     merged = canonical.groupBy("canonical").agg(
         F.min_by("name", F.struct(rank, "name")).alias("name"),
         F.max_by("length", F.when(F.col("length").isNotNull(), rank)).alias("length"),
-        F.sort_array(F.array_distinct(F.concat(F.flatten(F.collect_list("aliases")), F.collect_list("name")))).alias("every"),
+        F.sort_array(F.array_compact(F.array_distinct(F.concat(F.flatten(F.collect_list("aliases")), F.collect_list("name"))))).alias("every"),
         source(0).alias("track_name"), source(1).alias("sequence_name"), source(2).alias("alignment_name"),
     )
     return merged.select("name", "length", F.array_remove("every", F.col("name")).alias("aliases"), "track_name", "sequence_name", "alignment_name")

@@ -112,6 +112,7 @@ def with_views(sql: str) -> str:
     add(sql)
     sql = sql.strip()
     views = ",\n".join(f"{v} as ({every[v]})" for v in wanted)
-    if sql.startswith("with "):
-        return f"with {views},\n{sql[5:]}" if views else sql
+    for start in ("with recursive ", "with "):
+        if sql.startswith(start):
+            return f"{start}{views},\n{sql.removeprefix(start)}" if views else sql
     return f"with {views}\n{sql}" if views else sql

@@ -330,6 +330,25 @@ def ctg_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctg.merge_sources(track.union(fasta).union(header)).withColumn("aliases", F.array_join("aliases", ","))
 
 
+@query(
+    """with recursive given as (
+    select 3 - contig_index % 4 as source_rank, 'n' || contig_index as name, contig_index as length, case when contig_index % 6 < 5 then ['n' || (contig_index + 1), 'z' || contig_index] else ['z' || contig_index] end as aliases from contigs),
+  named as (select source_rank, name, unnest([name] || aliases) as any_name from given),
+  linked as (select distinct a.name as a, b.name as b from named a join named b using (any_name)),
+  reach as (select name as a, name as b from given union select r.a, l.b from reach r join linked l on l.a = r.b),
+  labels as (select r.a as name, min_by(g.name, (g.source_rank, g.name)) as canonical from reach r join given g on g.name = r.b group by r.a)
+  select canonical as name, max_by(length, source_rank * 1000 + length) as length, array_to_string(list_sort(list_distinct(list_filter(flatten(list(aliases)) || list(g.name), lambda x: x <> canonical))), ',') as aliases
+  from given g join labels using (name) group by canonical"""
+)
+def ctg_merge_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs each of which has the next one's name as an alias, in runs of six, from four sources."""
+    i = F.col("contig_index")
+    name = lambda letter, k: F.concat(F.lit(letter), k.cast("string"))
+    aliases = F.when(i % 6 < 5, F.array(name("n", i + 1), name("z", i))).otherwise(F.array(name("z", i)))
+    rows = view(spark, sf_dir, "contigs").select((3 - i % 4).cast("int").alias("source_rank"), name("n", i).alias("name"), i.alias("length"), aliases.alias("aliases"))
+    return ctg.merge_sources(rows).select("name", "length", F.array_join("aliases", ",").alias("aliases"))
+
+
 @query("""select name, contig_index, (select name from contigs d where d.contig_index = (c.contig_index + 2) % 25) as neighbour from contigs c""")
 def ctg_order_and_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = view(spark, sf_dir, "contigs").drop("contig_index")
