@@ -5,7 +5,8 @@ and their counts are appended to the cache. The cache is a Parquet table in the
 tokenizer digest, so another version of a vocabulary never meets its counts.
 
 Of each distinct missing text, one row goes to the tokenizer. Digests, not texts, meet in the step that finds
-these rows; the texts follow in one exchange by id, so a text that a third of all rows hold is encoded once.
+these rows; the texts follow in one exchange by id, so a text that a third of all rows hold is encoded once. Rows that
+are repeated with their ids lie together after that exchange, and a task encodes one of them.
 
 A digest may come to the cache twice, by two jobs at a time or a job tried again after it failed to end; equal digests
 have equal counts, so one of them is read.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociframe.llm.shared import named, packed, shared_dir, unpacked
+from lociframe.llm.shared import materialize, named, packed, shared_dir, unpacked
 
 BATCH_CHARS = 1 << 20  # texts encoded in one call of the tokenizer, which holds all their tokens
 _loaded: dict[str, object] = {}
@@ -60,7 +61,12 @@ def _counter(path: str):
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
+        seen: set[bytes] = set()
         for b in batches:
+            digests = b.column("digest").to_pylist()
+            # Repeated rows lie in one task.
+            new = [k for k, d in enumerate(digests) if not (d in seen or seen.add(d))]
+            b = b.take(pa.array(new, pa.int64()))
             texts = b.column("_text").to_pylist()
             sizes, out, start = np.cumsum([len(x) for x in texts]), [], 0
             while start < len(texts):
@@ -93,7 +99,8 @@ def token_counts(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str
     # The id and the digest together pick one row of each missing text; rows repeated as a whole are dropped after.
     missing = texts.join(keys.withColumnRenamed("digest", "_d").withColumnRenamed("_id", "_i"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("digest") == F.col("_d")), "left_semi")
     missing.mapInArrow(_encode(tokenizer), CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).groupBy(F.col("digest").alias("stored")).agg(F.min("n_tokens").alias("n_tokens"))
+    # Written, so that the join can split a digest that many rows have.
+    counts = materialize(spark.read.schema(CACHE_SCHEMA).parquet(cache).groupBy(F.col("digest").alias("stored")).agg(F.min("n_tokens").alias("n_tokens")), "token-counts-read")
     given = packed(docs, digest=digest, n_bytes=F.octet_length(body).cast("long"))
     counted = given.join(counts, F.col("digest") == F.col("stored"), "left").withColumn("over_limit", F.col("n_tokens") > limit)
     return unpacked(counted, "n_bytes", "n_tokens", "over_limit")
