@@ -8,9 +8,9 @@ Fitting takes a bounded sample: at most ``fit_rows`` labelled rows, those with t
 ids, and sends only their feature vectors to the driver. Scoring covers every document where it is read.
 
 Defined results: null and empty texts have zero features and a score like any other text; null labels are not
-learned from, and several labels of a document once each; with no labels, or one class, the score is the class share (0.5 without labels) for all; repeated
-rows are scored one by one; long texts are read whole; an empty table gives an empty table; input columns are kept,
-whatever their names, but those named like a result are replaced.
+learned from, and several labels of a document once each; with no labels, or one class, the score is the class share
+(0.5 without labels) for all; repeated rows are scored one by one; long texts are read whole; an empty table gives an
+empty table; input columns are kept, whatever their names, but those named like a result are replaced.
 """
 
 from __future__ import annotations
