@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.operators import tiles
+from lociframe.operators.tables import kept
 
 WIDE = 64  # bins that an interval may be copied to before a coarser size is used
 
@@ -57,7 +58,8 @@ def count_overlaps(left: DataFrame, right: DataFrame, id: str, size: int = tiles
     """
     none = F.lit(None).cast(left.schema[id].dataType)
     events = right.select("contig", F.explode(F.array(F.struct(F.col("start").alias("_pos"), F.lit(0).alias("_turn"), F.lit(1).alias("_w")), F.struct(F.col("end").alias("_pos"), F.lit(2).alias("_turn"), F.lit(1).alias("_w")))).alias("e")).select("contig", "e.*")
-    summed = events.groupBy("contig", "_pos", "_turn").agg(F.sum("_w").cast("long").alias("_w"))
+    # Kept, as the tiles' bounds, their sums and the counts each read it.
+    summed = kept(events.groupBy("contig", "_pos", "_turn").agg(F.sum("_w").cast("long").alias("_w")))
     own = F.explode(F.array(F.struct(F.col("end").alias("_pos"), F.lit(1).alias("_sign")), F.struct(F.col("start").alias("_pos"), F.lit(-1).alias("_sign"))))
     asked = left.select("contig", F.col(id).alias("_id"), own.alias("e")).select("contig", "_id", "e.*", F.lit(1).alias("_turn"))
     both = summed.select("contig", "_pos", "_turn", "_w", none.alias("_id"), F.lit(None).cast("int").alias("_sign")).unionByName(asked.withColumn("_w", F.lit(0).cast("long")))

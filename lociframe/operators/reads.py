@@ -9,6 +9,7 @@ from lociframe.functions import reads as fr
 from lociframe.functions.columns import once
 from lociframe.operators import tiles
 from lociframe.operators.joins import running_count
+from lociframe.operators.tables import kept
 
 CHUNK = 1 << 16
 
@@ -106,7 +107,8 @@ def depth_sweep(parsed_reads: DataFrame, size: int = tiles.ROWS) -> DataFrame:
     """``contig, pos, depth``: the depth from each position on at which aligned blocks begin or end."""
     block = F.filter("ops", lambda o: o["op"].isin(*fr.ALIGNED))
     events = parsed_reads.select("contig", F.inline(F.flatten(F.transform(block, lambda o: F.array(F.struct(o["ref_start"].alias("pos"), F.lit(1).alias("d")), F.struct((o["ref_start"] + o["len"]).alias("pos"), F.lit(-1).alias("d")))))))
-    changes = events.groupBy("contig", "pos").agg(F.sum("d").alias("d"))
+    # Kept, as the tiles' bounds, their sums and the sweep each read it.
+    changes = kept(events.groupBy("contig", "pos").agg(F.sum("d").alias("d")))
     return running_count(changes, "pos", F.col("d"), "depth", size=size).select("contig", "pos", "depth")
 
 
