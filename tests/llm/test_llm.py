@@ -540,7 +540,7 @@ def test_hot_buckets_to_the_last(spark, hot):
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "benchmark"):
+    for t in ("documents", "pages", "conversations", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, expected = q.QUERIES[name](spark, SF), con.sql(q.ORACLE_SQL[name])
     rows = lambda names, found: sorted((tuple(r[i] for i in sorted(range(len(names)), key=names.__getitem__)) for r in found), key=repr)
