@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions.columns import once
 from lociframe.operators import tiles
-from lociframe.operators.joins import kth_neighbour, overlap_join
+from lociframe.operators.joins import first_over, kth_neighbour, overlap_join
 
 # Gene tables in order of preference.
 PREFERRED_TABLES = ("ncbiRefSeqSelect", "ncbiRefSeqCurated", "ncbiRefSeq", "ncbiGene", "refGene")
@@ -120,11 +120,11 @@ def genes_inside(regions: DataFrame, genes: DataFrame, bin_size: int = 1 << 14)
     return genes_overlapping(regions, genes, bin_size).where((F.col("r_start") >= F.col("start")) & (F.col("r_end") <= F.col("end")))
 
 
-def gene_covering(loci: DataFrame, genes: DataFrame, bin_size: int = 1 << 14) -> DataFrame:
+def gene_covering(loci: DataFrame, genes: DataFrame) -> DataFrame:
     """``locus_id, gene_id`` of at most one gene over each locus, the first by (start, id)."""
     points = loci.select("locus_id", "contig", F.col("position").alias("start"), F.col("position").alias("end"))
-    hits = overlap_join(points, _spans(genes), bin_size).groupBy("locus_id").agg(F.min_by("r_id", F.struct("r_start", "r_id")).alias("gene_id"))
-    return loci.select("locus_id").join(hits, "locus_id", "left")
+    spans = _spans(genes).withColumn("_first", F.col("start"))
+    return first_over(points, spans, "_first", "id").select("locus_id", F.col("found.id").alias("gene_id"))
 
 
 def feature_at(loci: DataFrame, spans: DataFrame, size: int = tiles.ROWS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociframe.operators import tiles
 from lociframe.operators.tables import kept
 
+TOP = 10  # level of the largest blocks of first_over, 4 ** TOP positions
 WIDE = 64  # bins that an interval may be copied to before a coarser size is used
 
 
@@ -49,6 +50,48 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = 1 << 14, how
     return out
 
 
+def _holding(position: Column, kind: int) -> Column:
+    """The blocks that hold ``position``, one of each size; a block's number, its level and ``kind`` in one."""
+    return F.transform(F.sequence(F.lit(0), F.lit(TOP)), lambda k: F.floor(position / F.pow(F.lit(4), k)).cast("long") * 32 + k * 2 + kind)
+
+
+def _filling(start: Column, end: Column, kind: int) -> Column:
+    """The fewest blocks that hold ``start..end`` and nothing else: at each level those that no larger block inside has."""
+
+    def of(k: Column) -> Column:
+        low = lambda j: F.ceil(start / F.pow(F.lit(4), j)).cast("long")
+        high = lambda j: F.floor((end + 1) / F.pow(F.lit(4), j)).cast("long")
+        run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+        a, b, c, d = low(k), high(k), low(k + 1), high(k + 1)
+        own = F.when((k == TOP) | (c >= d), run(a, b)).otherwise(F.concat(run(a, c * 4), run(d * 4, b)))
+        return F.transform(own, lambda n: n * 32 + k * 2 + kind)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TOP)), of))
+
+
+def first_over(questions: DataFrame, features: DataFrame, rank: str, id: str) -> DataFrame:
+    """``questions`` (``contig, start, end``) with ``found``: ``rank, id`` of the least feature by these that shares a position; null where none does.
+
+    A feature shares a position if it covers the first one of the question, or begins behind that within it. Intervals are
+    cut into blocks of 1, 4, 16, ... positions and only the least feature of a block is kept; a position asks the blocks
+    that hold it. So the work is that of the rows times the number of sizes, however many features lie over each other,
+    and no pairs are made. Null or inverted intervals share nothing.
+    """
+    sound = lambda df: df.where("contig is not null and start <= end")
+    least = lambda c: F.min(c).alias("_least")
+    s, e = F.col("start"), F.col("end")
+    # Rows that nothing but the id tells apart are one before they are cut.
+    own = sound(features).groupBy("contig", "start", "end", F.col(rank).alias("_rank")).agg(F.min(id).alias("_id"))
+    blocks = own.select("contig", F.struct("_rank", "_id").alias("_own"), F.explode(F.concat(_filling(s, e, 0), _holding(s, 1))).alias("_block"))
+    best = blocks.groupBy("contig", "_block").agg(least("_own"))
+    places = sound(questions).select("contig", "start", "end").distinct()
+    asked = places.select("contig", "start", "end", F.explode(F.concat(_holding(s, 0), _filling(s + 1, e, 1))).alias("_block"))
+    found = asked.join(best, ["contig", "_block"]).groupBy(*[F.col(c).alias(f"_q_{c}") for c in ("contig", "start", "end")]).agg(least("_least"))
+    same = [F.col(c) == F.col(f"_q_{c}") for c in ("contig", "start", "end")]
+    named = F.when(F.col("_least").isNotNull(), F.struct(F.col("_least._rank").alias("rank"), F.col("_least._id").alias("id"))).alias("found")
+    return questions.join(found, same, "left").select(*questions.columns, named)
+
+
 def count_overlaps(left: DataFrame, right: DataFrame, id: str, size: int = tiles.ROWS) -> DataFrame:
     """``id, n``: how many ``right`` intervals each ``left`` one overlaps, where any.
 

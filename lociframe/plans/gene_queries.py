@@ -175,7 +175,7 @@ def gen_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select locus_id, (select id from genes g where g.contig = l.contig and l.position between g.tx0 + 1 and g.tx_end order by g.tx0, id limit 1) as gene_id from loci l""")
 def gen_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.gene_covering(view(spark, sf_dir, "loci"), _genes(spark, sf_dir), 256)
+    return g.gene_covering(view(spark, sf_dir, "loci"), _genes(spark, sf_dir))
 
 
 _AT = """with f as ({spans}), by_start as (select contig, start as k, max_by(id, (start, id)) as id from f group by all), by_end as (select contig, e as k, max_by(id, (start, id)) as id from f group by all)
