@@ -11,7 +11,7 @@ from lociframe.functions import filters
 from lociframe.operators import bins, genes, lanes, sequence
 from lociframe.operators import reads as r
 from lociframe.operators.contigs import resolve, with_aliases
-from lociframe.operators.joins import overlap_join
+from lociframe.operators.joins import first_over, overlap_join
 from lociframe.operators.tables import shared_dir
 from lociframe.plans.adapters import view
 from lociframe.plans.layout_queries import READ_LANES
@@ -252,9 +252,8 @@ def src_classify_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select region_id, min_by(s.read_id, (s.start, s.read_id)) as read_id from regions r left join spans s on s.contig = r.contig and s_start <= r."end" and s_end >= r.start group by region_id""")
 def rd_first_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first read in file order over each region, clips counted; null where there is none."""
-    reads = r.parsed(view(spark, sf_dir, "reads")).select("contig", F.col("s_start").alias("start"), F.col("s_end").alias("end"), F.struct("start", "read_id").alias("order"))
-    first = overlap_join(view(spark, sf_dir, "regions"), reads, bin_size=512).groupBy("region_id").agg(F.min("r_order").alias("first"))
-    return view(spark, sf_dir, "regions").select("region_id").join(first, "region_id", "left").select("region_id", F.col("first.read_id").alias("read_id"))
+    reads = r.parsed(view(spark, sf_dir, "reads")).select("contig", F.col("s_start").alias("start"), F.col("s_end").alias("end"), F.col("start").alias("first"), "read_id")
+    return first_over(view(spark, sf_dir, "regions"), reads, "first", "read_id").select("region_id", F.col("found.id").alias("read_id"))
 
 
 @query("""select c_name as name, cast(c_acctbal as double) as balance, cast(c_custkey as bigint) as id from customer""")
