@@ -45,7 +45,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row stays of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more, that of the smallest id."""
+    """One row stays of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more, that of the smallest id.
+
+    SimHash finds the first candidates, an exact comparison confirms them, and shingles meet what SimHash can't find.
+    """
     return shingle_groups.one_per_group(docs)
 
 

@@ -1,11 +1,13 @@
 """Near-duplicate groups by the Jaccard similarity of word shingles, exact: the pipeline's near-duplicate stage.
 
 Two rows link where the sets of their shingles (``shingle`` words, compared by XXH64) have a Jaccard similarity of
-at least ``similarity``; a group is what links connect, and the row of the smallest id stays of each. A radius of bits
-over SimHash fingerprints can't bound this similarity (see the README for how far apart such texts are), so the
-operator of ``simhash`` gives its groups' connected components here, and the search is another.
+at least ``similarity``; a group is what links connect, and the row of the smallest id stays of each.
 
-Search: sets are ordered by one order for all, with shingles that a sample shows to be frequent at the end. Two sets
+Search: the sets' SimHash fingerprints are compared by the bit-sliced search of ``simhash``, and rows whose fingerprints
+differ in at most ``RADIUS`` bits are the first candidates. Similar sets can be further apart in bits (see the README), so
+those that it can't find are met by their shingles. Candidates of both are confirmed on the whole sets.
+
+Shingles: sets are ordered by one order for all, with shingles that a sample shows to be frequent at the end. Two sets
 that are similar enough share a shingle among their first ``n - ceil(similarity * n) + 1``, so rows meet by these
 shingles, and no pair is missed whatever the order is. Equal sets are one row before that.
 
@@ -36,12 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm.shared import materialize, named, release
-from lociframe.llm.simhash import SEED, components
+from lociframe.llm.simhash import SEED, components, majority, near_links
 
+RADIUS = 3  # bits between fingerprints of candidates
 BITS = 512
 SAMPLE, FREQUENT = 8, 200_000
 BLOCK = 512
-MARKS = "row long, n int, digest binary, sketch binary, wide binary, prefix binary"
+MARKS = "row long, n int, digest binary, sketch binary, wide binary, prefix binary, fp long"
 SETS = "row long, hashes binary"
 SHARED = "h long, row long, n int, at int, hub long, before long"
 PAIR = "u long, v long"
@@ -100,7 +103,7 @@ def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marks(texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """``row, n, digest, sketch, wide`` of each row's set, and ``prefix``, the shingles by which it meets others, in its order."""
+    """``row, n, digest, sketch, wide, fp`` (the fingerprint) of each row's set, and ``prefix``, the shingles by which it meets others, in its order."""
     known = texts.sparkSession.sparkContext.broadcast(frequent(texts, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +119,10 @@ def marks(texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
             out = []
             for t in b.column("text").to_pylist():
                 h = shingles(t, shingle)
-                out.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), sketch(h), wide(h), prefix(h)))
-            columns = zip(*out, strict=True) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(x, k) for x, k in zip(columns, (pa.int32(), *[pa.binary()] * 4), strict=True))], ["row", "n", "digest", "sketch", "wide", "prefix"])
+                out.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), sketch(h), wide(h), prefix(h), majority(h)))
+            *columns, fps = zip(*out, strict=True) if out else ((),) * 6
+            given = (pa.array(x, k) for x, k in zip(columns, (pa.int32(), *[pa.binary()] * 4), strict=True))
+            yield pa.RecordBatch.from_arrays([b.column("row"), *given, pa.array(np.array(fps, np.uint64).view(np.int64))], ["row", "n", "digest", "sketch", "wide", "prefix", "fp"])
 
     return texts.mapInArrow(run, MARKS)
 
@@ -165,6 +169,15 @@ def meetings(prefix: DataFrame, num: int, den: int) -> DataFrame:
     return prefix.repartition("h").sortWithinPartitions("h", "n", "row").mapInArrow(run, SHARED)
 
 
+def simhash_pairs(marked: DataFrame) -> DataFrame:
+    """``u, v``: each row with the first of its fingerprint, and the first ones of fingerprints that the search links."""
+    first = materialize(marked.groupBy("fp").agg(F.min("row").alias("first")), "shingle-fp")
+    equal = marked.select("row", "fp").join(first, "fp").where(F.col("row") != F.col("first")).select(F.col("row").alias("u"), F.col("first").alias("v"))
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"r{c}")) for c in "uv")
+    near = near_links(first.select("fp"), RADIUS).distinct().join(a, "u").join(b, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    return equal.unionByName(near)
+
+
 def confirmed(pairs: DataFrame, marked: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (``u, v``) that are similar enough, as a table."""
 
@@ -247,7 +260,7 @@ def apart(rows: DataFrame, num: int, den: int) -> DataFrame:
 def group_links(marked: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """``node, root`` of the rows of ``marked`` that links connect."""
     shared = materialize(meetings(prefixes(marked), num, den), "shingle-shared")
-    first = shared.select(F.col("row").alias("u"), F.explode(F.array_compact(F.array("hub", "before"))).alias("v"))
+    first = shared.select(F.col("row").alias("u"), F.explode(F.array_compact(F.array("hub", "before"))).alias("v")).unionByName(simhash_pairs(marked))
     first = materialize(first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "shingle-pairs")
     roots = materialize(components(confirmed(first, marked, texts, shingle, num, den)), "shingle-roots")
     placed = shared.join(roots, F.col("row") == F.col("node"), "left").select("h", "row", "n", "at", F.coalesce("root", "row").alias("root"))

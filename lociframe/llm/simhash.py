@@ -48,7 +48,12 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n)
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of ``hashes``."""
+    n = len(hashes)
     ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 

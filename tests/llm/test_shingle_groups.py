@@ -8,6 +8,7 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lociframe.llm import shingle_groups
 
@@ -99,3 +100,15 @@ def test_stage_on_documents(spark):
     docs = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' order by doc_id").fetchall()
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, df, SF).collect()) == [docs[a][0] for a in brute(docs)]
+
+
+def test_simhash_finds_candidates(spark, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    near, far = [*words[:-1], "other"], words[::-1]
+    texts = spark.createDataFrame([(k, " ".join(w).encode()) for k, w in enumerate((words, near, far))], "row long, text binary").coalesce(1)
+    marked = shingle_groups.marks(texts, 5, 4, 5).localCheckpoint()
+    assert {tuple(sorted(r)) for r in shingle_groups.simhash_pairs(marked).collect()} == {(0, 1)}
+    # The stage's groups come of them, even where no shingles meet.
+    monkeypatch.setattr(shingle_groups, "meetings", lambda prefix, num, den: prefix.select("h", "row", "n", "at", *[F.lit(None).cast("long").alias(c) for c in ("hub", "before")]).limit(0))
+    docs = texts.select(F.col("row").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect()) == [0, 2]
