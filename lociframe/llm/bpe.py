@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociframe.llm.shared import let, once
+from lociframe.llm.shared import let, once, settle
 
 BUCKETS = 65521  # a prime, so that keys of one left token spread
 # An entry of a folded word holds, from the top, the rank of the pair that it begins, its place and its token.
@@ -386,6 +386,7 @@ def encode_decode(
 ) -> DataFrame:
     """``id, n_tokens, token_ids`` (little-endian unsigned 32-bit) and ``decoded`` (the ids' bytes, concatenated)."""
     spark = docs.sparkSession
+    settle(spark)
     ranks = read_ranks(vocabulary)
     tokens = [b""] * (max(ranks.values(), default=0) + 1)
     if len(tokens) > NONE:
@@ -410,6 +411,8 @@ def encode_decode(
     folded = _fold_all(cut, literal, grow).select("words", F.transform("merged", lambda w: w.cast("array<int>")).alias("merged")).toArrow().combine_chunks()
     known, known_ids = (pa.concat_arrays([c.flatten() for c in folded.column(name).chunks]) if folded.num_rows else empty for name, empty in (("words", pa.array([], pa.string())), ("merged", pa.array([], pa.list_(pa.int32())))))
 
+    del some, counted, often, cut, folded
+    settle(spark)
     words = _pieces(docs, F.col(id), split(body))
     own = words.schema["id"].dataType
     kind = lambda name, t: T.StructField(name, t)
