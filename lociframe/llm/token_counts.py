@@ -19,8 +19,12 @@ the cache; extra columns are kept, whatever their names, but those named like a
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,9 @@ from pyspark.sql import types as T
 from lociframe.llm.shared import materialize, named, packed, shared_dir, unpacked
 
 BATCH_CHARS = 1 << 20  # texts encoded in one call of the tokenizer, which holds all their tokens
+# Words whose counts a worker keeps, and the length up to which it does.
+KEPT_WORDS, KEPT_CHARS = 1 << 18, 64
+_BETWEEN_WORDS = re.compile(r"(?<=\S)(?= \S)")
 _loaded: dict[str, object] = {}
 
 
@@ -39,6 +46,43 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def _cuts_at_words(tokenizer: dict) -> bool:
+    """Whether no token of this tokenizer reaches over a place between words, and none depends on what lies behind one.
+
+    The byte-level pattern begins a match at a single space between two letters, digits or signs, whatever is around. Added
+    tokens must not hold a space, or take one from their sides.
+    """
+    pre, added = tokenizer.get("pre_tokenizer") or {}, tokenizer.get("added_tokens") or []
+    byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    plain = all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+    return bool(byte_level and plain and not tokenizer.get("normalizer") and not tokenizer.get("post_processor") and not tokenizer["model"].get("dropout"))
+
+
+def _by_words(count: Callable[[list[str]], list[int]]) -> Callable[[list[str]], list[int]]:
+    """``count`` of whole texts as sums over their words: the tokenizer encodes each word once that comes again, and the others of a text as one."""
+    known: dict[str, int] = {}
+    seen: set[str] = set()
+
+    def run(texts: list[str]) -> list[int]:
+        cut = [_BETWEEN_WORDS.split(x) for x in texts]
+        new = []
+        for word, n in Counter(chain.from_iterable(cut)).items():
+            if word in known or len(word) > KEPT_CHARS:
+                continue
+            if n > 1 or word in seen:
+                new.append(word)
+            elif len(seen) < KEPT_WORDS:
+                seen.add(word)
+        new = new[: KEPT_WORDS - len(known)]
+        known.update(zip(new, count(new), strict=True))
+        found = [list(map(known.get, words)) for words in cut]
+        # All but a text's first word begin with a space, so the others lie side by side as they did.
+        others = count(["".join(w for w, n in zip(words, own, strict=True) if n is None) for words, own in zip(cut, found, strict=True)])
+        return [sum(filter(None, own)) + n for own, n in zip(found, others, strict=True)]
+
+    return run
+
+
 def _counter(path: str):
     """Counts of a list of texts as the library gives them, without begin or end tokens."""
     if path not in _loaded:
@@ -54,7 +98,8 @@ def _counter(path: str):
             tok = Tokenizer.from_file(path)
             tok.no_truncation()
             tok.no_padding()
-            _loaded[path] = lambda texts: [len(x) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+            whole = lambda texts: [len(x) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+            _loaded[path] = _by_words(whole) if _cuts_at_words(json.loads(tok.to_str())) else whole
     return _loaded[path]
 
 

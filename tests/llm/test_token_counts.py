@@ -35,3 +35,27 @@ def test_a_filled_cache_is_used(spark, tmp_path):
     b = {r["text"]: r["n_tokens"] for r in token_counts.token_counts(more, path, cache=cache).collect()}
     assert len(b) == 7 and all(b[t] == n for t, n in a.items())
     assert spark.read.parquet(f"{cache}/{token_counts.tokenizer_digest(path)}").count() == 7
+
+
+def test_words_give_the_counts_of_whole_texts(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_counts, "KEPT_WORDS", 50)
+    token_counts._loaded.pop(path, None)
+    count, whole = token_counts._counter(path), Tokenizer.from_file(path)
+    rng = random.Random(4)
+    parts = [*" \t\n\x1c\x85　'sABcé12.,€|<>", "  ", " the", " word", "'s ", " 're", "<|endoftext|>", " <|endoftext|> ", "x" * 70]
+    for _ in range(20):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(100)]
+        assert count(texts) == [len(x) for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_a_word_that_comes_again_is_encoded_once():
+    sent = []
+    count = token_counts._by_words(lambda texts: [sent.append(t) or len(t) for t in texts])
+    texts = ["one two", "three two", "one two two"]
+    assert count(texts) == [len(t) for t in texts] and "".join(sent).count(" two") == 1
+    assert count(["one two"]) == [7] and "".join(sent).count(" two") == 1
