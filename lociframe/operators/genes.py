@@ -117,7 +117,11 @@ def genes_overlapping(regions: DataFrame, genes: DataFrame, bin_size: int = 1 <<
 
 
 def genes_inside(regions: DataFrame, genes: DataFrame, bin_size: int = 1 << 14) -> DataFrame:
-    return genes_overlapping(regions, genes, bin_size).where((F.col("r_start") >= F.col("start")) & (F.col("r_end") <= F.col("end")))
+    """Pairs of regions and the genes whose both ends lie in them; gene columns come as ``r_*``. Genes meet by their start alone."""
+    spans = _spans(genes)
+    starts = spans.withColumns({"end": F.col("start"), "_stop": F.col("end")})
+    inside = overlap_pairs(regions, starts, bin_size).where(F.col("r__stop").between(F.col("start"), F.col("end")))
+    return inside.withColumn("r_end", F.col("r__stop")).drop("r__stop")
 
 
 def gene_covering(loci: DataFrame, genes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lociframe.operators import genes
 from lociframe.operators.joins import dealt_join, overlap_join, overlap_pairs
 
 SPAN = "id long, contig string, start long, end long"
@@ -37,3 +38,11 @@ def test_one_deep_bin_is_dealt_over_tasks(spark):
 def test_no_rows(spark):
     a = spark.createDataFrame([], SPAN)
     assert overlap_pairs(a, a).collect() == [] and dealt_join(a.select("id"), a.select("id", "start"), ["id"]).collect() == []
+
+
+def test_genes_inside_regions(spark):
+    regions = spark.createDataFrame([(1, "c", 100, 400), (2, "c", 300, 300), (3, "d", 1, 9999)], "region_id long, contig string, start long, end long")
+    spans = [(1, "c", 100, 400), (2, "c", 99, 200), (3, "c", 300, 401), (4, "c", 300, 300), (5, "d", 7, 9000), (6, None, 7, 8), (7, "c", 310, 305)]
+    made = spark.createDataFrame([(i, f"g{i}", c, s, e) for i, c, s, e in spans], "id long, name string, contig string, tx_start long, tx_end long")
+    found = genes.genes_inside(regions, made, 16)
+    assert sorted((x["region_id"], x["r_id"], x["r_start"], x["r_end"]) for x in found.collect()) == [(1, 1, 100, 400), (1, 4, 300, 300), (1, 7, 310, 305), (2, 4, 300, 300), (3, 5, 7, 9000)]
