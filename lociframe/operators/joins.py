@@ -169,13 +169,13 @@ def count_overlaps(left: DataFrame, right: DataFrame, id: str, size: int = tiles
     return counted.groupBy(F.col("_id").alias(id)).agg(F.sum(part).cast("long").alias("n")).where("n > 0")
 
 
-def running_sums(rows: DataFrame, key: Column, weights: dict[str, Column], size: int = tiles.ROWS) -> DataFrame:
+def running_sums(rows: DataFrame, key: Column, weights: dict[str, Column], size: int = tiles.ROWS, known: int | None = None) -> DataFrame:
     """``rows`` with the running sums of ``weights`` per contig in the order of ``key``, a number; rows of equal keys come in any order.
 
     One window per tile of equal counts, with the sums of the tiles before carried in, so that neither a contig nor a deep
     place is one task.
     """
-    tiled = tiles.equal_tiles(rows.withColumns({"_order": key, **{f"_weight_{n}": w for n, w in weights.items()}}), F.col("_order"), size=size)
+    tiled = tiles.equal_tiles(rows.withColumns({"_order": key, **{f"_weight_{n}": w for n, w in weights.items()}}), F.col("_order"), size=size, known=known)
     sums = tiled.groupBy("contig", "_tile").agg(*[F.sum(f"_weight_{n}").alias(f"_sum_{n}") for n in weights])
     before = Window.partitionBy("contig").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(F.col("contig").alias("_carry_contig"), F.col("_tile").alias("_carry_tile"), *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_carry_{n}") for n in weights])
@@ -185,10 +185,10 @@ def running_sums(rows: DataFrame, key: Column, weights: dict[str, Column], size:
     return summed.drop("_tile", "_order", "_carry_contig", "_carry_tile", *[f"_weight_{n}" for n in weights], *[f"_carry_{n}" for n in weights])
 
 
-def running_count(events: DataFrame, key: str, weight: Column, name: str, first: Column | None = None, size: int = tiles.ROWS) -> DataFrame:
+def running_count(events: DataFrame, key: str, weight: Column, name: str, first: Column | None = None, size: int = tiles.ROWS, known: int | None = None) -> DataFrame:
     """``events`` with the running sum of ``weight`` per contig by ``key``; of equal keys, rows for which ``first`` holds come before the others."""
     order = F.col(key) if first is None else 2 * F.col(key) + F.when(first, 0).otherwise(1)
-    return running_sums(events, order, {name: weight}, size)
+    return running_sums(events, order, {name: weight}, size, known)
 
 
 def kth_neighbour(
