@@ -35,7 +35,8 @@ def depth_scale(binned: DataFrame) -> DataFrame:
     return binned.groupBy("region_id").agg(round_up_depth(F.max("total")).alias("scale"))
 
 
-def load_statistics(reads: DataFrame, lanes: DataFrame) -> DataFrame:
-    """``contig, n_reads, n_lanes``."""
-    laned = reads.select("contig", F.col("read_id").alias("id")).join(lanes, "id", "left")
-    return laned.groupBy("contig").agg(F.count(F.lit(1)).alias("n_reads"), (F.coalesce(F.max("lane"), F.lit(-1)) + 1).alias("n_lanes"))
+def load_statistics(reads: DataFrame, laid: DataFrame) -> DataFrame:
+    """``contig, n_reads, n_lanes``: all ``reads`` of a contig, and its lanes in ``laid`` (``contig, lane``). Both are counted by contig before they meet."""
+    most = laid.groupBy(F.col("contig").alias("_c")).agg((F.max("lane") + 1).alias("n_lanes"))
+    counted = reads.groupBy("contig").agg(F.count(F.lit(1)).alias("n_reads"))
+    return counted.join(most, F.col("contig") == F.col("_c"), "left").select("contig", "n_reads", F.coalesce("n_lanes", F.lit(0)).alias("n_lanes"))

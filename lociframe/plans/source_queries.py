@@ -14,7 +14,7 @@ from lociframe.operators.contigs import resolve, with_aliases
 from lociframe.operators.joins import first_over, overlap_join
 from lociframe.operators.tables import kept, shared_dir
 from lociframe.plans.adapters import view
-from lociframe.plans.layout_queries import READ_LANES
+from lociframe.plans.layout_queries import READ_LANES, read_lanes
 from lociframe.plans.registry import query
 from lociframe.sources import annotation, bam, fasta, text
 
@@ -54,7 +54,7 @@ def cov_depth_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(READ_LANES + "select contig, count(*) as n_reads, cast(max(lane) + 1 as int) as n_lanes from laid group by contig")
 def cov_load_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = r.parsed(view(spark, sf_dir, "reads"))
-    return bins.load_statistics(reads, lanes.assign_lanes(reads.select(F.col("read_id").alias("id"), "contig", "start", "s_start", "s_end")))
+    return bins.load_statistics(reads, read_lanes(spark, sf_dir, "contig"))
 
 
 def _bam_files(spark: SparkSession, sf_dir: str) -> str:
