@@ -59,3 +59,11 @@ def test_no_rows_give_no_lanes(spark):
 def test_reads_travel_once(spark, name, most):
     found = exchanges(catalog.QUERIES[name](spark, SF))
     assert sum(n >= ROWS for _, n in found) <= most
+
+
+def test_only_lanes_asked_for_go_on(spark, monkeypatch):
+    given, join = [], lanes.overlap_join
+    monkeypatch.setattr(lanes, "overlap_join", lambda asked, rows, *a: given.append(rows.count()) or join(asked, rows, *a))
+    found = catalog.QUERIES["pr_first_in_lane"](spark, SF).count()
+    # Four lanes of 25 contigs are asked for, of all pairs' lanes.
+    assert found == 150 and len(given) == 1 and 0 < given[0] < 0.9 * catalog.QUERIES["ln_pairs"](spark, SF).count()
